@@ -13,7 +13,7 @@ TTL_US = 120_000_000
 def goroutine_id(name: Column) -> Column:
     """Unsigned 64-bit id after the last dash of a frame name, or null."""
     number = F.regexp_extract(name, r"-([0-9]+)\z", 1).try_cast("decimal(38,0)")
-    return F.when(number < F.lit(2**64).cast("decimal(38,0)"), number.cast("decimal(20,0)"))
+    return F.when(number < F.lit("18446744073709551616").cast("decimal(38,0)"), number.cast("decimal(20,0)"))
 
 
 def trace_id(ann: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.scalars import clamp
@@ -24,14 +24,14 @@ def _epoch_ns(t: datetime) -> int:
     return ((whole.days * 86_400 + whole.seconds) * 1_000_000 + whole.microseconds) * 1000
 
 
-def by_time_range(events: DataFrame, base: datetime, start: datetime | None, end: datetime | None) -> DataFrame:
-    """Events with start <= base + ts < end; a bound left out is open. Compared on the stored ``ts`` itself,
-    so the filter reaches the scan."""
-    origin = _epoch_ns(base)
+def by_time_range(events: DataFrame, base: datetime | Column, start: datetime | None, end: datetime | None) -> DataFrame:
+    """Events with start <= base + ts < end; a bound left out is open. ``base`` is a time, or a Column in
+    nanoseconds since 1970. The stored ``ts`` itself is compared, so that the filter can reach the scan."""
+    origin = base if isinstance(base, Column) else F.lit(_epoch_ns(base))
     if start is not None:
-        events = events.filter(F.col("ts") >= F.lit(_epoch_ns(start) - origin))
+        events = events.filter(F.col("ts") >= F.lit(_epoch_ns(start)) - origin)
     if end is not None:
-        events = events.filter(F.col("ts") < F.lit(_epoch_ns(end) - origin))
+        events = events.filter(F.col("ts") < F.lit(_epoch_ns(end)) - origin)
     return events
 
 

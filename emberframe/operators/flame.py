@@ -7,8 +7,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # sorts after every other character, so a node can be placed behind its children
-HIGHEST = F.decode(F.unhex(F.lit("F48FBFBF")), "UTF-8")
-EMPTY_PATH = F.array().cast("array<string>")
+HIGHEST = chr(0x10FFFF)
+
+
+def empty_path() -> Column:
+    return F.array().cast("array<string>")
 
 
 def sample_admission(samples: DataFrame) -> DataFrame:
@@ -30,7 +33,7 @@ def flame_build(samples: DataFrame, keys: list[str] = ["snapshot_id"], root_name
     stacks = (
         samples.select(
             *keys,
-            F.when(admitted, F.col("stack")).otherwise(EMPTY_PATH).alias("stack"),
+            F.when(admitted, F.col("stack")).otherwise(empty_path()).alias("stack"),
             F.when(admitted, F.col("weight")).otherwise(F.lit(0)).cast("long").alias("weight"),
         )
         .groupBy(*keys, "stack")
@@ -152,7 +155,7 @@ def flame_flatten(frames: DataFrame, keys: list[str] = ["snapshot_id"]) -> DataF
 
 def flatten_order() -> Column:
     """Sort key of a flattened tree: root first, siblings in falling byte order, parents before children."""
-    return F.array_append("path", HIGHEST).desc()
+    return F.array_append("path", F.lit(HIGHEST)).desc()
 
 
 def child_order() -> Column:
