@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.rules import compare, register_rule_functions, truth, with_missing_metrics
-from emberframe.operators.ordered import MAX_ROWS, SLICE, ordered_columns, slice_hot_groups
+from emberframe.operators.ordered import MAX_ROWS, SLICE, has_hot_group, ordered_columns, slice_hot_groups
 
 # Fixed value: rules the de-duplicating sink remembers.
 REMEMBERED_RULES = 128
@@ -41,15 +41,17 @@ def alert_hold(
     Our own definition. Columns: keys, order, ``since_us``.
     """
     t = order[0]
+    hot = has_hot_group(outcomes, keys, max_rows)
     stepped = ordered_columns(
         outcomes.select(*keys, *order, "holds"),
         keys,
         order,
         previous={"_held": F.col("holds"), "_at": F.col(t)},
         max_rows=max_rows,
+        hot=hot,
     )
     begins = F.col("holds") & ~F.coalesce("_held", F.lit(False))
-    runs = ordered_columns(stepped, keys, order, last_known={"since_us": F.when(begins, F.col(t))}, max_rows=max_rows)
+    runs = ordered_columns(stepped, keys, order, last_known={"since_us": F.when(begins, F.col(t))}, max_rows=max_rows, hot=hot)
     already = F.coalesce(F.col("_held") & (F.col("_at") - F.col("since_us") >= hold_us), F.lit(False)) & ~begins
     return runs.filter(F.col("holds") & (F.col(t) - F.col("since_us") >= hold_us) & ~already).select(*keys, *order, "since_us")
 
@@ -76,11 +78,10 @@ def alert_dedup_lru(firings: DataFrame, order: list[str] = ["us"], capacity: int
         first = firings.groupBy("rule").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_first"))
         return first.select("rule", "_first.*").select(*firings.columns)
 
-    sliced = slice_hot_groups(firings, [], order, max_rows)
-    if sliced is None:
-        rows = firings.withColumn("_slice_no", F.lit(1).cast("long")).withColumn("_memory", F.lit(False))
+    if has_hot_group(firings, [], max_rows):
+        rows = _with_memory(slice_hot_groups(firings, [], order, max_rows), order, capacity)
     else:
-        rows = _with_memory(sliced, order, capacity)
+        rows = firings.withColumn("_slice_no", F.lit(1).cast("long")).withColumn("_memory", F.lit(False))
 
     schema = firings.schema
 

@@ -42,11 +42,19 @@ def _hot_slices(df: DataFrame, keys: list[str], order: list[str], max_rows: int)
     )
 
 
-def slice_hot_groups(df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_ROWS) -> DataFrame | None:
+def has_hot_group(df: DataFrame, keys: list[str], max_rows: int = MAX_ROWS) -> bool:
+    """Whether some key holds more than ``max_rows`` rows. Reads the keys only, counts are combined before the
+    shuffle, one row comes to the driver."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.agg(F.max("n")).first()[0] if keys else counts.first()[0]
+    return (largest or 0) > max_rows
+
+
+def slice_hot_groups(df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
     """Add ``_slice ARRAY<BIGINT>``, rising along ``order`` within a key, empty for keys that are not hot.
 
-    ``order`` names BIGINT columns that together are unique within a key. Returns None when no key is hot.
-    Counting reads the keys and the order only, and is combined before the shuffle.
+    ``order`` names BIGINT columns that together are unique within a key. Slices that are still too large,
+    as where many rows share a moment, are cut again.
     """
     out = df.withColumn(SLICE, F.array().cast("array<bigint>"))
     level = 0
@@ -55,7 +63,7 @@ def slice_hot_groups(df: DataFrame, keys: list[str], order: list[str], max_rows:
         hot = _hot_slices(at_level, keys, order, max_rows)
         n_hot = hot.count()
         if n_hot == 0:
-            return out if level else None
+            return out
         small = F.broadcast(hot) if n_hot <= MAX_BROADCAST_SLICES else hot
         value = reduce(lambda acc, i: F.when(F.col("_pick") == i, F.col(order[i])).otherwise(acc), range(len(order)), F.lit(None))
         out = (
@@ -79,24 +87,29 @@ def ordered_columns(
     running: dict[str, Column] | None = None,
     last_known: dict[str, Column] | None = None,
     max_rows: int = MAX_ROWS,
+    hot: bool | None = None,
 ) -> DataFrame:
     """Add, per row along ``order`` within ``keys``:
 
     ``previous``   value of the expression on the row before (null on the first),
     ``running``    sum of the expression up to and with this row,
     ``last_known`` newest non-null value of the expression up to and with this row.
+
+    ``hot`` tells whether a key may exceed ``max_rows``; it is measured if left out.
     """
     previous, running, last_known = previous or {}, running or {}, last_known or {}
     columns = df.columns
+    if hot is None:
+        hot = has_hot_group(df, keys, max_rows)
     rows = df
     for kind, wanted in (("p", previous), ("r", running), ("l", last_known)):
         for name, expression in wanted.items():
             rows = rows.withColumn(f"_{kind}_{name}", expression)
 
-    sliced = slice_hot_groups(rows, keys, order, max_rows)
-    if sliced is None:
+    if not hot:
         window = Window.partitionBy(*keys).orderBy(*order)
     else:
+        sliced = slice_hot_groups(rows, keys, order, max_rows)
         rows = sliced.withColumn("_own", F.lit(True)).unionByName(
             _carry_rows(sliced, keys, order, previous, running, last_known), allowMissingColumns=True
         )
@@ -108,7 +121,7 @@ def ordered_columns(
         *[F.sum(f"_r_{n}").over(so_far).alias(n) for n in running],
         *[F.last(f"_l_{n}", ignorenulls=True).over(so_far).alias(n) for n in last_known],
     )
-    if sliced is not None:
+    if hot:
         out = out.filter("_own")
     return out.select(*columns, *previous, *running, *last_known)
 

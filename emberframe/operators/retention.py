@@ -42,13 +42,12 @@ def retain_list(
         kept = kept.filter(F.lit(as_of_us) - newest.select("us").scalar() < retention_us)
     # at most ``capacity`` rows are left here, a number the caller sets
     in_order = Window.partitionBy().orderBy("seq")
-    to_end = in_order.rowsBetween(Window.currentRow + 1, Window.unboundedFollowing)
-    fresh_start = F.coalesce((F.col("us") - F.lag("us").over(in_order) >= retention_us), F.lit(False))
+    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
-        kept.withColumn("_starts", fresh_start.cast("int"))
-        .withColumn("_later_starts", F.coalesce(F.sum("_starts").over(to_end), F.lit(0)))
-        .filter(F.col("_later_starts") == 0)
-        .drop("_starts", "_later_starts")
+        kept.withColumn("_pause", F.col("us") - F.lag("us").over(in_order))
+        .withColumn("_start", F.max(F.when(F.col("_pause") >= retention_us, F.col("seq"))).over(everything))
+        .filter(F.col("_start").isNull() | (F.col("seq") >= F.col("_start")))
+        .drop("_pause", "_start")
     )
 
 

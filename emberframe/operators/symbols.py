@@ -6,41 +6,45 @@ from pyspark.sql import functions as F
 from emberframe.functions.stacks import normalise_stack
 
 
-def _bucket_width(symbols: DataFrame) -> int:
-    """Mean distance of functions: at this width the table written out per bucket has at most about twice
-    as many rows as functions, however unlike their sizes are."""
-    low, high, n = symbols.agg(F.min("start_pc"), F.max("end_pc"), F.count(F.lit(1))).first()
-    return max(1, -(-(high - low) // n)) if n else 1
+# functions (name and two addresses each) up to which the table is handed to every executor
+MAX_BROADCAST_FUNCTIONS = 200_000
 
 
-def symbolise(samples: DataFrame, symbols: DataFrame, bucket_width: int | None = None) -> DataFrame:
+def symbolise(
+    samples: DataFrame, symbols: DataFrame, bucket_width: int | None = None, max_broadcast: int = MAX_BROADCAST_FUNCTIONS
+) -> DataFrame:
     """Leaf-first ``pcs`` to root-first ``stack``; a counter stands for the function that holds pc - 1.
 
-    Distinct counters are looked up, not samples: there are no more of them than code has addresses, so one
-    hot function costs one lookup. The range condition becomes an equality on address buckets.
+    The range condition becomes an equality on address buckets as wide as functions are apart on average, so
+    the table written out per bucket has at most about twice as many rows as there are functions, however
+    unlike their sizes. A counted small table is broadcast and no frame is shuffled. A larger one is joined
+    with the distinct counters, of which there are no more than code has addresses.
     """
-    width = bucket_width or _bucket_width(symbols)
+    low, high, n = symbols.agg(F.min("start_pc"), F.max("end_pc"), F.count(F.lit(1))).first()
+    width = bucket_width or (max(1, -(-(high - low) // n)) if n else 1)
+    bucket = lambda pc: F.floor(pc / width).cast("long")
     frames = samples.select("sample_id", F.posexplode("pcs").alias("pos", "pc")).filter(F.col("pc") != 0)
     spread = symbols.select(
-        "start_pc",
-        "end_pc",
-        "func",
-        F.explode(
-            F.sequence(F.floor(F.col("start_pc") / width).cast("long"), F.floor((F.col("end_pc") - 1) / width).cast("long"))
-        ).alias("bucket"),
-    )
-    names = (
-        frames.select("pc")
-        .distinct()
-        .withColumn("bucket", F.floor((F.col("pc") - 1) / width).cast("long"))
-        .join(spread, "bucket")
-        .filter((F.col("pc") - 1 >= F.col("start_pc")) & (F.col("pc") - 1 < F.col("end_pc")))
-        .select("pc", "func")
+        "start_pc", "end_pc", "func", F.explode(F.sequence(bucket(F.col("start_pc")), bucket(F.col("end_pc") - 1))).alias("bucket")
     )
-    # a hot counter is split by the adaptive skew join; a stack is as long as the profiler's depth limit at most
+
+    def look_up(pcs: DataFrame, table: DataFrame) -> DataFrame:
+        at = F.col("pc") - 1
+        return (
+            pcs.withColumn("bucket", bucket(at))
+            .join(table, "bucket")
+            .filter((at >= F.col("start_pc")) & (at < F.col("end_pc")))
+            .select(*pcs.columns, "func")
+        )
+
+    if n <= max_broadcast:
+        named = look_up(frames, F.broadcast(spread))
+    else:
+        # a hot counter is split by the adaptive skew join
+        named = frames.join(look_up(frames.select("pc").distinct(), spread), "pc")
+    # a group is one stack, as long as the profiler's depth limit at most
     return (
-        frames.join(names, "pc")
-        .groupBy("sample_id")
+        named.groupBy("sample_id")
         .agg(normalise_stack(F.transform(F.sort_array(F.collect_list(F.struct("pos", "func"))), lambda f: f["func"])).alias("stack"))
         .filter(F.size("stack") > 0)
     )

@@ -67,10 +67,12 @@ def heap_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pause_slots(process: str) -> Column:
-    """256 pause slots as a pure function of process and slot; some are 0."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(255)), lambda slot: (F.col(process) * 7 + slot * 13) % 11 * 1000
-    )
+    """256 pause slots, (7 process + 13 slot) mod 11 microseconds; some are 0.
+
+    The slots repeat after 11, so each ring is a piece of one constant array: 13 * 9 is 7 modulo 11.
+    """
+    pattern = F.transform(F.sequence(F.lit(0), F.lit(255 + 10)), lambda i: (i * 13 % 11 * 1000).cast("long"))
+    return F.slice(pattern, (F.col(process) * 9 % 11 + 1).cast("int"), F.lit(256))
 
 
 def runtime_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
