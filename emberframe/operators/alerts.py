@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.rules import compare, register_rule_functions, truth, with_missing_metrics
-from emberframe.operators.ordered import MAX_ROWS, SLICE, has_hot_group, ordered_columns, slice_hot_groups
+from emberframe.operators.ordered import LEVEL, MAX_ROWS, has_hot_group, ordered_columns, slice_columns, slice_hot_groups
 
 # Fixed value: rules the de-duplicating sink remembers.
 REMEMBERED_RULES = 128
@@ -100,10 +100,11 @@ def _with_memory(sliced: DataFrame, order: list[str], capacity: int, block: int
     Done in blocks of slices: what a block leaves behind, what each block starts with, what each of its
     slices starts with. No group holds more than ``block`` times ``capacity`` rows, or the blocks' own.
     """
-    numbers = sliced.groupBy(SLICE).agg(F.lit(1).alias("_one")).select(
-        SLICE, F.row_number().over(Window.partitionBy().orderBy(SLICE)).cast("long").alias("_slice_no")
+    ids = slice_columns(order)
+    numbers = sliced.select(*ids).distinct().select(
+        *ids, F.row_number().over(Window.partitionBy().orderBy(*ids)).cast("long").alias("_slice_no")
     )
-    rows = sliced.join(numbers, SLICE).drop(SLICE)
+    rows = sliced.join(numbers, ids).drop(*ids, LEVEL)
     last = rows.groupBy("_slice_no", "rule").agg(F.max(F.struct(*order)).alias("_at"))
 
     def newest(df: DataFrame, unit: str) -> DataFrame:

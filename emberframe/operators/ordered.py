@@ -11,34 +11,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberframe.workspace import shared_dir
+
 MAX_ROWS = 2_000_000
 # a broadcast table of hot slices has at most rows / max_rows entries; beyond this many it is not hinted
 MAX_BROADCAST_SLICES = 200_000
-MAX_PARTS = 1024
+MIN_PARTS, MAX_PARTS = 64, 1024
+
+LEVEL = "_level"
 
-SLICE = "_slice"
 
+def slice_columns(order: list[str]) -> list[str]:
+    """A slice is known by the lowest order values it may hold, so slices sort as their rows do."""
+    return [f"_from_{c}" for c in order]
 
-def _hot_slices(df: DataFrame, keys: list[str], order: list[str], max_rows: int) -> DataFrame:
-    """Slices above ``max_rows`` with the column to cut them by: the first one that is not constant."""
-    grouped = df.groupBy(*keys, SLICE).agg(
+
+def _counts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.min(c).alias(f"_lo{i}") for i, c in enumerate(order)],
-        *[F.max(c).alias(f"_hi{i}") for i, c in enumerate(order)],
-    )
-    wide = [F.col(f"_hi{i}") > F.col(f"_lo{i}") for i in range(len(order))]
-    pick, low, span = F.lit(None), F.lit(None), F.lit(None)
-    for i in reversed(range(len(order))):
-        pick = F.when(wide[i], F.lit(i)).otherwise(pick)
-        low = F.when(wide[i], F.col(f"_lo{i}")).otherwise(low)
-        span = F.when(wide[i], F.col(f"_hi{i}") - F.col(f"_lo{i}")).otherwise(span)
-    parts = F.least(F.lit(MAX_PARTS), F.ceil(F.col("_n") * 2 / max_rows)).cast("long")
-    return (
-        grouped.filter((F.col("_n") > max_rows) & reduce(Column.__or__, wide))
-        .withColumn("_pick", pick)
-        .withColumn("_low", low.cast("long"))
-        .withColumn("_step", F.floor(span / parts).cast("long") + 1)
-        .select(*keys, SLICE, "_pick", "_low", "_step")
+        *[F.min(c).alias(f"_min_{c}") for c in order],
+        *[F.max(c).alias(f"_max_{c}") for c in order],
     )
 
 
@@ -50,31 +42,55 @@ def has_hot_group(df: DataFrame, keys: list[str], max_rows: int = MAX_ROWS) -> b
     return (largest or 0) > max_rows
 
 
+def _cuts(counts: DataFrame, order: list[str], max_rows: int) -> DataFrame:
+    """For counts above ``max_rows``: the first order column that is not constant, and how to cut it."""
+    wide = [F.col(f"_max_{c}") > F.col(f"_min_{c}") for c in order]
+    cut, low, span = F.lit(None), F.lit(None), F.lit(None)
+    for c, is_wide in reversed(list(zip(order, wide))):
+        cut = F.when(is_wide, F.lit(c)).otherwise(cut)
+        low = F.when(is_wide, F.col(f"_min_{c}")).otherwise(low)
+        span = F.when(is_wide, F.col(f"_max_{c}") - F.col(f"_min_{c}")).otherwise(span)
+    parts = F.greatest(F.least(F.ceil(F.col("_n") * 2 / max_rows), F.lit(MAX_PARTS)), F.lit(MIN_PARTS))
+    return (
+        counts.filter((F.col("_n") > max_rows) & reduce(Column.__or__, wide))
+        .withColumn("_cut", cut)
+        .withColumn("_low", low.cast("long"))
+        .withColumn("_step", F.floor(span / parts).cast("long") + 1)
+        .drop("_n", *[f"_min_{c}" for c in order], *[f"_max_{c}" for c in order])
+    )
+
+
 def slice_hot_groups(df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
-    """Add ``_slice ARRAY<BIGINT>``, rising along ``order`` within a key, empty for keys that are not hot.
+    """Add the ``slice_columns`` and ``_level``, 0 for keys that are not hot.
 
     ``order`` names BIGINT columns that together are unique within a key. Slices that are still too large,
-    as where many rows share a moment, are cut again.
+    as where many rows share a moment, are cut again. The small tables of cuts are checkpointed, so no later
+    step counts again.
     """
-    out = df.withColumn(SLICE, F.array().cast("array<bigint>"))
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    ids = slice_columns(order)
+    out = df.select("*", *[F.lit(0).cast("long").alias(c) for c in ids], F.lit(0).alias(LEVEL))
     level = 0
     while True:
-        at_level = out if level == 0 else out.filter(F.size(SLICE) == level)
-        hot = _hot_slices(at_level, keys, order, max_rows)
-        n_hot = hot.count()
-        if n_hot == 0:
+        by = keys if level == 0 else [*keys, *ids]
+        cuts = _cuts(_counts(out.filter(F.col(LEVEL) == level), by, order), order, max_rows).checkpoint()
+        n = cuts.count()
+        if n == 0:
             return out
-        small = F.broadcast(hot) if n_hot <= MAX_BROADCAST_SLICES else hot
-        value = reduce(lambda acc, i: F.when(F.col("_pick") == i, F.col(order[i])).otherwise(acc), range(len(order)), F.lit(None))
-        out = (
-            out.join(small, [*keys, SLICE], "left")
-            .withColumn(
-                SLICE,
-                F.when(F.col("_pick").isNull(), F.col(SLICE)).otherwise(
-                    F.array_append(SLICE, F.floor((value - F.col("_low")) / F.col("_step")).cast("long"))
-                ),
-            )
-            .drop("_pick", "_low", "_step")
+        small = F.broadcast(cuts) if n <= MAX_BROADCAST_SLICES else cuts
+        # rows of finished slices match no cut, as cut slices had the level before
+        if by:
+            out = out.join(small, by, "left")
+        else:
+            out = out.select("*", *[F.lit(v).alias(c) for c, v in cuts.first().asDict().items()])
+        is_cut = F.col("_cut").isNotNull() & (F.col(LEVEL) == level)
+        start = lambda c: F.col("_low") + F.floor((F.col(c) - F.col("_low")) / F.col("_step")).cast("long") * F.col("_step")
+        out = out.select(
+            *df.columns,
+            *[F.when(is_cut & (F.col("_cut") == c), start(c)).otherwise(F.col(i)).alias(i) for c, i in zip(order, ids)],
+            F.when(is_cut, F.lit(level + 1)).otherwise(F.col(LEVEL)).alias(LEVEL),
         )
         level += 1
 
@@ -113,7 +129,7 @@ def ordered_columns(
         rows = sliced.withColumn("_own", F.lit(True)).unionByName(
             _carry_rows(sliced, keys, order, previous, running, last_known), allowMissingColumns=True
         )
-        window = Window.partitionBy(*keys, SLICE).orderBy("_own", *order)
+        window = Window.partitionBy(*keys, *slice_columns(order)).orderBy("_own", *order)
     so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.select(
         "*",
@@ -128,10 +144,11 @@ def ordered_columns(
 
 def _carry_rows(sliced, keys, order, previous, running, last_known) -> DataFrame:
     """One row per slice of a hot key, holding what the slices before it amount to."""
-    at = F.struct(*order)
+    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    ids = slice_columns(order)
     summary = (
-        sliced.filter(F.size(SLICE) > 0)
-        .groupBy(*keys, SLICE)
+        sliced.filter(F.col(LEVEL) > 0)
+        .groupBy(*keys, *ids)
         .agg(
             F.count(F.lit(1)).alias("_n"),
             *[F.max_by(f"_p_{n}", at).alias(f"_p_{n}") for n in previous],
@@ -140,11 +157,11 @@ def _carry_rows(sliced, keys, order, previous, running, last_known) -> DataFrame
         )
     )
     # as many rows per key as it has slices, not as it has rows
-    by_key = Window.partitionBy(*keys).orderBy(SLICE)
+    by_key = Window.partitionBy(*keys).orderBy(*ids)
     before = by_key.rowsBetween(Window.unboundedPreceding, -1)
     return summary.select(
         *keys,
-        SLICE,
+        *ids,
         F.lit(False).alias("_own"),
         *[F.lag(f"_p_{n}").over(by_key).alias(f"_p_{n}") for n in previous],
         *[F.coalesce(F.sum(f"_r_{n}").over(before), F.lit(0)).alias(f"_r_{n}") for n in running],

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberframe.operators.ordered import SLICE, ordered_columns, slice_hot_groups, with_position
+from emberframe.operators.ordered import ordered_columns, slice_columns, slice_hot_groups, with_position
 
 
 def rows(seed, n=400):
@@ -45,7 +45,7 @@ def test_hot_keys_and_bursts_give_the_same_rows(spark, max_rows):
 
 def test_no_slice_is_larger_than_asked(spark):
     df = spark.createDataFrame(rows(1), "k string, at bigint, i bigint, v bigint")
-    sizes = slice_hot_groups(df, ["k"], ["at", "i"], 20).groupBy("k", SLICE).count()
+    sizes = slice_hot_groups(df, ["k"], ["at", "i"], 20).groupBy("k", *slice_columns(["at", "i"])).count()
     assert sizes.agg(F.max("count")).first()[0] <= 20
 
 
