@@ -128,6 +128,15 @@ def with_(cte: str, select: str) -> str:
     return f"WITH {cte}\n{select}"
 
 
+DIFF = with_(
+    YEARS,
+    f""", delta AS (
+  SELECT COALESCE(h.path, b.path) AS path, COALESCE(h.depth, b.depth) AS depth, COALESCE(h.name, b.name) AS name,
+     COALESCE(h.value, 0) - COALESCE(b.value, 0) AS delta
+  FROM head h FULL OUTER JOIN base b ON h.path = b.path)
+SELECT path, name, delta FROM delta n WHERE EXISTS (SELECT 1 FROM delta c WHERE c.delta <> 0 AND {below('n', 'c')})""",
+)
+
 ORACLE: dict[str, str] = {
     "read_trace_ndjson": with_(TRACE, TRACE_ROWS),
     "read_snapshots": with_(FRAMES, FRAME_ROWS),
@@ -204,14 +213,8 @@ SELECT name, hash, hash % 360 AS bucket FROM hashed""",
   SELECT n_regionkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey UNION
   SELECT n_regionkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS keys FROM k GROUP BY 1""",
-    "flame_diff": with_(
-        YEARS,
-        f""", delta AS (
-  SELECT COALESCE(h.path, b.path) AS path, COALESCE(h.depth, b.depth) AS depth, COALESCE(h.name, b.name) AS name,
-         COALESCE(h.value, 0) - COALESCE(b.value, 0) AS delta
-  FROM head h FULL OUTER JOIN base b ON h.path = b.path)
-SELECT path, name, delta FROM delta n WHERE EXISTS (SELECT 1 FROM delta c WHERE c.delta <> 0 AND {below('n', 'c')})""",
-    ),
+    "flame_diff": DIFF,
+    "snapshot_diff": DIFF,
     "trace_attach": with_(
         ANNOTATIONS,
         """, f AS (

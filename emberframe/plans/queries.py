@@ -46,9 +46,9 @@ def shown(df: DataFrame) -> DataFrame:
     return df.select("snapshot_id", joined(), "name", "value")
 
 
-def year(spark: SparkSession, sf: str, y: str) -> DataFrame:
-    samples = tables.stack_samples(spark, sf).filter(F.col("snapshot_id") == y)
-    return flame.flame_build(samples)
+def years(spark: SparkSession, sf: str, first: int, last: int) -> DataFrame:
+    """Trees of some years; the range of days reaches the scan."""
+    return flame.flame_build(tables.stack_samples(spark, sf, f"{first}-01-01", f"{last + 1}-01-01"))
 
 
 def trace_columns(df: DataFrame) -> DataFrame:
@@ -287,7 +287,13 @@ def child_key_union(spark, sf):
 
 @query
 def flame_diff(spark, sf):
-    delta = flame.flame_diff(year(spark, sf, "1997"), year(spark, sf, "1996"))
+    delta = flame.flame_diff(years(spark, sf, 1997, 1997), years(spark, sf, 1996, 1996))
+    return delta.select(joined(), "name", "delta")
+
+
+@query
+def snapshot_diff(spark, sf):
+    delta = flame.snapshot_diff(years(spark, sf, 1996, 1997), "1997", "1996")
     return delta.select(joined(), "name", "delta")
 
 
@@ -345,7 +351,7 @@ def flame_build(spark, sf):
 
 @query
 def flame_merge(spark, sf):
-    merged = flame.flame_merge([year(spark, sf, "1996"), year(spark, sf, "1997")])
+    merged = flame.flame_merge([years(spark, sf, 1996, 1996), years(spark, sf, 1997, 1997)])
     return merged.select(joined(), "name", "value")
 
 

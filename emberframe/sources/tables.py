@@ -25,12 +25,17 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("us", micros("ts"))
 
 
-def stack_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stack_samples(spark: SparkSession, sf_dir: str, first_day: str | None = None, end_day: str | None = None) -> DataFrame:
     """One sample per line item: region, nation, segment, priority; weight is the quantity."""
     t = lambda name: table(spark, sf_dir, name)
+    orders = t("orders")
+    if first_day:
+        orders = orders.filter(F.col("o_orderdate") >= F.lit(first_day).cast("timestamp_ntz"))
+    if end_day:
+        orders = orders.filter(F.col("o_orderdate") < F.lit(end_day).cast("timestamp_ntz"))
     return (
         t("lineitem")
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
