@@ -58,36 +58,22 @@ def ancestor_closure(frames: DataFrame, keys: list[str] = ["snapshot_id"]) -> Da
     ).select(*keys, _prefix("path", F.col("depth")).alias("path")).distinct()
 
 
-def _odd_names(frames: DataFrame, columns: list[str]) -> DataFrame:
-    """The few nodes whose name is not their key: roots and span children.
-
-    Names stay out of the large aggregations, as text in an aggregation buffer forces a sort on both sides of
-    the shuffle. A name is the last path element unless it is found here.
-    """
-    is_odd = (F.size("path") == 0) | (F.col("name") != F.try_element_at("path", F.lit(-1)))
-    return frames.filter(is_odd).select(*columns, "path", F.col("name").alias("_odd_name"))
-
-
-def _plain_name() -> Column:
-    return F.try_element_at("path", F.lit(-1))
-
-
-def _keep_with_ancestors(nodes: DataFrame, keys: list[str], hit: Column, numbers: list[str]) -> DataFrame:
+def _keep_with_ancestors(nodes: DataFrame, keys: list[str], hit: Column, columns: list[str]) -> DataFrame:
     """Nodes that are hit or lead to a hit, by one aggregation instead of a closure and a semi join.
 
     A hit node speaks for all its prefixes, any other node for itself only.
     """
     own = F.col("_depth") == F.size("_path")
-    spoken = (
-        nodes.select(*keys, F.col("path").alias("_path"), *numbers, hit.alias("_hit"))
-        .select("*", F.explode(F.sequence(F.when(F.col("_hit"), F.lit(0)).otherwise(F.size("_path")), F.size("_path"))).alias("_depth"))
+    spoken = nodes.withColumn("_hit", hit).withColumnRenamed("path", "_path").select(
+        "*",
+        F.explode(F.sequence(F.when(F.col("_hit"), F.lit(0)).otherwise(F.size("_path")), F.size("_path"))).alias("_depth"),
     )
     return (
         spoken.groupBy(*keys, _prefix("_path", F.col("_depth")).alias("path"))
         .agg(
             F.bool_or("_hit").alias("_lead"),
             F.bool_or(F.col("_hit") & own).alias("_hit"),
-            *[F.max(F.when(own, F.col(c))).alias(c) for c in numbers],
+            *[F.max(F.when(own, F.col(c))).alias(c) for c in columns],
         )
         .filter("_lead")
         .drop("_lead")
@@ -99,24 +85,16 @@ def flame_search(frames: DataFrame, text: str, keys: list[str] = ["snapshot_id"]
     if not text:
         return frames.withColumn("matched", F.lit(False))
     hit = F.contains(F.lower("name"), F.lower(F.lit(text)))
-    found = _keep_with_ancestors(frames, keys, hit, ["value"])
-    return found.join(_odd_names(frames, keys), [*keys, "path"], "left").select(
-        *keys, "path", F.coalesce("_odd_name", _plain_name()).alias("name"), "value", F.col("_hit").alias("matched")
-    )
+    others = [c for c in frames.columns if c not in (*keys, "path")]
+    return _keep_with_ancestors(frames, keys, hit, others).withColumnRenamed("_hit", "matched").select(*frames.columns, "matched")
 
 
 def _diff(sides: DataFrame, keys: list[str]) -> DataFrame:
     """Difference of nodes with ``side`` 1 (head) and -1 (base)."""
-    delta = sides.groupBy(*keys, "path").agg(
-        F.sum(F.col("value") * F.col("side")).alias("delta"), F.max("side").alias("side")
-    )
-    kept = _keep_with_ancestors(delta, keys, F.col("delta") != 0, ["delta", "side"])
-    odd = _odd_names(sides, [*keys, "side"]).groupBy(*keys, "path").agg(
-        F.max(F.when(F.col("side") == 1, F.col("_odd_name"))).alias("_head_name"),
-        F.max(F.when(F.col("side") == -1, F.col("_odd_name"))).alias("_base_name"),
-    )
-    name = F.coalesce("_head_name", F.when(F.col("side") == 1, _plain_name()), "_base_name", _plain_name())
-    return kept.join(odd, [*keys, "path"], "left").select(*keys, "path", name.alias("name"), "delta")
+    name = F.coalesce(F.max(F.when(F.col("side") == 1, F.col("name"))), F.max("name"))
+    delta = sides.groupBy(*keys, "path").agg(F.sum(F.col("value") * F.col("side")).alias("delta"), name.alias("name"))
+    kept = _keep_with_ancestors(delta, keys, F.col("delta") != 0, ["delta", "name"])
+    return kept.select(*keys, "path", "name", "delta")
 
 
 def flame_diff(head: DataFrame, base: DataFrame, keys: list[str] = []) -> DataFrame:
@@ -130,11 +108,10 @@ def flame_diff(head: DataFrame, base: DataFrame, keys: list[str] = []) -> DataFr
 
 def snapshot_diff(frames: DataFrame, head_id: str, base_id: str) -> DataFrame:
     """Difference of two snapshots of one frame table, which is read once."""
-    both = frames.filter(F.col("snapshot_id").isin(head_id, base_id))
+    if head_id == base_id:
+        return frames.select("path", "name", F.col("value").alias("delta")).limit(0)
     side = F.when(F.col("snapshot_id") == head_id, 1).otherwise(-1).alias("side")
-    return _diff(both.select("path", "name", "value", side), []) if head_id != base_id else both.select(
-        "path", "name", F.col("value").alias("delta")
-    ).limit(0)
+    return _diff(frames.filter(F.col("snapshot_id").isin(head_id, base_id)).select("path", "name", "value", side), [])
 
 
 def flame_merge(trees: list[DataFrame], keys: list[str] = []) -> DataFrame:
@@ -142,39 +119,44 @@ def flame_merge(trees: list[DataFrame], keys: list[str] = []) -> DataFrame:
 
     ``keys`` says what stays apart: [] merges everything into one tree, ["snapshot_id"] per snapshot.
     """
-    numbered = [t.select(*keys, "path", "name", "value", F.lit(i).alias("_source")) for i, t in enumerate(trees)]
+    numbered = [t.select(*keys, "root_name", "path", "name", "value", F.lit(i).alias("source")) for i, t in enumerate(trees)]
     every = numbered[0]
     for t in numbered[1:]:
         every = every.unionByName(t)
-    merged = every.groupBy(*keys, "path").agg(F.sum("value").alias("value"), F.min("_source").alias("_source"))
-    odd = _odd_names(every, [*keys, "_source"]).dropDuplicates([*keys, "_source", "path"])
-    return merged.join(odd, [*keys, "path", "_source"], "left").select(
-        *keys, "path", F.coalesce("_odd_name", _plain_name()).alias("name"), "value"
+    return (
+        every.groupBy(*keys, "path")
+        .agg(
+            F.sum("value").alias("value"),
+            F.min_by("name", "source").alias("name"),
+            F.min_by("root_name", "source").alias("root_name"),
+        )
+        .select(*keys, "root_name", "path", "name", "value")
     )
 
 
 def flame_flatten(frames: DataFrame, keys: list[str] = ["snapshot_id"]) -> DataFrame:
     """Depth, ``self`` (the node's value), ``cumulative`` (sum of the values of the node and all below it)
-    and ``self_exclusive`` (the value less those of the direct children), all in one aggregation of numbers."""
+    and ``self_exclusive`` (the value less those of the direct children), all in one aggregation."""
     size, at = F.size("_path"), F.col("_at")
-    sums = (
-        frames.select(*keys, F.col("path").alias("_path"), "value")
-        .select("*", F.explode(F.sequence(F.lit(0), size)).alias("_at"))
+    return (
+        frames.withColumnRenamed("path", "_path")
+        .select(*keys, "_path", "name", "value", F.explode(F.sequence(F.lit(0), size)).alias("_at"))
         .groupBy(*keys, _prefix("_path", at).alias("path"))
         .agg(
+            F.max(F.when(at == size, F.col("name"))).alias("name"),
             F.sum(F.when(at == size, F.col("value"))).alias("self"),
             F.sum("value").alias("cumulative"),
             F.sum(F.when(at == size - 1, F.col("value"))).alias("_below"),
         )
-    )
-    return sums.join(_odd_names(frames, keys), [*keys, "path"], "left").select(
-        *keys,
-        "path",
-        F.coalesce("_odd_name", _plain_name()).alias("name"),
-        F.size("path").alias("depth"),
-        "self",
-        "cumulative",
-        (F.col("self") - F.coalesce("_below", F.lit(0))).alias("self_exclusive"),
+        .select(
+            *keys,
+            "path",
+            "name",
+            F.size("path").alias("depth"),
+            "self",
+            "cumulative",
+            (F.col("self") - F.coalesce("_below", F.lit(0))).alias("self_exclusive"),
+        )
     )
 
 

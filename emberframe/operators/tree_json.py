@@ -93,13 +93,19 @@ ARROW_FRAMES = pa.schema([
 ])
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of two columns, one document in memory at a time besides the batch."""
+    for batch in batches:
+        for key, document in zip(batch.column(0), batch.column(1)):
+            yield key.as_py(), document.as_py()
+
+
 def tree_explode(snapshots: DataFrame, id_column: str = "snapshot_id", payload: str = "payload") -> DataFrame:
     """Nested JSON trees to one row per node. Trees may be of any depth, which no fixed Spark type can hold,
     so a task decodes them document by document; nothing is shuffled."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = (pair for b in batches for pair in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        return _frame_batches(pairs, ARROW_FRAMES)
+        return _frame_batches(_pairs(batches), ARROW_FRAMES)
 
     return snapshots.select(F.col(id_column).cast("string"), payload).mapInArrow(decode, FLAME_FRAMES)
 
@@ -108,11 +114,9 @@ def decode_files(files: DataFrame) -> DataFrame:
     """Rows of ``binaryFile`` to frame rows; gzip is known by its first bytes, not by the file name."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def documents():
-            for b in batches:
-                for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    yield name, gzip.decompress(content) if content[:2] == GZIP_MAGIC else content
-
-        return _frame_batches(documents(), ARROW_FRAMES)
+        unpacked = (
+            (name, gzip.decompress(content) if content[:2] == GZIP_MAGIC else content) for name, content in _pairs(batches)
+        )
+        return _frame_batches(unpacked, ARROW_FRAMES)
 
     return files.select("path", "content").mapInArrow(decode, FLAME_FRAMES)
