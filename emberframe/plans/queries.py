@@ -586,7 +586,8 @@ def stream_counters(spark, sf):
         F.floor(F.col("event_id") / 50).cast("long").alias("num_gc"),
     ).withColumn("pause_ns", tables.pause_slots("process_id"))
     out = fresh_dir(spark, "samples")
-    sinks.run_available(state.stream_counters(readings, EVENT_ORDER), sinks.table_sink(out), fresh_dir(spark, "checkpoint"))
+    count = state.stream_counters(fresh_dir(spark, "last-readings"), sinks.table_sink(out), EVENT_ORDER)
+    sinks.run_available(readings, count, fresh_dir(spark, "checkpoint"))
     return spark.read.parquet(out).select("process_id", *EVENT_ORDER, joined("stack"), "weight")
 
 

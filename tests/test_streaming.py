@@ -51,9 +51,24 @@ def test_counters(spark):
         count += r.choice([0, 0, 1, 3, 600])
         rows.append((r.choice([1, 1, 2]), i, r.randint(0, 9), count, [(s * 7) % 5 for s in range(256)]))
     df = spark.createDataFrame(rows, "process_id bigint, us bigint, heap_alloc bigint, num_gc bigint, pause_ns array<bigint>")
-    got = run(spark, state.stream_counters(feed(spark, df, "us"), ["us"]))
     want = counters.heap_delta(df).unionByName(counters.gc_unroll(df).drop("cycle"))
-    same(got.select(want.columns), want)
+    for max_rows in (1000, 10):
+        out = fresh_dir(spark, "samples")
+        count = state.stream_counters(fresh_dir(spark, "last"), sinks.table_sink(out), ["us"], max_rows)
+        run(spark, feed(spark, df, "us"), sink=count)
+        same(spark.read.parquet(out).select(want.columns), want)
+
+
+def test_counters_of_a_repeated_batch(spark):
+    schema = "process_id bigint, us bigint, heap_alloc bigint, num_gc bigint, pause_ns array<bigint>"
+    rows = lambda *pairs: spark.createDataFrame([(1, t, h, 0, [1] * 256) for t, h in pairs], schema)
+    seen = []
+    count = state.stream_counters(fresh_dir(spark, "last"), lambda b, i: seen.append([(r.us, r.weight) for r in b.collect()]))
+    count(rows((1, 10)), 0)
+    for _ in range(2):
+        count(rows((2, 15)), 1)
+    count(rows((3, 11)), 2)
+    assert seen == [[], [(2, 5)], [(2, 5)], [(3, -4)]]
 
 
 def test_spans(spark):
