@@ -93,10 +93,11 @@ def op5_pii(spark, sf_dir):
     """Personal data in every document: counts of the base kinds, their digest, every span, and the scores in span order."""
     found = personal_data(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    is_kind = lambda kind: lambda s: s["kind"] == kind
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *[F.size(F.filter("spans", is_kind(k))).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
         F.transform("spans", lambda s: s["score"]).alias("scores"),
