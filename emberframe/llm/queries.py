@@ -1,7 +1,8 @@
 """The queries of this package and the SQL that checks them, where SQL can express them."""
 
 from emberframe.llm.byte_bpe import op7_byte_bpe
+from emberframe.llm.jaccard_join import op8_ngram_jaccard
 from emberframe.llm.pii import op5_pii
 
-QUERIES = {f.__name__: f for f in (op5_pii, op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op5_pii, op7_byte_bpe, op8_ngram_jaccard)}
 ORACLE: dict[str, str] = {}
