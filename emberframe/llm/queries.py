@@ -5,6 +5,7 @@ from emberframe.llm.byte_bpe import op7_byte_bpe
 from emberframe.llm.exact_topk import op9_exact_topk
 from emberframe.llm.jaccard_join import op8_ngram_jaccard
 from emberframe.llm.pii import op5_pii
+from emberframe.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_ann, op5_pii, op7_byte_bpe, op8_ngram_jaccard, op9_exact_topk)}
+QUERIES = {f.__name__: f for f in (op2_ann, op3_toxicity, op5_pii, op7_byte_bpe, op8_ngram_jaccard, op9_exact_topk)}
 ORACLE: dict[str, str] = {}
