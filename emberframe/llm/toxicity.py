@@ -19,8 +19,9 @@ from emberframe.llm.common import per_text, table, texts_of
 
 #: Labelled texts learnt from, at most, by class: those whose ids hash lowest. Half make the dictionaries, half calibrate.
 TOXIC, ORDINARY = 3000, 6000
-#: Letters in a tell-tale sequence, the standard score it needs and the texts it must be in; bytes of either dictionary's parts.
-LETTERS, SCORE, TEXTS = 6, 15.0, 5
+#: Letters in a tell-tale sequence; how many times commoner it must be in toxic texts, the share and number of them it must be in.
+LETTERS, LIFT, SHARE, TEXTS = 6, 15.0, 0.02, 3
+#: Bytes of the dictionaries' common and toxic parts.
 ORDINARY_BYTES, TOXIC_BYTES = 16_384, 8_192
 #: A byte string that prose does not hold.
 FRAME = "<q7#Zr!v0Kp%Xw3^Lj&>"
@@ -47,12 +48,8 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
             held[side].update({s for w in set(bare(text)) for s in sequences(w)})
     n0, n1 = len(ordinary), len(toxic)
 
-    def score(s: str) -> float:
-        a, b = held[1][s] / n1, held[0][s] / n0
-        p = (held[1][s] + held[0][s]) / (n0 + n1)
-        return (a - b) / (p * (1 - p) * (1 / n0 + 1 / n1) + 1e-9) ** 0.5
-
-    marks = {s for s, n in held[1].items() if n >= TEXTS and score(s) >= SCORE}
+    lift = lambda s: (held[1][s] + 0.5) / n1 / ((held[0][s] + 0.5) / n0)
+    marks = {s for s, n in held[1].items() if n >= max(TEXTS, SHARE * n1) and lift(s) >= LIFT}
     told = Counter(w for text in toxic for w in bare(text) if any(s in marks for s in sequences(w)))
     common = Counter(w for text in ordinary for w in windows(text))
     # rarest first, so that what a cut at the front loses is rare
