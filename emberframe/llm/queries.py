@@ -8,7 +8,8 @@ from emberframe.llm.line_dedup import op10_line_dedup
 from emberframe.llm.packing import op6_packing
 from emberframe.llm.pii import op5_pii
 from emberframe.llm.secrets import op4_secret_scan
+from emberframe.llm.suffix_dedup import op1_suffix_dedup
 from emberframe.llm.toxicity import op3_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_ann, op3_toxicity, op4_secret_scan, op5_pii, op6_packing, op7_byte_bpe, op8_ngram_jaccard, op9_exact_topk, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_ann, op3_toxicity, op4_secret_scan, op5_pii, op6_packing, op7_byte_bpe, op8_ngram_jaccard, op9_exact_topk, op10_line_dedup)}
 ORACLE: dict[str, str] = {}

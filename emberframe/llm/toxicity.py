@@ -11,6 +11,7 @@ from collections import Counter
 from math import exp, log1p
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -145,6 +146,18 @@ def is_held_out(doc_id: str):
 _meters: dict[tuple[bytes, bytes], Meter] = {}
 
 
+def _scores(model, texts) -> list[float]:
+    if model is None:
+        return [0.0] * len(texts)
+    made, threshold, weights = model
+    meter = _meters.get(made) or _meters.setdefault(made, Meter(*made))
+    scores = []
+    for t in texts:
+        x = sum(w * e for w, e in zip(weights, evidence(meter.savings(windows(t or "")), threshold)))
+        scores.append(1 / (1 + exp(-min(30.0, max(-30.0, x)))))
+    return scores
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row of ``docs``; the score comes from the whole text alone.
 
@@ -155,25 +168,24 @@ def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """
     docs = texts_of(docs, doc_id, text)
     model = fit(docs, labels)
-
-    def rows(ids, texts):
-        if model is None:
-            scores = [0.0] * len(ids)
-        else:
-            made, threshold, weights = model
-            meter = _meters.get(made) or _meters.setdefault(made, Meter(*made))
-            scores = []
-            for t in texts:
-                x = sum(w * e for w, e in zip(weights, evidence(meter.savings(windows(t)), threshold)))
-                scores.append(1 / (1 + exp(-min(30.0, max(-30.0, x)))))
-        return {"doc_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())}
-
+    rows = lambda ids, texts: {"doc_id": pa.array(ids, pa.int64()), "score": pa.array(_scores(model, texts), pa.float64())}
     scored = per_text(docs, rows, "doc_id long, score double")
     return scored.select(
         "doc_id", F.coalesce(is_held_out("doc_id"), F.lit(True)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) that score below one half, all columns as they are. See ``toxicity``."""
+    model = fit(texts_of(docs), labels)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(_scores(model, texts))
+
+    return docs.filter(score(F.col("text")) < 0.5)
+
+
 def op3_toxicity(spark, sf_dir):
     """The toxicity of every document, learnt from the labelled ones that are not held out."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
