@@ -16,8 +16,12 @@ def ns_to_ms(ns: Column) -> Column:
 
 
 def file_timestamp(us: Column) -> Column:
-    """``yyyyMMddTHHmmss.SSS``, in the session zone, which is UTC here."""
-    return F.date_format(F.timestamp_micros(us), "yyyyMMdd'T'HHmmss.SSS")
+    """``yyyyMMddTHHmmss.SSS`` in UTC, whatever the session's zone."""
+    day = F.date_format(F.date_from_unix_date(F.floor(us / 86_400_000_000).cast("int")), "yyyyMMdd")
+    ms = F.floor(F.pmod(us, F.lit(86_400_000_000)) / 1000)
+    two = lambda n: F.lpad(n.cast("long").cast("string"), 2, "0")
+    clock = [two(ms / 3_600_000), two(ms / 60_000 % 60), two(ms / 1000 % 60)]
+    return F.concat(day, F.lit("T"), *clock, F.lit("."), F.lpad((ms % 1000).cast("long").cast("string"), 3, "0"))
 
 
 def tags_to_map(tags: Column) -> Column:

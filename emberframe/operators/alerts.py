@@ -3,10 +3,10 @@
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberframe.functions.rules import compare, register_rule_functions, truth, with_missing_metrics
+from emberframe.functions.rules import Rule, compare, read_rules, register_rule_functions, truth, with_missing_metrics
 from emberframe.operators.ordered import LEVEL, MAX_ROWS, has_hot_group, ordered_columns, slice_columns, slice_hot_groups
 
 # Fixed value: rules the de-duplicating sink remembers.
@@ -22,38 +22,65 @@ def threshold_filter(metrics: DataFrame, metric: str, op: str, number: int) -> D
     return metrics.filter(compare(value, op, number))
 
 
-def rule_eval(metrics: DataFrame, rules: dict[str, str], keep: list[str] = ["us"]) -> DataFrame:
+def _rules(rules: dict[str, str] | list[Rule] | DataFrame) -> list[Rule]:
+    if isinstance(rules, DataFrame):
+        return read_rules(rules)
+    return [Rule(n, p) for n, p in rules.items()] if isinstance(rules, dict) else rules
+
+
+def rule_eval(metrics: DataFrame, rules: dict[str, str] | list[Rule] | DataFrame, keep: list[str] = ["us"]) -> DataFrame:
     """Every rule on every row in one pass: columns ``keep``, ``rule``, ``holds``.
 
-    A rule is a Spark SQL predicate over the metric columns, with ``safe_div(a, b)`` for division.
+    ``rules``: predicates by name, or a table ``name, predicate, for_ms, sinks``. See ``functions.rules`` for predicates.
     """
     register_rule_functions(metrics.sparkSession)
-    full = with_missing_metrics(metrics, list(rules.values()))
-    outcomes = F.array(*[F.struct(F.lit(n).alias("rule"), truth(full, p).alias("holds")) for n, p in rules.items()])
+    rules = _rules(rules)
+    full = with_missing_metrics(metrics, [r.predicate for r in rules])
+    outcomes = F.array(*[F.struct(F.lit(r.name).alias("rule"), truth(full, r.predicate).alias("holds")) for r in rules])
     return full.select(*keep, outcomes.alias("_outcomes")).select(*keep, F.inline("_outcomes"))
 
 
-def alert_hold(
-    outcomes: DataFrame, hold_us: int, keys: list[str] = ["rule"], order: list[str] = ["us"], max_rows: int = MAX_ROWS
-) -> DataFrame:
-    """Fire once per unbroken run of ``holds``, at its first row at least ``hold_us`` after its first one.
+def hold_of(rules: list[Rule] | DataFrame) -> Column:
+    """The hold time of the rule in column ``rule``, for ``alert_hold``."""
+    rules = _rules(rules)
+    return F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.hold_us)]), F.col("rule")).cast("long")
 
-    Our own definition. Columns: keys, order, ``since_us``.
-    """
+
+def alert_route(firings: DataFrame, rules: list[Rule] | DataFrame) -> DataFrame:
+    """Firings once per sink of their rule, with the sink's name in ``sink``; a rule without sinks goes nowhere."""
+    known = [x for r in _rules(rules) for x in (F.lit(r.name), F.array(*map(F.lit, r.sinks)).cast("array<string>"))]
+    sinks = F.try_element_at(F.create_map(*known), F.col("rule")) if known else F.array().cast("array<string>")
+    return firings.select("*", F.explode(sinks).alias("sink"))
+
+
+def hold_runs(outcomes: DataFrame, keys: list[str], order: list[str], extra: list[str] = [], max_rows: int = MAX_ROWS) -> DataFrame:
+    """Outcomes with ``since_us``, the first time of the unbroken run of ``holds`` a row is in or of the last one before,
+    and what the row before was: ``_held``, ``_at``."""
     t = order[0]
     hot = has_hot_group(outcomes, keys, max_rows)
-    stepped = ordered_columns(
-        outcomes.select(*keys, *order, "holds"),
-        keys,
-        order,
-        previous={"_held": F.col("holds"), "_at": F.col(t)},
-        max_rows=max_rows,
-        hot=hot,
-    )
+    rows = outcomes.select(*keys, *order, "holds", *extra)
+    before = {"_held": F.col("holds"), "_at": F.col(t)}
+    stepped = ordered_columns(rows, keys, order, previous=before, max_rows=max_rows, hot=hot)
+    begins = F.col("holds") & ~F.coalesce("_held", F.lit(False))
+    return ordered_columns(stepped, keys, order, last_known={"since_us": F.when(begins, F.col(t))}, max_rows=max_rows, hot=hot)
+
+
+def fires(hold: int | Column, time: str) -> Column:
+    """On rows of ``hold_runs``: the run has lasted for ``hold`` at this row and had not at the one before."""
     begins = F.col("holds") & ~F.coalesce("_held", F.lit(False))
-    runs = ordered_columns(stepped, keys, order, last_known={"since_us": F.when(begins, F.col(t))}, max_rows=max_rows, hot=hot)
-    already = F.coalesce(F.col("_held") & (F.col("_at") - F.col("since_us") >= hold_us), F.lit(False)) & ~begins
-    return runs.filter(F.col("holds") & (F.col(t) - F.col("since_us") >= hold_us) & ~already).select(*keys, *order, "since_us")
+    already = F.coalesce(F.col("_held") & (F.col("_at") - F.col("since_us") >= hold), F.lit(False)) & ~begins
+    return F.col("holds") & (F.col(time) - F.col("since_us") >= hold) & ~already
+
+
+def alert_hold(
+    outcomes: DataFrame, hold: int | Column, keys: list[str] = ["rule"], order: list[str] = ["us"], max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """Fire once per unbroken run of ``holds``, at its first row at least ``hold`` microseconds after its first one.
+
+    Our own definition. ``hold`` is one time for all or, by ``hold_of``, each rule's own. Columns: keys, order, ``since_us``.
+    """
+    runs = hold_runs(outcomes, keys, order, max_rows=max_rows)
+    return runs.filter(fires(hold, order[0])).select(*keys, *order, "since_us")
 
 
 def _remember(recent: OrderedDict, rule: str, capacity: int) -> bool:
@@ -69,20 +96,10 @@ def _remember(recent: OrderedDict, rule: str, capacity: int) -> bool:
 def alert_dedup_lru(firings: DataFrame, order: list[str] = ["us"], capacity: int = REMEMBERED_RULES, max_rows: int = MAX_PANDAS_ROWS) -> DataFrame:
     """Firings that notify: those whose rule is not among the last ``capacity`` distinct rules fired.
 
-    With no more rules than that, only the first firing of each can notify: one combined aggregation. Else the
-    history is cut into slices of bounded size. A slice needs no more of the past than the ``capacity`` rules
-    fired last, so slices run side by side. Each delivery is taken to succeed before the next firing.
+    The history is cut into slices of at most about ``max_rows``. A slice needs no more of the past than the ``capacity``
+    rules fired last, so slices run side by side. Each delivery is taken to succeed before the next firing.
     """
-    if firings.select("rule").distinct().limit(capacity + 1).count() <= capacity:
-        columns = [c for c in firings.columns if c != "rule"]
-        first = firings.groupBy("rule").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("_first"))
-        return first.select("rule", "_first.*").select(*firings.columns)
-
-    if has_hot_group(firings, [], max_rows):
-        rows = _with_memory(slice_hot_groups(firings, [], order, max_rows), order, capacity)
-    else:
-        rows = firings.withColumn("_slice_no", F.lit(1).cast("long")).withColumn("_memory", F.lit(False))
-
+    rows = _with_memory(slice_hot_groups(firings, [], order, max_rows), order, capacity)
     schema = firings.schema
 
     def notify(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.scalars import clamp
-from emberframe.operators.ordered import MAX_ROWS, with_position
+from emberframe.operators.ordered import MAX_ROWS, ordinal, with_position
 
 # Lowest and highest rate per kind of reading; what a rate below the lowest becomes.
 RATE_LIMITS = {
@@ -68,7 +68,6 @@ def rate_limit(readings: DataFrame, kind: str, hz: int, keys: list[str] = ["proc
     period_us = 1_000_000 // effective_rate(kind, hz)
     return (
         readings.groupBy(*keys, F.floor(F.col(order[0]) / period_us).alias("_period"))
-        .agg(F.min_by(F.struct(*[c for c in readings.columns if c not in keys]), F.struct(*order)).alias("_first"))
-        .select(*keys, "_first.*")
+        .agg(*[F.min_by(c, ordinal(order)).alias(c) for c in readings.columns if c not in keys])
         .select(*readings.columns)
     )

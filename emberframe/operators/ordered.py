@@ -26,6 +26,18 @@ def slice_columns(order: list[str]) -> list[str]:
     return [f"_from_{c}" for c in order]
 
 
+def ordinal(order: list[str]) -> Column:
+    """One DECIMAL(38,0) that sorts as one or two BIGINT columns do, for ``max_by`` and ``min_by``: their buffers then are
+    numbers and the aggregation hashes, where a struct makes it sort its input."""
+    if len(order) == 1:
+        return F.col(order[0]).cast("decimal(38,0)")
+    if len(order) > 2:
+        return F.struct(*order)
+    first, second = (F.col(c).cast("decimal(19,0)") for c in order)
+    # the second column, moved to 0 and above, fills nineteen digits less than the step of the first
+    return (first * F.lit("1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") + second
+
+
 def _counts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -82,7 +94,9 @@ def slice_hot_groups(df: DataFrame, keys: list[str], order: list[str], max_rows:
         small = F.broadcast(cuts) if n <= MAX_BROADCAST_SLICES else cuts
         # rows of finished slices match no cut, as cut slices had the level before
         if by:
-            out = out.join(small, by, "left")
+            # null is a key like any other
+            named = small.select(*[F.col(c).alias(f"_cut_{c}") for c in by], *[c for c in cuts.columns if c not in by])
+            out = out.join(named, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_cut_{c}")) for c in by]), "left")
         else:
             out = out.select("*", *[F.lit(v).alias(c) for c, v in cuts.first().asDict().items()])
         is_cut = F.col("_cut").isNotNull() & (F.col(LEVEL) == level)

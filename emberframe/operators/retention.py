@@ -1,8 +1,10 @@
 """Bounded history. ``seq`` numbers the writes 1, 2, 3, ... without gaps; ``us`` is the time of the write."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberframe.operators.ordered import ordered_columns
+
 # Ring slots per second, list head room, default writes per second.
 SLOTS_PER_SECOND = 10
 LIST_HEADROOM = 100
@@ -40,15 +42,10 @@ def retain_list(
     kept = chunks.filter(F.col("seq") > newest.select("n").scalar() - capacity)
     if as_of_us is not None:
         kept = kept.filter(F.lit(as_of_us) - newest.select("us").scalar() < retention_us)
-    # at most ``capacity`` rows are left here, a number the caller sets
-    in_order = Window.partitionBy().orderBy("seq")
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return (
-        kept.withColumn("_pause", F.col("us") - F.lag("us").over(in_order))
-        .withColumn("_start", F.max(F.when(F.col("_pause") >= retention_us, F.col("seq"))).over(everything))
-        .filter(F.col("_start").isNull() | (F.col("seq") >= F.col("_start")))
-        .drop("_pause", "_start")
-    )
+    # the number after the last pause, from numbers and times alone; payloads stay where they are
+    stepped = ordered_columns(kept.select("seq", "us"), [], ["seq"], previous={"_before": F.col("us")})
+    start = stepped.filter(F.col("us") - F.col("_before") >= retention_us).agg(F.coalesce(F.max("seq"), F.lit(0))).scalar()
+    return kept.filter(F.col("seq") >= start)
 
 
 def timeline_seek(retained: DataFrame, index: int | None = None, capacity: int = 1000) -> DataFrame:

@@ -14,7 +14,7 @@ def trace_attach(frames: DataFrame, annotations: DataFrame, ttl_us: int = TTL_US
 
     ``frames`` has ``us`` and a BIGINT ``frame_id`` besides the frame columns; ``annotations`` has gid, us,
     event_id, ann. As-of lookup without a join: both sides are put in one order per goroutine and each frame
-    takes the last annotation before it.
+    takes the last annotation before it. A ``_trace`` child that a frame has already is replaced.
     """
     named = frames.withColumn("_gid", goroutine_id(F.col("name"))).filter(F.col("_gid").isNotNull())
     spans = annotations.select(
@@ -32,7 +32,11 @@ def trace_attach(frames: DataFrame, annotations: DataFrame, ttl_us: int = TTL_US
         .withColumn("name", F.col("_newest.label"))
         .withColumn("value", F.lit(0).cast("long"))
     )
-    return frames.unionByName(children.select(*frames.columns))
+    children = children.select(*frames.columns)
+    # only rows of that name can be in the way
+    is_trace = F.coalesce(F.try_element_at("path", F.lit(-1)) == TRACE_CHILD, F.lit(False))
+    old = frames.filter(is_trace).join(children.select("snapshot_id", "path").distinct(), ["snapshot_id", "path"], "left_anti")
+    return frames.filter(~is_trace).unionByName(old.select(*frames.columns)).unionByName(children)
 
 
 def agent_enrich(facts: DataFrame, agents: DataFrame, key: str) -> DataFrame:

@@ -4,47 +4,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.stacks import normalise_stack
+from emberframe.operators.ordered import MAX_ROWS, ordered_columns
 
 
-# functions (name and two addresses each) up to which the table is handed to every executor
-MAX_BROADCAST_FUNCTIONS = 200_000
-
-
-def symbolise(
-    samples: DataFrame, symbols: DataFrame, bucket_width: int | None = None, max_broadcast: int = MAX_BROADCAST_FUNCTIONS
-) -> DataFrame:
+def symbolise(samples: DataFrame, symbols: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Leaf-first ``pcs`` to root-first ``stack``; a counter stands for the function that holds pc - 1.
 
-    The range condition becomes an equality on address buckets as wide as functions are apart on average, so
-    the table written out per bucket has at most about twice as many rows as there are functions, however
-    unlike their sizes. A counted small table is broadcast and no frame is shuffled. A larger one is joined
-    with the distinct counters, of which there are no more than code has addresses.
+    An ordered lookup: the distinct counters, of which there are no more than code has addresses, and the functions'
+    starts are put in one order, and each counter takes the function that started last. It has none where that function
+    ends before it. However functions lie, a counter is compared with one of them.
     """
-    low, high, n = symbols.agg(F.min("start_pc"), F.max("end_pc"), F.count(F.lit(1))).first()
-    width = bucket_width or (max(1, -(-(high - low) // n)) if n else 1)
-    bucket = lambda pc: F.floor(pc / width).cast("long")
     frames = samples.select("sample_id", F.posexplode("pcs").alias("pos", "pc")).filter(F.col("pc") != 0)
-    spread = symbols.select(
-        "start_pc", "end_pc", "func", F.explode(F.sequence(bucket(F.col("start_pc")), bucket(F.col("end_pc") - 1))).alias("bucket")
-    )
-
-    def look_up(pcs: DataFrame, table: DataFrame) -> DataFrame:
-        at = F.col("pc") - 1
-        return (
-            pcs.withColumn("bucket", bucket(at))
-            .join(table, "bucket")
-            .filter((at >= F.col("start_pc")) & (at < F.col("end_pc")))
-            .select(*pcs.columns, "func")
-        )
-
-    if n <= max_broadcast:
-        named = look_up(frames, F.broadcast(spread))
-    else:
-        # a hot counter is split by the adaptive skew join
-        named = frames.join(look_up(frames.select("pc").distinct(), spread), "pc")
-    # a group is one stack, as long as the profiler's depth limit at most
+    starts = symbols.select(F.col("start_pc").alias("at"), F.lit(0).cast("long").alias("is_pc"), F.col("end_pc").alias("tie"), "end_pc", "func")
+    asked = frames.select("pc").distinct().select((F.col("pc") - 1).alias("at"), F.lit(1).cast("long").alias("is_pc"), F.col("pc").alias("tie"), "pc")
+    both = starts.unionByName(asked, allowMissingColumns=True)
+    newest = F.when(F.col("is_pc") == 0, F.struct(F.col("end_pc").alias("end"), F.col("func").alias("name")))
+    order = ["at", "is_pc", "tie"]
+    found = ordered_columns(both, [], order, last_known={"_last": newest}, max_rows=max_rows)
+    known = found.filter((F.col("is_pc") == 1) & (F.col("at") < F.col("_last.end"))).select("pc", F.col("_last.name").alias("func"))
+    # a hot counter is split by the adaptive skew join; a group is one stack, as long as the profiler's depth limit at most
     return (
-        named.groupBy("sample_id")
+        frames.join(known, "pc")
+        .groupBy("sample_id")
         .agg(normalise_stack(F.transform(F.sort_array(F.collect_list(F.struct("pos", "func"))), lambda f: f["func"])).alias("stack"))
         .filter(F.size("stack") > 0)
     )

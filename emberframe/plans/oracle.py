@@ -83,10 +83,18 @@ outcomes AS (
   SELECT us, 'busy' AS rule, click > 3 AS holds FROM metrics UNION ALL
   SELECT us, 'ratio', CASE WHEN view = 0 THEN 0 ELSE error / view END >= 1 AND purchase < 5 FROM metrics UNION ALL
   SELECT us, 'spread', signup - 3 <> 0 FROM metrics UNION ALL
-  SELECT us, 'unknown', TRUE FROM metrics)"""
+  SELECT us, 'unknown', TRUE FROM metrics UNION ALL
+  SELECT us, 'both', click <> 0 AND NOT error <> 0 FROM metrics UNION ALL
+  SELECT us, 'several', (click > 1)::INT + (view > 1)::INT + (error > 0)::INT >= 2 FROM metrics UNION ALL
+  SELECT us, 'quiet', error <= 1 FROM metrics)"""
 
+TABLE_RULES = """,
+limits(rule, hold_us) AS (VALUES ('busy', 7200000000), ('ratio', 10800000000), ('spread', 3600000000), ('unknown', 0)),
+o AS (SELECT outcomes.*, hold_us FROM outcomes JOIN limits USING (rule)),
+"""
 
-def hold(source: str, keys: str, order: str, hold_us: int) -> str:
+
+def hold(source: str, keys: str, order: str, hold_us: int | str) -> str:
     """Gaps and islands: first row of each unbroken run at least ``hold_us`` after the run's first row."""
     return f"""marked AS (
   SELECT *, SUM(CASE WHEN holds THEN 0 ELSE 1 END) OVER (PARTITION BY {keys} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS island
@@ -236,9 +244,8 @@ FROM calls JOIN part ON pc - 1 >= p_partkey * 10 AND pc - 1 < p_partkey * 10 + 1
   c_mktsegment AS segment, CAST(c_nationkey AS VARCHAR) AS nation FROM events LEFT JOIN customer ON user_id = c_custkey""",
     "flame_build": with_(FRAMES, FRAME_ROWS),
     "flame_merge": with_(
-        YEARS,
-        """SELECT path, name, CAST(SUM(value) AS BIGINT) AS value
-FROM (SELECT path, name, value FROM head UNION ALL SELECT path, name, value FROM base) GROUP BY path, name""",
+        FRAMES,
+        "SELECT path, name, CAST(SUM(value) AS BIGINT) AS value FROM frames GROUP BY path, name",
     ),
     "flame_flatten": with_(FRAMES + ",\n" + flatten("flat", "frames"), "SELECT * FROM flat"),
     "replay_summary": with_(
@@ -297,6 +304,14 @@ SELECT seq, us, payload, 'index 17' AS what FROM n WHERE i = 17 UNION ALL
 SELECT seq, us, payload, 'last' FROM ring WHERE seq = (SELECT MAX(seq) FROM ring)""",
     ),
     "alert_dedup_lru": with_(EV, DEDUP),
+    "rules_hold": with_(OUTCOMES + TABLE_RULES, hold("o", "rule", "us", "hold_us")),
+    "alert_route": with_(
+        OUTCOMES + TABLE_RULES,
+        "fired AS (WITH "
+        + hold("o", "rule", "us", "hold_us")
+        + """), routes(rule, sink) AS (VALUES ('busy', 'chat'), ('busy', 'pager'), ('ratio', 'issues'), ('unknown', 'chat'))
+SELECT rule, us, sink FROM fired JOIN routes USING (rule)""",
+    ),
     "alert_hold": with_(OUTCOMES + ",\n", hold("outcomes", "rule", "us", 7_200_000_000)),
     "subscriber_gauge": with_(
         EV,
@@ -375,16 +390,16 @@ FROM ev WHERE event_type = 'signup' GROUP BY user_id""",
     "stream_alerts": with_(
         EV + """,
 o AS (
-  SELECT user_id AS process_id, us, event_id, 'large' AS rule, value > 20 AS holds FROM ev UNION ALL
-  SELECT user_id, us, event_id, 'small', NOT (value > 60) FROM ev),
+  SELECT user_id AS process_id, us, event_id, 'large' AS rule, value > 20 AS holds, 86400000000 AS hold_us FROM ev UNION ALL
+  SELECT user_id, us, event_id, 'small', NOT (value > 60), 172800000000 FROM ev),
 """,
-        hold("o", "rule, process_id", "us, event_id", 86_400_000_000),
+        hold("o", "rule, process_id", "us, event_id", "hold_us"),
     ),
     "stream_dedup_lru": with_(EV, DEDUP),
     "stream_sinks": with_(
         EV,
-        """SELECT '{"msg":"' || replace(props, '"', '\\"') || '","rule":"error","ts":' || (us // 1000000) || '}' AS payload
-FROM ev WHERE event_type = 'error'""",
+        """SELECT '{"msg":"' || replace(props, '"', '\\"') || '","rule":"' || event_type || '","ts":' || (us // 1000000) || '}' AS payload
+FROM ev""",
     ),
     "stream_retention": with_(
         EV, "SELECT event_id, us, props AS payload FROM ev WHERE us >= epoch_us(TIMESTAMP '2024-01-16')"

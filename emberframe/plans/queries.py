@@ -23,8 +23,17 @@ RULES = {
     "ratio": "safe_div(error, view) >= 1 AND purchase < 5",
     "spread": "signup - 3",
     "unknown": "nothing_reported < 1",
+    "both": "truth(click) AND NOT truth(error)",
+    "several": "num(click > 1) + num(view > 1) + num(error > 0) >= 2",
+    "quiet": "last_error < 1",
 }
-STREAM_RULES = {"large": "value > 20", "small": "NOT (value > 60)"}
+STREAM_RULES = [rules.Rule("large", "value > 20", DAY_US), rules.Rule("small", "NOT (value > 60)", 2 * DAY_US)]
+RULE_TABLE = [
+    ("busy", "click > 3", 7_200_000, ["chat", "pager"]),
+    ("ratio", "safe_div(error, view) >= 1 AND purchase < 5", 10_800_000, ["issues"]),
+    ("spread", "signup - 3", 3_600_000, []),
+    ("unknown", "nothing_reported < 1", 0, ["chat"]),
+]
 EVENT_ORDER = ["us", "event_id"]
 
 
@@ -99,10 +108,19 @@ def tree_to_json(spark, sf):
     return tree_json.tree_to_json(frames(spark, sf))
 
 
-def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    tables.table(spark, sf, "events")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("us", tables.micros("ts"))
+def event_stream(spark: SparkSession, sf: str, batches: int = 4) -> DataFrame:
+    """All events as a stream of ``batches`` files in time order, one file per micro-batch."""
+    events = tables.table(spark, sf, "events")
+    path = fresh_dir(spark, "events")
+    us = tables.micros("ts")
+    cuts = events.agg(F.percentile_approx(us, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = events if low is None else events.filter(us >= low)
+        part = part if high is None else part.filter(us < high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.withColumn("us", us)
 
 
 def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -227,9 +245,14 @@ def threshold_filter(spark, sf):
     return alerts.threshold_filter(tables.hourly_metrics(spark, sf), "error", ">=", 3).select("us", "error")
 
 
+def with_last_error(metrics: DataFrame) -> DataFrame:
+    """A BIGINT metric that is null in most hours."""
+    return metrics.withColumn("last_error", F.when(F.col("error") > 1, F.col("hour")))
+
+
 @query
 def rule_eval(spark, sf):
-    return alerts.rule_eval(tables.hourly_metrics(spark, sf), RULES)
+    return alerts.rule_eval(with_last_error(tables.hourly_metrics(spark, sf)), RULES)
 
 
 @query
@@ -351,7 +374,7 @@ def flame_build(spark, sf):
 
 @query
 def flame_merge(spark, sf):
-    merged = flame.flame_merge([years(spark, sf, 1996, 1996), years(spark, sf, 1997, 1997)])
+    merged = flame.flame_merge([years(spark, sf, y, y) for y in range(1995, 2002)])
     return merged.select(joined(), "name", "value")
 
 
@@ -453,10 +476,27 @@ def alert_dedup_lru(spark, sf):
 
 @query
 def alert_hold(spark, sf):
-    outcomes = alerts.rule_eval(tables.hourly_metrics(spark, sf), RULES)
+    outcomes = alerts.rule_eval(with_last_error(tables.hourly_metrics(spark, sf)), RULES)
     return alerts.alert_hold(outcomes, 2 * HOUR_US)
 
 
+def rule_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RULE_TABLE, "name string, predicate string, for_ms bigint, sinks array<string>")
+
+
+@query
+def rules_hold(spark, sf):
+    """Rules from a table, each with its own hold time."""
+    compiled = rules.read_rules(rule_table(spark))
+    outcomes = alerts.rule_eval(tables.hourly_metrics(spark, sf), compiled)
+    return alerts.alert_hold(outcomes, alerts.hold_of(compiled))
+
+
+@query
+def alert_route(spark, sf):
+    return alerts.alert_route(rules_hold(spark, sf), rule_table(spark)).select("rule", "us", "sink")
+
+
 @query
 def subscriber_gauge(spark, sf):
     change = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "view", -1)
@@ -595,21 +635,21 @@ def stream_counters(spark, sf):
 def span_state(spark, sf):
     annotated = event_stream(spark, sf).filter("event_type = 'signup'").select(
         F.col("user_id").alias("gid"),
-        F.col("ts").cast("timestamp").alias("ts"),
+        *EVENT_ORDER,
         F.concat(F.lit("trace_id="), F.md5(F.col("event_id").cast("string"))).alias("ann"),
     )
-    out = fresh_dir(spark, "spans")
-    sinks.run_available(state.span_state(annotated), sinks.table_sink(out), fresh_dir(spark, "checkpoint"), "update")
-    changes = spark.read.parquet(out)
-    return changes.groupBy("gid").agg(F.max("us").alias("us"), F.max_by("label", "us").alias("label"))
+    kept, last = fresh_dir(spark, "spans"), []
+    newest = state.span_state(kept, lambda batch, batch_id: last.append(batch_id), ttl_us=365 * DAY_US)
+    sinks.run_available(annotated, newest, fresh_dir(spark, "checkpoint"))
+    return state.remembered(spark, kept, last[-1]).select("gid", "us", "label")
 
 
 @query
 def stream_alerts(spark, sf):
     metrics = event_stream(spark, sf).select(F.col("user_id").alias("process_id"), *EVENT_ORDER, "value")
     out = fresh_dir(spark, "alerts")
-    fired = state.stream_alerts(metrics, STREAM_RULES, DAY_US, order=EVENT_ORDER)
-    sinks.run_available(fired, sinks.table_sink(out), fresh_dir(spark, "checkpoint"))
+    fire = state.stream_alerts(fresh_dir(spark, "open-runs"), sinks.table_sink(out), STREAM_RULES, order=EVENT_ORDER)
+    sinks.run_available(metrics, fire, fresh_dir(spark, "checkpoint"))
     return spark.read.parquet(out).select("rule", "process_id", *EVENT_ORDER, "since_us")
 
 
@@ -619,14 +659,15 @@ def stream_dedup_lru(spark, sf):
         F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("rule"), *EVENT_ORDER
     )
     out = fresh_dir(spark, "notified")
-    sinks.run_available(state.stream_dedup_lru(firings, "issues", EVENT_ORDER), sinks.table_sink(out), fresh_dir(spark, "checkpoint"))
+    notify = state.stream_dedup_lru(fresh_dir(spark, "last-rules"), sinks.table_sink(out), EVENT_ORDER)
+    sinks.run_available(firings, notify, fresh_dir(spark, "checkpoint"))
     return spark.read.parquet(out).select("rule", *EVENT_ORDER)
 
 
 @query
 def stream_sinks(spark, sf):
     out = fresh_dir(spark, "sent")
-    firings = event_stream(spark, sf).filter("event_type = 'error'")
+    firings = event_stream(spark, sf)
     payload = payloads.webhook_payload(F.col("event_type"), F.col("props"), F.floor(F.col("us") / 1_000_000).cast("long"))
     send = lambda messages: messages.write.mode("append").parquet(out)
     sinks.run_available(firings, sinks.alert_sink(payload, send), fresh_dir(spark, "checkpoint"))

@@ -35,7 +35,7 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_snapshots(
-    frames: DataFrame, path: str, us: Column, prefix: str = "flare", compress: bool = False, keys: list[str] = ["snapshot_id"]
+    frames: DataFrame, path: str, us: Column, prefix: str = "snapshot", compress: bool = False, keys: list[str] = ["snapshot_id"]
 ) -> None:
     """One JSON document per snapshot, in a folder ``snapshot=<prefix>-<time>-<id>``; the target must not exist.
 

@@ -36,19 +36,34 @@ def test_trace_attach(spark, max_rows):
     assert got == want and len(want) > 20
 
 
-@pytest.mark.parametrize("max_broadcast", [1000, 0])
-@pytest.mark.parametrize("width", [None, 7])
-def test_symbolise(spark, width, max_broadcast):
+@pytest.mark.parametrize("max_rows", [1000, 3])
+def test_symbolise(spark, max_rows):
     table = spark.createDataFrame(
         [(100, 110, "x/a.A"), (110, 400, "x/b.B"), (500, 501, "c.C"), (600, 610, "runtime.goexit")], "start_pc bigint, end_pc bigint, func string"
     )
     samples = spark.createDataFrame(
         [("s1", [111, 110, 501, 601]), ("s2", [0, 450, 400, 401, 111]), ("s3", [601]), ("s4", [100])], "sample_id string, pcs array<bigint>"
     )
-    got = {r.sample_id: r.stack for r in symbols.symbolise(samples, table, width, max_broadcast).collect()}
+    got = {r.sample_id: r.stack for r in symbols.symbolise(samples, table, max_rows).collect()}
     assert got == {"s1": ["c.C", "a.A", "b.B"], "s2": ["b.B", "b.B"]}
 
 
+def test_symbolise_far_and_nested_functions(spark):
+    table = [(i * 10, i * 10 + 10, f"m.F{i}") for i in range(1, 40)] + [(2**62, 2**62 + 5, "far.F"), (1000, 1100, "outer.A"), (1020, 1030, "inner.B")]
+    table = spark.createDataFrame(table, "start_pc bigint, end_pc bigint, func string")
+    samples = spark.createDataFrame([("s", [16, 2**62 + 1, 1026, 1006, 1051])], "sample_id string, pcs array<bigint>")
+    # the last start decides: after the inner function's end nothing is known
+    assert symbols.symbolise(samples, table).first().stack == ["outer.A", "inner.B", "far.F", "m.F1"]
+
+
+def test_trace_attach_replaces_an_old_child(spark):
+    frames = [(1, 10, "s", "root", ["goroutine-7"], "goroutine-7", 1), (2, 10, "s", "root", ["goroutine-7", "_trace"], "old", 0), (3, 10, "s", "root", ["goroutine-8", "_trace"], "kept", 0)]
+    f = spark.createDataFrame(frames, "frame_id bigint, us bigint, " + FRAMES)
+    a = spark.createDataFrame([(7, 5, 1, "trace_id=0af7651916cd43dd8448eb211c80319c")], "gid bigint, us bigint, event_id bigint, ann string")
+    got = {(tuple(r.path), r.name) for r in spans.trace_attach(f, a).collect()}
+    assert got == {(("goroutine-7",), "goroutine-7"), (("goroutine-7", "_trace"), "0af7651916cd43dd8448eb211c80319c:0000000000000000"), (("goroutine-8", "_trace"), "kept")}
+
+
 def test_agents(spark):
     facts = spark.createDataFrame([(1, "x"), (2, "y")], "agent_id bigint, v string")
     agents = spark.createDataFrame([(1, "h")], "id bigint, hostname string")
@@ -107,7 +122,7 @@ def test_write_snapshots(spark, tmp_path, compress):
     files.write_snapshots(frames_of(spark), target, F.lit(1_700_000_000_123_456), compress=compress)
     back = files.read_snapshots(spark, target)
     assert back.drop("snapshot_id").exceptAll(frames_of(spark).drop("snapshot_id")).count() == 0 and back.count() == 7
-    assert "flare-20231114T221320.123-s" in {r.snapshot_id.split("snapshot=")[1].split("/")[0] for r in back.collect()}
+    assert "snapshot-20231114T221320.123-s" in {r.snapshot_id.split("snapshot=")[1].split("/")[0] for r in back.collect()}
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         files.write_snapshots(frames_of(spark), target, F.lit(0))
 

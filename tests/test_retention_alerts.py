@@ -145,6 +145,22 @@ def test_rules(spark):
     }
 
 
+def test_rules_of_numbers(spark):
+    df = spark.createDataFrame([(1, 0, None), (2, 3, 1.5), (3, None, 2.0)], "us bigint, n bigint, x double")
+    rules = {"null": "n < 1", "and": "truth(n) AND truth(x)", "not": "NOT truth(x)", "sum": "num(n > 1) + num(x > 1) >= 2", "text": "'a.b' = 'a.b'"}
+    got = {(r.us, r.rule): r.holds for r in alerts.rule_eval(df, rules).collect()}
+    want = {"null": [True, False, True], "and": [False, True, False], "not": [True, False, False], "sum": [False, True, False], "text": [True] * 3}
+    assert got == {(i + 1, rule): v for rule, values in want.items() for i, v in enumerate(values)}
+    with pytest.raises(ValueError, match="not a metric"):
+        alerts.rule_eval(df, {"dotted": "a.b > 1"})
+
+
+def test_routes(spark):
+    rules = spark.createDataFrame([("r", "x > 1", 1000, ["a", "b"]), ("s", "x > 1", None, None)], "name string, predicate string, for_ms bigint, sinks array<string>")
+    fired = spark.createDataFrame([("r", 1), ("s", 2), ("t", 3)], "rule string, us bigint")
+    assert sorted((r.rule, r.sink) for r in alerts.alert_route(fired, rules).collect()) == [("r", "a"), ("r", "b")]
+
+
 @pytest.mark.parametrize("op, kept", [(">", [3]), (">=", [2, 3]), ("<", [1, 4]), ("<=", [1, 2, 4]), ("==", [2]), ("!=", [1, 3, 4])])
 def test_thresholds(spark, op, kept):
     df = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, None)], "id int, blocked bigint")

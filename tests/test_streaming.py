@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from emberframe.functions.rules import Rule
 from emberframe.operators import alerts, counters, flame
 from emberframe.streaming import sinks, state, windows
 from emberframe.workspace import fresh_dir
@@ -73,10 +74,15 @@ def test_counters_of_a_repeated_batch(spark):
 
 def test_spans(spark):
     trace = "0af7651916cd43dd8448eb211c80319c"
-    rows = [(i % 3, i * 1_000_000, f"trace_id={trace},{i:016x}" if i % 4 else "bad") for i in range(30)]
-    df = spark.createDataFrame(rows, "gid bigint, us bigint, ann string").withColumn("ts", F.timestamp_micros("us"))
-    changes = run(spark, state.span_state(feed(spark, df, "us")), "update")
-    newest = {r.gid: r.label for r in changes.groupBy("gid").agg(F.max_by("label", "us").alias("label")).collect()}
+    rows = [(i % 3, i * 1_000_000, i, f"trace_id={trace},{i:016x}" if i % 4 else "bad") for i in range(30)]
+    rows += [(9, 1, 99, f"trace_id={trace}")]
+    df = spark.createDataFrame(rows, "gid bigint, us bigint, event_id bigint, ann string")
+    path, seen = fresh_dir(spark, "spans"), []
+    handle = state.span_state(path, lambda b, i: seen.append((i, b.count())), ttl_us=15_000_000)
+    run(spark, feed(spark, df, "us"), sink=handle)
+    assert [i for i, _ in seen] == [0, 1, 2] and all(n for _, n in seen)
+    newest = {r.gid: r.label for r in state.remembered(spark, path, 2).collect()}
+    # goroutine 9 is forgotten
     assert newest == {g: f"{trace}:{max(i for i in range(30) if i % 3 == g and i % 4):016x}" for g in range(3)}
 
 
@@ -84,18 +90,25 @@ def test_alerts(spark):
     r = random.Random(4)
     rows = [(r.choice([1, 1, 2]), i, float(r.randint(0, 10))) for i in range(150)]
     df = spark.createDataFrame(rows, "process_id bigint, us bigint, x double")
-    rules = {"high": "x > 2", "odd": "safe_div(x, missing) < 1 AND x < 9"}
-    got = run(spark, state.stream_alerts(feed(spark, df, "us"), rules, 10))
-    want = alerts.alert_hold(alerts.rule_eval(df, rules, ["process_id", "us"]), 10, ["rule", "process_id"])
+    rules = [Rule("high", "x > 2", 10), Rule("odd", "safe_div(x, missing) < 1 AND x < 9", 4)]
+    out, kept, ran = fresh_dir(spark, "out"), fresh_dir(spark, "kept"), []
+    handle = state.stream_alerts(kept, sinks.multi_sink([sinks.table_sink(out), lambda b, i: ran.append(i)]), rules)
+    run(spark, feed(spark, df, "us", 5), sink=handle)
+    got = spark.read.parquet(out)
+    want = alerts.alert_hold(alerts.rule_eval(df, rules, ["process_id", "us"]), alerts.hold_of(rules), ["rule", "process_id"])
     same(got.select(want.columns), want)
-    assert got.count() > 3
+    assert got.count() > 3 and ran == [0, 1, 2, 3, 4]
+    # of runs that are over nothing is kept
+    last = {(r.rule, r.process_id): r.x for r in alerts.rule_eval(df, rules, ["process_id", "us"]).groupBy("rule", "process_id").agg(F.max_by("holds", "us").alias("x")).collect()}
+    assert {(r.rule, r.process_id) for r in state.remembered(spark, kept, 4).collect()} == {k for k, holds in last.items() if holds}
 
 
 def test_dedup(spark):
     r = random.Random(5)
     df = spark.createDataFrame([(f"r{r.randint(0, 12)}", i) for i in range(150)], "rule string, us bigint")
-    got = run(spark, state.stream_dedup_lru(feed(spark, df, "us"), "s", capacity=5))
-    same(got.select("rule", "us"), alerts.alert_dedup_lru(df, capacity=5))
+    out = fresh_dir(spark, "out")
+    run(spark, feed(spark, df, "us", 4), sink=state.stream_dedup_lru(fresh_dir(spark, "kept"), sinks.table_sink(out), capacity=5))
+    same(spark.read.parquet(out).select("rule", "us"), alerts.alert_dedup_lru(df, capacity=5))
 
 
 def test_ingest_numbers_go_on_and_survive_a_repeat(spark):
