@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import stored, table
-from emberframe.llm.vectors import TOP, best_of, blocks_of, keep_best, matrix, met, top_rows, unpacked, usable
+from emberframe.llm.vectors import TOP, best_of, blocks_of, matrix, met, top_rows, unpacked, usable
 
 #: Vectors that the lists are fitted on, at most: those whose ids hash lowest. All vectors are indexed.
 SAMPLE = 32_768
 #: Lists per root of the number of vectors, at most SAMPLE / 8; share of the lists that a query probes.
 LISTS, PROBED = 0.5, 0.7
+#: Share of the lists that is scanned first; the k-th best found there bounds the scan of the others.
+FIRST = 0.05
 ROUNDS, SEED = 8, 20
 #: Components added between two tests, and how much chance a test allows (larger: safer and slower).
-COLUMNS, ALLOWED = 16, 1.5
+COLUMNS, ALLOWED = 32, 1.2
 BLOCK, QUERIES = 4096, 512
+#: Pairs looked at together.
+PAIRS = 1 << 17
 
 
 def raised(v: np.ndarray, top: float) -> np.ndarray:
@@ -56,30 +60,39 @@ def nearest(v: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray:
 
 
 def scan(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, top: float, turn: np.ndarray):
-    """The best ``k`` found for each query, never itself, as (inner products, ids)."""
+    """What the scan leaves of all pairs of a query and a candidate with another id: number of the query, inner product, id.
+    Holds the best ``k`` of each query, but for the chance that the tests allow. The last column of ``queries`` is the
+    squared distance beyond which nothing is of use."""
     dims = len(turn)
+    queries, known = queries[:, :-1], queries[:, -1]
     rx = raised(x, top) @ turn
     rq = np.hstack([queries, np.zeros((len(queries), 1))]) @ turn
     ends = [*range(COLUMNS, dims, COLUMNS), dims]
-    head = slice(0, ends[0])
-    part = np.einsum("ij,ij->i", rx[:, head], rx[:, head])[:, None] + np.einsum("ij,ij->i", rq[:, head], rq[:, head]) - 2 * rx[:, head] @ rq[:, head].T
-    part[ids[:, None] == query_ids[None, :]] = np.inf
-    out = []
-    for j, q in enumerate(rq):
-        p = part[:, j]
-        first = np.argpartition(p, k - 1)[:k] if len(p) > k else np.arange(len(p))
-        first = first[np.isfinite(p[first])]
-        limit = np.square(rx[first] - q).sum(axis=1).max() if len(first) >= k else np.inf
-        alive = np.flatnonzero(np.isfinite(p))
-        p = p[alive]
-        for at, end in zip(ends, [*ends[1:], None]):
-            stay = p <= limit * at / dims * (1 + ALLOWED / np.sqrt(at)) ** 2 if at < dims else p <= limit * (1 + 1e-9)
-            alive, p = alive[stay], p[stay]
-            if end is None or not len(alive):
-                break
-            p = p + np.square(rx[alive, at:end] - q[at:end]).sum(axis=1)
-        out.append(keep_best((x[alive] * queries[j]).sum(axis=1), ids[alive], k))
-    return out
+    found = []
+    for at in range(0, len(rq), max(1, PAIRS // len(rx))):
+        part_of = slice(at, at + max(1, PAIRS // len(rx)))
+        q, h = rq[part_of], ends[0]
+        part = np.square(rx[:, :h]).sum(axis=1)[:, None] + np.square(q[:, :h]).sum(axis=1) - 2 * rx[:, :h] @ q[:, :h].T
+        part[ids[:, None] == query_ids[part_of][None, :]] = np.inf
+        limit = np.full(len(q), np.inf)
+        if len(rx) > k:
+            first = np.argpartition(part, k - 1, axis=0)[:k]
+            far = np.square(rx[first] - q[None, :, :]).sum(axis=2)
+            limit = np.where(np.take_along_axis(part, first, axis=0) < np.inf, far, np.inf).max(axis=0)
+        limit = np.minimum(limit, known[part_of])
+        c, j = np.nonzero(part <= np.minimum(limit * _allowed(h, dims), np.finfo(float).max)[None, :])
+        p = part[c, j]
+        for begin, end in zip(ends, ends[1:]):
+            p = p + np.square(rx[c, begin:end] - q[j, begin:end]).sum(axis=1)
+            stay = p <= limit[j] * _allowed(end, dims)
+            c, j, p = c[stay], j[stay], p[stay]
+        found.append((j + at, np.einsum("ij,ij->i", x[c], queries[part_of][j]), ids[c]))
+    return [np.concatenate(column) for column in zip(*found)]
+
+
+def _allowed(at: int, dims: int) -> float:
+    """How large a share of the k-th best squared distance the first ``at`` components may have."""
+    return at / dims * (1 + ALLOWED / np.sqrt(at)) ** 2 if at < dims else 1 + 1e-9
 
 
 def approximate_top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", embedding: str = "embedding", probed: float = PROBED) -> DataFrame:
@@ -103,6 +116,7 @@ def approximate_top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_i
     centres = fitted(sample, min(SAMPLE // 8, int(np.ceil(LISTS * np.sqrt(n)))))
     turn = rotation(dims + 1)
     probes = max(1, int(np.ceil(probed * len(centres))))
+    first = max(1, int(np.ceil(FIRST * len(centres))))
 
     def listed(as_query: bool):
         def batches(parts):
@@ -116,23 +130,33 @@ def approximate_top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_i
 
         return batches
 
-    def blocks(part: DataFrame, as_query: bool, most: int) -> DataFrame:
+    def in_lists(part: DataFrame, as_query: bool) -> DataFrame:
         part = part.select("vec_id", "v").mapInArrow(listed(as_query), "vec_id long, v array<double>, lists array<long>")
-        part = part.select("vec_id", "v", F.explode("lists").alias("list"))
-        part = stored(part, "ann-queries" if as_query else "ann-lists")
+        return part.select("vec_id", "v", F.posexplode("lists").alias("probe", "list"))
+
+    def blocks(part: DataFrame, most: int) -> DataFrame:
         held = part.groupBy("list").agg(F.ceil(F.count("*") / most).alias("blocks"))
         return blocks_of(part.join(held, "list"), ["list"], F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
 
-    pairs = met(blocks(rows, False, BLOCK), blocks(rows.filter(is_query), True, QUERIES), ["list"]).drop("list")
-
     def batches(parts):
         for part in parts:
             for row in zip(*[part.column(i) for i in range(4)]):
                 query_ids, q = unpacked(row[0].as_py(), row[1].as_py())
                 ids, x = unpacked(row[2].as_py(), row[3].as_py())
-                yield from top_rows(query_ids.tolist(), scan(q, query_ids, x, ids, k, top, turn)).to_batches()
-
-    return best_of(pairs.mapInArrow(batches, TOP), k, "double")
+                yield top_rows(query_ids, *scan(q, query_ids, x, ids, k, top, turn), k)
+
+    def scanned(part: DataFrame, limit) -> DataFrame:
+        part = part.select("vec_id", "list", F.concat("v", F.array(limit)).alias("v"))
+        return met(candidates, blocks(part, QUERIES), ["list"]).drop("list").mapInArrow(batches, TOP)
+
+    candidates = stored(blocks(stored(in_lists(rows, False), "ann-lists"), BLOCK), "ann-blocks")
+    asked = stored(in_lists(rows.filter(is_query), True), "ann-queries")
+    near = stored(scanned(asked.filter(F.col("probe") < first), F.lit(float("inf"))), "ann-near")
+    bound = best_of(near, k, "double").filter(F.col("rank") == k).groupBy("query_id").agg(F.min("score").alias("kth"))
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    far = asked.filter(F.col("probe") >= first).join(bound, F.col("vec_id") == F.col("query_id"), "left")
+    rest = scanned(far, F.coalesce(F.lit(float(top)) + norm - 2 * F.col("kth") + 1e-9, F.lit(float("inf"))))
+    return best_of(near.unionByName(rest), k, "double")
 
 
 def op2_ann(spark, sf_dir):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import table
-from emberframe.llm.vectors import TOP, best_of, blocks_of, keep_best, met, top_rows, unpacked, usable
+from emberframe.llm.vectors import TOP, best_of, blocks_of, met, top_rows, unpacked, usable
 
 #: Vectors in a block of candidates and in a block of queries.
 BLOCK, QUERIES = 4096, 512
@@ -19,14 +19,15 @@ BLOCK, QUERIES = 4096, 512
 STEPS = (0.25, 0.5, 0.7, 0.85, 1.0)
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The k best candidates of each query, never itself, as (scores, ids). Integer components, exact in doubles."""
+def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
+    """Candidates left when reading stops, among them the k best of each query, never itself: number of the query, score,
+    id. Integer components, exact in doubles."""
     n, dims = x.shape
     order = np.argsort(-x, axis=0, kind="stable")
     sorted_x = np.take_along_axis(x, order, axis=0)
     from_top = np.empty((n, dims), np.int32)
     np.put_along_axis(from_top, order, np.broadcast_to(np.arange(n, dtype=np.int32)[:, None], (n, dims)), axis=0)
-    out: list = [None] * len(queries)
+    found = []
     active = np.arange(len(queries))
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
     partial = np.zeros((n, len(queries)))
@@ -55,11 +56,11 @@ def search(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.nd
         for column in np.flatnonzero(done):
             left = np.flatnonzero(open_[:, column] & ~own[:, column])
             q = active[column]
-            out[q] = keep_best(x[left] @ queries[q], ids[left], k)
+            found.append((np.full(len(left), q), x[left] @ queries[q], ids[left]))
         active, partial = active[~done], np.ascontiguousarray(partial[:, ~done])
         if not len(active):
             break
-    return out
+    return [np.concatenate(column) for column in zip(*found)]
 
 
 def exact_top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", embedding: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -85,7 +86,7 @@ def exact_top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_id", em
             for row in zip(*[part.column(i) for i in range(4)]):
                 query_ids, q = unpacked(row[0].as_py(), row[1].as_py())
                 ids, x = unpacked(row[2].as_py(), row[3].as_py())
-                yield from top_rows(query_ids.tolist(), search(q, query_ids, x, ids, k)).to_batches()
+                yield top_rows(query_ids, *search(q, query_ids, x, ids, k), k)
 
     return best_of(pairs.mapInArrow(batches, TOP), k, "long")
 

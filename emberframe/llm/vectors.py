@@ -73,16 +73,16 @@ def best_of(partial: DataFrame, k: int, score: str) -> DataFrame:
     )
 
 
-def top_rows(query_ids: list[int], tops: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
-    """``query_id, top`` rows from (scores, ids) of each query."""
-    kind = pa.list_(pa.struct([("score", pa.float64()), ("vec_id", pa.int64())]))
-    rows = [[{"score": s, "vec_id": i} for s, i in zip(scores.tolist(), ids.tolist())] for scores, ids in tops]
-    return pa.table({"query_id": pa.array(query_ids, pa.int64()), "top": pa.array(rows, kind)})
+def top_rows(query_ids: np.ndarray, query: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
+    """``query_id, top`` rows: the ``k`` best of the hits (number of the query, score, id) of each query."""
+    order = np.lexsort((ids, -scores, query))
+    query, scores, ids = query[order], scores[order], ids[order]
+    begin = np.searchsorted(query, np.arange(len(query_ids) + 1))
+    keep = np.arange(len(query)) - begin[query] < k
+    ends = np.concatenate([[0], np.cumsum(np.minimum(np.diff(begin), k))])
+    hits = pa.StructArray.from_arrays([pa.array(scores[keep], pa.float64()), pa.array(ids[keep], pa.int64())], ["score", "vec_id"])
+    top = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), hits)
+    return pa.RecordBatch.from_arrays([pa.array(query_ids, pa.int64()), top], ["query_id", "top"])
 
 
 TOP = "query_id long, top array<struct<score:double,vec_id:long>>"
-
-
-def keep_best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
