@@ -58,22 +58,35 @@ def ancestor_closure(frames: DataFrame, keys: list[str] = ["snapshot_id"]) -> Da
     ).select(*keys, _prefix("path", F.col("depth")).alias("path")).distinct()
 
 
-def _keep_with_ancestors(nodes: DataFrame, keys: list[str], hit: Column, columns: list[str]) -> DataFrame:
-    """Nodes that are hit or lead to a hit, by one aggregation instead of a closure and a semi join.
+def _renamed(frames: DataFrame, columns: list[str]) -> DataFrame:
+    """The few nodes whose name is not their key in the path: roots, and children that were given another name.
 
-    A hit node speaks for all its prefixes, any other node for itself only.
-    """
+    Sums of a tree are taken over numbers alone, which aggregates by hashing; with a name in its buffer an aggregation
+    sorts its input first, here rows times depth. Names are the last key of the path, and these are joined back."""
+    plain = F.try_element_at("path", F.lit(-1)).eqNullSafe(F.col("name"))
+    return frames.filter(~plain).select(*columns, "path", F.col("name").alias("_name"))
+
+
+def _named(df: DataFrame, renamed: DataFrame, on: list[str]) -> DataFrame:
+    """``df`` with ``name``: that of ``renamed``, where the node is there, else the last key of its path."""
+    joined = df.join(renamed.dropDuplicates(on), on, "left")
+    return joined.withColumn("name", F.coalesce("_name", F.try_element_at("path", F.lit(-1)))).drop("_name")
+
+
+def _keep_with_ancestors(nodes: DataFrame, keys: list[str], hit: Column, numbers: list[str]) -> DataFrame:
+    """Nodes that are hit or lead to a hit, by one aggregation instead of a closure and a semi join: keys, path, ``_hit``
+    and the columns ``numbers``. A hit node speaks for all its prefixes, any other node for itself only."""
     own = F.col("_depth") == F.size("_path")
-    spoken = nodes.withColumn("_hit", hit).withColumnRenamed("path", "_path").select(
-        "*",
-        F.explode(F.sequence(F.when(F.col("_hit"), F.lit(0)).otherwise(F.size("_path")), F.size("_path"))).alias("_depth"),
+    first = F.when(F.col("_hit"), F.lit(0)).otherwise(F.size("path"))
+    spoken = nodes.withColumn("_hit", hit).select(
+        *keys, *numbers, "_hit", F.col("path").alias("_path"), F.explode(F.sequence(first, F.size("path"))).alias("_depth")
     )
     return (
         spoken.groupBy(*keys, _prefix("_path", F.col("_depth")).alias("path"))
         .agg(
             F.bool_or("_hit").alias("_lead"),
             F.bool_or(F.col("_hit") & own).alias("_hit"),
-            *[F.max(F.when(own, F.col(c))).alias(c) for c in columns],
+            *[F.max(F.when(own, F.col(c))).alias(c) for c in numbers],
         )
         .filter("_lead")
         .drop("_lead")
@@ -85,16 +98,15 @@ def flame_search(frames: DataFrame, text: str, keys: list[str] = ["snapshot_id"]
     if not text:
         return frames.withColumn("matched", F.lit(False))
     hit = F.contains(F.lower("name"), F.lower(F.lit(text)))
-    others = [c for c in frames.columns if c not in (*keys, "path")]
-    return _keep_with_ancestors(frames, keys, hit, others).withColumnRenamed("_hit", "matched").select(*frames.columns, "matched")
+    kept = _keep_with_ancestors(frames, keys, hit, []).withColumnRenamed("_hit", "matched")
+    return frames.join(kept, [*keys, "path"]).select(*frames.columns, "matched")
 
 
 def _diff(sides: DataFrame, keys: list[str]) -> DataFrame:
-    """Difference of nodes with ``side`` 1 (head) and -1 (base)."""
-    name = F.coalesce(F.max(F.when(F.col("side") == 1, F.col("name"))), F.max("name"))
-    delta = sides.groupBy(*keys, "path").agg(F.sum(F.col("value") * F.col("side")).alias("delta"), name.alias("name"))
-    kept = _keep_with_ancestors(delta, keys, F.col("delta") != 0, ["delta", "name"])
-    return kept.select(*keys, "path", "name", "delta")
+    """Difference of nodes with ``side`` 1 (head) and -1 (base). A node that the head has bears the head's name."""
+    delta = sides.groupBy(*keys, "path").agg(F.sum(F.col("value") * F.col("side")).alias("delta"), F.max("side").alias("side"))
+    kept = _keep_with_ancestors(delta, keys, F.col("delta") != 0, ["delta", "side"])
+    return _named(kept, _renamed(sides, [*keys, "side"]), [*keys, "path", "side"]).select(*keys, "path", "name", "delta")
 
 
 def flame_diff(head: DataFrame, base: DataFrame, keys: list[str] = []) -> DataFrame:
@@ -114,49 +126,48 @@ def snapshot_diff(frames: DataFrame, head_id: str, base_id: str) -> DataFrame:
     return _diff(frames.filter(F.col("snapshot_id").isin(head_id, base_id)).select("path", "name", "value", side), [])
 
 
+def diff_frames(delta: DataFrame, snapshot_id: str = "diff", root_name: str = "root") -> DataFrame:
+    """A difference as a frame table, for all that takes one: writing, searching, banding, flattening."""
+    return delta.select(F.lit(snapshot_id).alias("snapshot_id"), F.lit(root_name).alias("root_name"), "path", "name", F.col("delta").alias("value"))
+
+
 def flame_merge(trees: list[DataFrame], keys: list[str] = []) -> DataFrame:
     """Node-wise sum of trees, root included; a node keeps the name of the first tree that has it.
 
-    ``keys`` says what stays apart: [] merges everything into one tree, ["snapshot_id"] per snapshot.
+    ``keys`` says what stays apart: [] merges everything into one tree, ["snapshot_id"] per snapshot. A tree has a row for
+    its root, which tells its root's name.
     """
     numbered = [t.select(*keys, "root_name", "path", "name", "value", F.lit(i).alias("source")) for i, t in enumerate(trees)]
     every = numbered[0]
     for t in numbered[1:]:
         every = every.unionByName(t)
-    return (
-        every.groupBy(*keys, "path")
-        .agg(
-            F.sum("value").alias("value"),
-            F.min_by("name", "source").alias("name"),
-            F.min_by("root_name", "source").alias("root_name"),
-        )
-        .select(*keys, "root_name", "path", "name", "value")
-    )
+    merged = every.groupBy(*keys, "path").agg(F.sum("value").alias("value"), F.min("source").alias("source"))
+    roots = every.filter(F.size("path") == 0).select(*keys, "source", "root_name").dropDuplicates([*keys, "source"])
+    named = _named(merged, _renamed(every, [*keys, "source"]), [*keys, "path", "source"])
+    return named.join(roots, [*keys, "source"], "left").select(*keys, "root_name", "path", "name", "value")
 
 
 def flame_flatten(frames: DataFrame, keys: list[str] = ["snapshot_id"]) -> DataFrame:
     """Depth, ``self`` (the node's value), ``cumulative`` (sum of the values of the node and all below it)
     and ``self_exclusive`` (the value less those of the direct children), all in one aggregation."""
     size, at = F.size("_path"), F.col("_at")
-    return (
-        frames.withColumnRenamed("path", "_path")
-        .select(*keys, "_path", "name", "value", F.explode(F.sequence(F.lit(0), size)).alias("_at"))
+    flat = (
+        frames.select(*keys, F.col("path").alias("_path"), "value", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("_at"))
         .groupBy(*keys, _prefix("_path", at).alias("path"))
         .agg(
-            F.max(F.when(at == size, F.col("name"))).alias("name"),
             F.sum(F.when(at == size, F.col("value"))).alias("self"),
             F.sum("value").alias("cumulative"),
             F.sum(F.when(at == size - 1, F.col("value"))).alias("_below"),
         )
-        .select(
-            *keys,
-            "path",
-            "name",
-            F.size("path").alias("depth"),
-            "self",
-            "cumulative",
-            (F.col("self") - F.coalesce("_below", F.lit(0))).alias("self_exclusive"),
-        )
+    )
+    return _named(flat, _renamed(frames, keys), [*keys, "path"]).select(
+        *keys,
+        "path",
+        F.when(F.col("self").isNotNull(), F.col("name")).alias("name"),
+        F.size("path").alias("depth"),
+        "self",
+        "cumulative",
+        (F.col("self") - F.coalesce("_below", F.lit(0))).alias("self_exclusive"),
     )
 
 

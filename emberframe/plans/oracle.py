@@ -145,6 +145,8 @@ DIFF = with_(
 SELECT path, name, delta FROM delta n WHERE EXISTS (SELECT 1 FROM delta c WHERE c.delta <> 0 AND {below('n', 'c')})""",
 )
 
+FLATTEN_KEY = "string_split(CASE path WHEN '' THEN chr(1114111) ELSE path || ';' || chr(1114111) END, ';')"
+
 ORACLE: dict[str, str] = {
     "read_trace_ndjson": with_(TRACE, TRACE_ROWS),
     "read_snapshots": with_(FRAMES, FRAME_ROWS),
@@ -223,6 +225,12 @@ SELECT name, hash, hash % 360 AS bucket FROM hashed""",
 SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, string_agg(n_name, ';' ORDER BY n_name) AS keys FROM k GROUP BY 1""",
     "flame_diff": DIFF,
     "snapshot_diff": DIFF,
+    "diff_files": DIFF.replace("SELECT path, name, delta FROM", "SELECT path, name, delta AS value FROM"),
+    "replay_files": with_(
+        SAMPLES + ",\n" + build("frames", "(SELECT * FROM samples WHERE snapshot_id IN ('1996', '1997'))") + ",\n" + flatten("flat", "frames"),
+        """SELECT snapshot_id, COUNT(*) AS nodes, MAX(cumulative) FILTER (WHERE depth = 0) AS total_cumulative,
+  CAST(SUM(self) AS BIGINT) AS total_self FROM flat GROUP BY snapshot_id""",
+    ),
     "trace_attach": with_(
         ANNOTATIONS,
         """, f AS (
@@ -337,9 +345,9 @@ n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY ts_unix_ms DESC, eve
 SELECT id, ts_unix_ms, goroutines, heap_bytes, lag_ms, max_lag_ms FROM n WHERE rn = 1""",
     ),
     "flatten_order": with_(
-        MERGED + ",\n" + flatten("flat", "tree", None), "SELECT path, depth, cumulative FROM flat"
+        MERGED + ",\n" + flatten("flat", "tree", None), f"SELECT path, depth, cumulative, ROW_NUMBER() OVER (ORDER BY {FLATTEN_KEY} DESC) AS position FROM flat"
     ),
-    "child_order": with_(MERGED, "SELECT path, value FROM tree"),
+    "child_order": with_(MERGED, "SELECT path, value, ROW_NUMBER() OVER (ORDER BY depth > 0, string_split(path, ';')) AS position FROM tree"),
     "top_k": with_(
         MERGED + ",\n" + flatten("flat", "tree", None),
         """, n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY string_split(CASE path WHEN '' THEN chr(1114111) ELSE path || ';' || chr(1114111) END, ';') DESC) AS rank FROM flat)
@@ -350,7 +358,7 @@ SELECT rank, path, cumulative FROM n WHERE rank <= 10""",
         """, n AS (SELECT *, ROW_NUMBER() OVER (ORDER BY cumulative DESC, string_split(CASE path WHEN '' THEN chr(1114111) ELSE path || ';' || chr(1114111) END, ';') DESC) AS rank FROM flat)
 SELECT rank, path, cumulative FROM n WHERE rank <= 10""",
     ),
-    "chronological": with_(FAST_CHUNKS, "SELECT * FROM ring"),
+    "chronological": with_(FAST_CHUNKS, "SELECT *, ROW_NUMBER() OVER (ORDER BY seq) AS position FROM ring"),
     "span_annotations": with_(ANNOTATIONS, "SELECT event_id, gid, label FROM annotations"),
     "alert_payload": with_(
         EV,

@@ -320,6 +320,29 @@ def snapshot_diff(spark, sf):
     return delta.select(joined(), "name", "delta")
 
 
+def two_files(spark: SparkSession, sf: str) -> str:
+    """Snapshot files of two years; their folder."""
+    path = fresh_dir(spark, "files")
+    files.write_snapshots(years(spark, sf, 1996, 1997), path, F.lit(0), compress=True)
+    return path
+
+
+@query
+def diff_files(spark, sf):
+    """Two snapshot files to the JSON tree of their difference."""
+    path = two_files(spark, sf)
+    side = lambda year: files.read_snapshots(spark, f"{path}/snapshot=*-{year}")
+    delta = flame.diff_frames(flame.flame_diff(side(1997), side(1996)))
+    return tree_json.tree_explode(tree_json.tree_to_json(delta)).select(joined(), "name", "value")
+
+
+@query
+def replay_files(spark, sf):
+    """Snapshot files flattened and summed up, one row per file."""
+    summary = flame.replay_summary(flame.flame_flatten(files.read_snapshots(spark, two_files(spark, sf))))
+    return summary.withColumn("snapshot_id", F.regexp_extract("snapshot_id", r"snapshot=[^/]*-([0-9]+)/", 1))
+
+
 def goroutine_frames(spark: SparkSession, sf: str) -> DataFrame:
     """Every event but sign-ups as a frame named after its user's goroutine."""
     name = F.concat(F.lit("goroutine-"), F.col("user_id").cast("string"))
@@ -527,15 +550,27 @@ def merged_tree(spark: SparkSession, sf: str) -> DataFrame:
     return flame.flame_build(tables.stack_samples(spark, sf), keys=[])
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """Rows of a sorted table with their place in it, from the sizes of its sorted parts; no part is put in one task."""
+    path = fresh_dir(ordered.sparkSession, "ordered")
+    at = F.monotonically_increasing_id()
+    ordered.select("*", F.shiftright(at, 33).alias("_part"), (at % (1 << 33)).alias("_row")).write.parquet(path)
+    stored = ordered.sparkSession.read.parquet(path)
+    sizes = stored.groupBy("_part").count()
+    along = Window.partitionBy().orderBy("_part")
+    before = sizes.select("_part", (F.sum("count").over(along) - F.col("count")).alias("_before"))  # a row per part
+    return stored.join(before, "_part").withColumn("position", F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before")
+
+
 @query
 def flatten_order(spark, sf):
     flat = flame.flame_flatten(merged_tree(spark, sf), keys=[]).orderBy(flame.flatten_order())
-    return flat.select(joined(), F.col("depth").cast("long").alias("depth"), "cumulative")
+    return placed(flat.select(joined(), F.col("depth").cast("long").alias("depth"), "cumulative"))
 
 
 @query
 def child_order(spark, sf):
-    return merged_tree(spark, sf).orderBy(flame.child_order()).select(joined(), "value")
+    return placed(merged_tree(spark, sf).orderBy(flame.child_order()).select(joined(), "value"))
 
 
 def ranked(top: DataFrame, order: list[Column]) -> DataFrame:
@@ -559,7 +594,7 @@ def top_k_hottest(spark, sf):
 
 @query
 def chronological(spark, sf):
-    return retention.chronological(retention.retain_ring(fast_chunks(spark, sf), 900_000_000))
+    return placed(retention.chronological(retention.retain_ring(fast_chunks(spark, sf), 900_000_000)))
 
 
 # ---- functions of spans and alerts
