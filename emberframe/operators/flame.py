@@ -69,7 +69,7 @@ def _renamed(frames: DataFrame, columns: list[str]) -> DataFrame:
 
 def _named(df: DataFrame, renamed: DataFrame, on: list[str]) -> DataFrame:
     """``df`` with ``name``: that of ``renamed``, where the node is there, else the last key of its path."""
-    joined = df.join(renamed.dropDuplicates(on), on, "left")
+    joined = df.join(renamed.distinct(), on, "left")
     return joined.withColumn("name", F.coalesce("_name", F.try_element_at("path", F.lit(-1)))).drop("_name")
 
 
@@ -142,7 +142,7 @@ def flame_merge(trees: list[DataFrame], keys: list[str] = []) -> DataFrame:
     for t in numbered[1:]:
         every = every.unionByName(t)
     merged = every.groupBy(*keys, "path").agg(F.sum("value").alias("value"), F.min("source").alias("source"))
-    roots = every.filter(F.size("path") == 0).select(*keys, "source", "root_name").dropDuplicates([*keys, "source"])
+    roots = every.filter(F.size("path") == 0).select(*keys, "source", "root_name").distinct()
     named = _named(merged, _renamed(every, [*keys, "source"]), [*keys, "path", "source"])
     return named.join(roots, [*keys, "source"], "left").select(*keys, "root_name", "path", "name", "value")
 

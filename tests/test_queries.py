@@ -35,3 +35,11 @@ def test_query(spark, db, name):
     columns = [d[0] for d in result.description]
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, result.fetchall())
+
+
+@pytest.mark.parametrize(
+    "name", ["flame_flatten", "flame_search", "flame_diff", "snapshot_diff", "flame_merge", "rate_limit", "metric_rollup", "heartbeat_lag", "minimap_series"]
+)
+def test_no_aggregation_sorts_its_input(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
