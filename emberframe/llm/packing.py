@@ -8,6 +8,7 @@
 4. Documents are ranked within their class; rank, pattern numbers and counts tell each one its sequence by arithmetic.
 """
 
+import json
 import re
 import struct
 import zlib
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberframe.llm.byte_bpe import LETTERS
 from emberframe.llm.common import per_text, stored, table, texts_of
 
 LENGTH = 4096
@@ -27,26 +29,78 @@ UNIT = 8
 #: Documents ranked together; a class with more is ranked in parts that are counted first.
 RANKED = 50_000
 #: Chunks of text kept with their ids, per worker; when full, the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 # ---- tokens
 
 CONTROLS = re.compile(r"[\x1c-\x1f]")
 CHUNKS = re.compile(r"[^ \t-\r]+")
+BEYOND = re.compile(r"[^\x00-\xff]")
+SIGNS = ".,;:!?"
+PACK = [struct.Struct(f"<{n}I").pack for n in range(16)]
+PRINTABLE = re.compile(r"[!-~\xa1-\xac\xae-\xff]+")
 
 
 class WordCoder:
-    """Ids of a text, chunk by chunk of ASCII white space, for a tokenizer that drops white space and never joins across it."""
+    """Ids of a text, chunk by chunk of white space, for a tokenizer that drops white space and never joins across it.
+
+    A chunk of printable Latin-1 goes to the tokenizer's merges directly, after the steps that its file names: lower case,
+    its own pattern, bytes as letters. Normalising such a chunk in general costs many times its merges. Any other chunk, or
+    one of a tokenizer with other steps, is encoded as a whole.
+    """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        steps = json.loads(self.tokenizer.to_str())
+        normal = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])]
+        split = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.direct = normal == ["NFC", "Replace", "Lowercase"] and [s["type"] for s in split] == ["Split", "ByteLevel"]
+        if self.direct:
+            self.pieces = regex.compile(split[0]["pattern"]["Regex"]).findall
+            self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
+        self.known_pieces: dict[str, bytes] = {}
+
+    def merged(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
+        ids = [t.id for t in self.merge(letters)]
+        return PACK[len(ids)](*ids) if len(ids) < len(PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def chunk(self, word: str) -> bytes:
+        if not (self.direct and PRINTABLE.fullmatch(word)):
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+        out = []
+        for piece in self.pieces(word.lower()):
+            if (got := self.known_pieces.get(piece)) is None:
+                self.known_pieces[piece] = got = self.merged(piece)
+            out.append(got)
+        return b"".join(out)
+
+    def learn(self, word: str, low: bool) -> bytes:
+        """A chunk's ids. ``low``: it is lower-case Latin-1. A word is one piece then, and with a sign behind it two."""
+        if not low:
+            return self.chunk(word)
+        if word.isalpha():
+            return self.merged(word)
+        base, sign = word[:-1], word[-1]
+        if sign not in SIGNS or not base.isalpha():
+            return self.chunk(word)
+        known = self.known
+        for part in (base, sign):
+            if part not in known:
+                known[part] = self.merged(part)
+        return known[base] + known[sign]
 
     def encode(self, text: str) -> bytes:
+        low = self.direct and not BEYOND.search(text)
+        if low:
+            text = text.lower()  # one entry for all spellings of a word
         # these four control characters are white space to Python alone
         words = text.split() if not CONTROLS.search(text) else CHUNKS.findall(text)
         known = self.known
@@ -55,9 +109,9 @@ class WordCoder:
         except KeyError:
             if len(known) > REMEMBERED:
                 known.clear()
-            new = list(set(words).difference(known))
-            for w, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[w] = struct.pack(f"<{len(got.ids)}I", *got.ids)
+                self.known_pieces.clear()
+            for w in set(words).difference(known):
+                known[w] = self.learn(w, low)
             return b"".join([known[w] for w in words])
 
 
