@@ -38,6 +38,12 @@ def per_text(docs: DataFrame, rows: Callable[[list, list], dict[str, list]], sch
     return docs.select("doc_id", "text").mapInArrow(batches, schema)
 
 
+def _checksum(edges: DataFrame) -> tuple:
+    """Number, sum and exclusive or of the edges' hashes: equal for equal sets of edges."""
+    h = F.xxhash64("a", "b")
+    return tuple(edges.agg(F.count("*"), F.sum(h.cast("decimal(38,0)")), F.bit_xor(h)).first())
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Connected components: ``node, component`` (the smallest node reachable) for every node of ``a, b`` edges.
 
@@ -48,6 +54,7 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     edges = stored(
         edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-edges"
     )
+    seen = _checksum(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
@@ -55,9 +62,9 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         lowest = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(lowest, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b"))
         new = stored(small.filter("a != b").distinct(), f"{label}-step")
-        if new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty():
+        before, seen, edges = seen, _checksum(new), new
+        if seen == before:
             break
-        edges = new
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

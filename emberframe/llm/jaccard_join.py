@@ -2,11 +2,14 @@
 
 1. Each document becomes its set of shingle hashes; documents with one set are one class from here on.
 2. Prefix filter: two sets that reach the threshold share one of the first tokens of each in any common order. The
-   order puts frequent tokens last. Documents that share a prefix token and are near enough in size are chained, and
+   order puts frequent tokens last, by a sketch of fixed size. Documents that share a prefix token and are near enough in size are chained, and
    the components of the chains hold every possible link.
 3. Each component is searched: inverted lists of its sets, each set in turn the query. Short lists are merged, the long
-   ones are probed, sets that reach the required overlap are links. A large component is dealt out as pairs of blocks.
-   A task returns links that connect what it has found connected, not every pair.
+   ones are probed, sets that reach the required overlap are links. A task returns links that connect what it has found
+   connected, not every pair.
+   A large component, which passages that few documents share can grow, is taken apart first: a set is searched among
+   those it shares a prefix token with, where few have that token; sets on a token that many have make components of their
+   own, which are dealt out as pairs of blocks.
 4. Components of the links are the classes of near copies.
 """
 
@@ -18,18 +21,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import components, stored, table, texts_of
-from emberframe.llm.words import chunks, mixed, shingles, words_of
+from emberframe.llm.words import chunks, shingles, words_of
 
 WIDTH = 5
 #: Threshold as a fraction, so that it is exact.
 LIKE, OF = 80, 100
 #: Shingles in a search block, and documents; a component beyond either is dealt out as pairs of blocks.
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 19, 512
-#: A token this often in one batch of texts is reported as frequent; so many of the most frequent are put last in the
-#: common order. The order changes the work, never the links, so this bound on what is sent around loses nothing.
-OFTEN, FREQUENT = 3, 1 << 16
+#: A token this often in one batch of texts is reported. The reports are added up in so many cells, a byte each, whatever
+#: the size of the corpus; tokens come in the order of their cell's logarithm. The order changes the work, never the links.
+OFTEN, CELLS = 3, 1 << 20
+#: Documents to be searched that are told to all tasks rather than joined by a shuffle of the texts, 32 bytes each.
+SENT = 500_000
+#: Sets on one prefix token of a large component that are searched set by set rather than in blocks.
+CROWD = 64
 #: How costly a probe is against a merge step; the value that the method's authors give.
 MU = 0.0085
+#: Long lists probed together.
+PROBED = 64
 
 
 def needed(n: int, like: int, of: int) -> int:
@@ -37,17 +46,18 @@ def needed(n: int, like: int, of: int) -> int:
     return -(-like * n // of)
 
 
-def divide_skip(query: np.ndarray, tokens: np.ndarray, first: np.ndarray, docs: np.ndarray, n_docs: int, least: int):
+def divide_skip(query: np.ndarray, tokens: np.ndarray, first: np.ndarray, docs: np.ndarray, keys: np.ndarray, n_docs: int, least: int):
     """Documents that share at least ``least`` tokens with ``query``, and how many.
 
-    ``docs[first[i]:first[i + 1]]`` is the ascending list of ``tokens[i]``. The longest lists are set aside, the others
-    merged; documents that could still reach ``least`` are looked up in the long lists by bisection.
+    ``docs[first[i]:first[i + 1]]`` is the ascending list of ``tokens[i]``, ``keys`` are i * n_docs + doc in the same order.
+    The longest lists are set aside, the others merged; documents that could still reach ``least`` are looked up in the
+    long lists by bisection, some lists at a time, and given up when they cannot reach it any more.
     """
-    at = np.searchsorted(tokens, query)
-    at = at[at < len(tokens)] if len(tokens) else at[:0]
-    at = at[np.isin(tokens[at], query, assume_unique=True)] if len(at) else at
+    none = np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(tokens, query), len(tokens) - 1)
+    at = at[tokens[at] == query]
     if len(at) < least:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none
     sizes = first[at + 1] - first[at]
     n_long = min(least - 1, int(least / (MU * log2(max(2, sizes.max())) + 1)))
     order = np.argsort(sizes, kind="stable")
@@ -57,13 +67,14 @@ def divide_skip(query: np.ndarray, tokens: np.ndarray, first: np.ndarray, docs:
     seen = np.bincount(docs[spread], minlength=n_docs)
     found = np.flatnonzero(seen >= max(1, least - n_long))
     seen = seen[found]
-    for left, i in zip(range(len(long), 0, -1), long):
+    for begin in range(0, n_long, PROBED):
         if not len(found):
             break
-        posting = docs[first[i] : first[i + 1]]
-        place = np.minimum(np.searchsorted(posting, found), len(posting) - 1)
-        seen = seen + (posting[place] == found)
-        hope = seen + left - 1 >= least
+        some = long[begin : begin + PROBED]
+        wanted = some[:, None] * n_docs + found[None, :]
+        place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        seen = seen + (keys[place] == wanted).sum(axis=0)
+        hope = seen + max(0, n_long - begin - PROBED) >= least
         found, seen = found[hope], seen[hope]
     return found, seen
 
@@ -82,6 +93,7 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, like: int = LIKE, of:
     flat, owner = flat[order], owner[order]
     first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     tokens, first = flat[first], np.append(first, len(flat))
+    keys = np.repeat(np.arange(len(tokens)), np.diff(first)) * n + owner
     parent = list(range(n))
 
     def root(i: int) -> int:
@@ -91,7 +103,7 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, like: int = LIKE, of:
 
     links = []
     for q in np.flatnonzero(side == side.min()) if across else range(n):
-        found, shared = divide_skip(sets[q], tokens, first, owner, n, needed(int(sizes[q]), like, of))
+        found, shared = divide_skip(sets[q], tokens, first, owner, keys, n, needed(int(sizes[q]), like, of))
         alike = (of * shared >= like * (sizes[q] + sizes[found] - shared)) & (found != q)
         for d in found[alike].tolist():
             a, b = root(int(q)), root(d)
@@ -104,16 +116,12 @@ def links_within(sets: list[np.ndarray], side: np.ndarray, like: int = LIKE, of:
 def _sets(ids: list, texts: list[str], width: int):
     """(id, ascending distinct shingles) of each text."""
     for some, raw in chunks(ids, [t.encode() for t in texts]):
-        of, hashes = shingles(words_of(raw), width)
-        first = np.searchsorted(of, np.arange(len(some) + 1))
-        for i, d in enumerate(some):
-            yield d, hashes[first[i] : first[i + 1]]
+        yield from zip(some, shingles(words_of(raw), width))
 
 
 def _print(tokens: np.ndarray) -> tuple[int, int]:
-    """Two sums that tell one set from another."""
-    both = mixed(tokens), mixed(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in both)
+    """The sum and the exclusive or of a set's hashes, which are spread evenly: together they tell one set from another."""
+    return int(tokens.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(tokens).astype(np.int64))
 
 
 def _long(values) -> pa.Array:
@@ -149,8 +157,19 @@ def shingle_prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.mapInArrow(batches, "kind long, key long, one long, two long, n long")
 
 
-def prefix_tokens(docs: DataFrame, frequent: np.ndarray, width: int, like: int, of: int) -> DataFrame:
-    """``token, set_id, n``: the first tokens of each set in the common order, frequent ones last; a set once per batch."""
+def frequencies(reports: DataFrame) -> np.ndarray:
+    """The logarithm of how often the tokens of each cell were reported, from rows ``key, n``."""
+    cell = F.pmod("key", F.lit(CELLS)).cast("int")
+    level = (F.floor(F.log2(F.sum("n"))) + 1).cast("int")
+    rows = reports.groupBy(cell.alias("cell")).agg(level.alias("level")).toPandas()  # CELLS rows at most
+    levels = np.zeros(CELLS, np.uint8)
+    levels[rows["cell"].to_numpy(np.int64)] = rows["level"].to_numpy(np.uint8)
+    return levels
+
+
+def prefix_tokens(docs: DataFrame, levels: np.ndarray, width: int, like: int, of: int) -> DataFrame:
+    """``token, set_id, n``: the first tokens of each set in the common order, rare ones first; a set once per batch."""
+    sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def batches(parts):
         for part in parts:
@@ -163,9 +182,8 @@ def prefix_tokens(docs: DataFrame, frequent: np.ndarray, width: int, like: int,
                     continue
                 known.add(one)
                 take = len(s) - needed(len(s), like, of) + 1
-                at = np.minimum(np.searchsorted(frequent, s), max(0, len(frequent) - 1))
-                late = frequent[at] == s if len(frequent) else np.zeros(len(s), bool)
-                rows.append((np.concatenate([s[~late], s[late]])[:take], one, len(s)))
+                level = sent.value[s & np.uint64(CELLS - 1)]
+                rows.append((s[np.argsort(level, kind="stable")[:take]], one, len(s)))
             counts = [len(r[0]) for r in rows]
             tokens = np.concatenate([*(r[0] for r in rows), np.zeros(0, np.uint64)]).astype(np.int64)
             spread = lambda k: np.repeat(np.array([r[k] for r in rows], np.int64), counts)
@@ -205,38 +223,27 @@ def jaccard_components(
     spark = docs.sparkSession
     seen = stored(shingle_prints(docs, width), "shingle-prints")
     prints = seen.filter("kind = 0").select(F.col("key").alias("doc_id"), F.col("one").alias("set_id"), "two", "n")
-    often = seen.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n"))
-    frequent = often.orderBy(F.desc("n"), "key").limit(FREQUENT).select("key").toPandas()["key"].to_numpy(np.int64)
-    frequent = np.sort(frequent.astype(np.uint64))
+    levels = frequencies(seen.filter("kind = 1"))
 
-    chains = chained(prefix_tokens(docs, frequent, width, like, of), like, of)
+    chains = chained(prefix_tokens(docs, levels, width, like, of), like, of)
     possible = stored(components(chains, "jaccard-possible"), "jaccard-members")
 
-    # one document of each set that may have a link, with its set
+    # one document of each set that may have a link
     chosen = prints.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     chosen = possible.join(chosen, F.col("node") == F.col("set_id")).select("doc_id", "set_id", "component", "n")
-    blocks = chosen.groupBy("component").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
-    )
-    chosen = stored(chosen.join(blocks, "component"), "jaccard-chosen")
+    chosen = stored(chosen.join(_blocks(chosen), "component"), "jaccard-chosen")
+    whole = chosen.filter("blocks = 1").select("set_id", "component", *[F.lit(0).alias(c) for c in ("low", "high", "block")])
+    roles = whole.unionByName(_taken_apart(docs, chosen.filter("blocks > 1"), levels, width, like, of))
+    roles = stored(roles.join(chosen.select("set_id", "doc_id"), "set_id"), "jaccard-roles")
+    few = roles.count() <= SENT
+    held = roles.groupBy("doc_id", "set_id").agg(F.collect_list(F.struct(*PLACE)).alias("roles"))
+    sets = _needed_sets(docs.join(F.broadcast(held) if few else held, "doc_id"), width)
     buckets = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_TOKENS + 1
-    searched = docs.join(chosen.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = _needed_sets(searched, width).join(chosen.drop("doc_id", "n"), "set_id")
-    own = F.pmod(F.xxhash64("set_id"), F.col("blocks").cast("long")).cast("int")
-    dealt = (
-        sets.withColumn("block", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("block", "other"))
-        .withColumn("high", F.greatest("block", "other"))
-        .withColumn(
-            "group",
-            F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(
-                F.xxhash64("component", "low", "high")
-            ),
-        )
-    )
-    columns = ["component", "low", "high", "block", "set_id", "tokens"]
-    links = dealt.select("group", *columns).groupBy("group").applyInArrow(_searched(like, of), "a long, b long")
+    # searches within one task are put together by chance, pairs of blocks are groups of their own
+    bucket = F.pmod(F.xxhash64("component"), F.lit(buckets))
+    group = F.when(F.col("high") <= 0, bucket).otherwise(F.xxhash64("component", "low", "high"))
+    dealt = sets.select("set_id", "tokens", F.inline("roles")).withColumn("group", group)
+    links = dealt.select("group", *PLACE, "set_id", "tokens").groupBy("group").applyInArrow(_searched(like, of), "a long, b long")
     roots = components(links, "jaccard-links")
 
     # the smallest document of each component
@@ -255,18 +262,68 @@ def jaccard_components(
     )
 
 
+#: Where a set takes part in a search: the search, the pair of blocks, and the set's own block.
+PLACE = ["component", "low", "high", "block"]
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """``component, blocks``: how many blocks the sets (component, n) of each component make."""
+    size = F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_TOKENS)
+    return members.groupBy("component").agg(F.ceil(size).cast("int").alias("blocks"))
+
+
+def _taken_apart(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, like: int, of: int) -> DataFrame:
+    """``set_id`` and PLACE for the searches that large components need; ``members``: doc_id, set_id, n."""
+    ids = members.select("doc_id")
+    there = docs.join(F.broadcast(ids) if members.count() <= SENT else ids, "doc_id", "left_semi")
+    rows = stored(prefix_tokens(there, levels, width, like, of).distinct(), "jaccard-tokens")
+    sizes = rows.groupBy("token").count().filter("count > 1")
+    a, b = (rows.join(sizes.filter(F.col("count") <= CROWD), "token").alias(x) for x in "ab")
+    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id"))
+    near &= (of * F.col("a.n") >= like * F.col("b.n")) & (of * F.col("b.n") >= like * F.col("a.n"))
+    pairs = stored(a.join(b, near).select(F.col("a.set_id").alias("component"), F.col("b.set_id").alias("set_id")).distinct(), "jaccard-pairs")
+    # a search of its own for each set with partners: the set is block 0, they are block 1; its number is below 0
+    place = lambda own: [F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(own).alias("block")]
+    stars = pairs.select("set_id", "component", *place(1)).unionByName(
+        pairs.select(F.col("component").alias("set_id"), "component").distinct().select("*", *place(0))
+    )
+    crowded = rows.join(sizes.filter(F.col("count") > CROWD).select("token"), "token")
+    crowds = components(chained(crowded, like, of), "jaccard-crowds").select(F.col("node").alias("set_id"), "component")
+    crowds = crowds.join(rows.select("set_id", "n").distinct(), "set_id")
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks").cast("long")).cast("int")
+    crowds = crowds.join(_blocks(crowds), "component").withColumn("block", own)
+    crowds = crowds.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # numbered from 1, as 0 is a component in one piece
+    crowds = crowds.select("set_id", "component", *[(f("block", "other") + 1).alias(n) for f, n in ((F.least, "low"), (F.greatest, "high"))], (F.col("block") + 1).alias("block"))
+    return stars.unionByName(crowds)
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` (doc_id, text, ...) of each component: that of the smallest doc_id, one row where an id repeats.
+    Rows without an id, which no component can be named by, stay."""
+    found = jaccard_components(docs)
+    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    one = docs.join(first, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def _needed_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``set_id, tokens``: the set of each document as bytes; a set once per batch."""
+    """``set_id, roles, tokens`` of documents that are joined with set_id and roles: their sets as bytes. A row whose set is
+    another one, where an id repeats, is left out."""
+    kind = docs.schema["roles"].dataType
 
     def batches(parts):
         for part in parts:
-            got = {}
-            for _, s in _sets(part.column(0).to_pylist(), part.column(1).to_pylist(), width):
-                if len(s):
-                    got[_print(s)[0]] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([_long(list(got)), pa.array(list(got.values()), pa.binary())], ["set_id", "tokens"])
-
-    return docs.mapInArrow(batches, "set_id long, tokens binary").dropDuplicates(["set_id"])
+            known, keep, tokens = part.column("set_id").to_pylist(), [], []
+            for i, s in _sets(range(part.num_rows), part.column("text").to_pylist(), width):
+                if len(s) and _print(s)[0] == known[i]:
+                    keep.append(i)
+                    tokens.append(s.tobytes())
+            at = pa.array(keep, pa.int64())
+            columns = [part.column("set_id").take(at), part.column("roles").take(at), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["set_id", "roles", "tokens"])
+
+    return docs.mapInArrow(batches, f"set_id long, roles {kind.simpleString()}, tokens binary")
 
 
 def _searched(like: int, of: int):

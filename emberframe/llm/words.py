@@ -84,23 +84,17 @@ def rolled(code: np.ndarray, width: int) -> np.ndarray:
     return mixed(out + np.uint64(width))
 
 
-def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles as (text, hash), ordered by both. A text with fewer words has one shingle, all its words."""
-    counts = words.counts()
-    owner = words.owner()
+def shingles(words: Words, width: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each text, ascending. A text with fewer words has one shingle, all its words."""
     every = rolled(words.code, width)
-    whole = owner[: len(every)] == owner[width - 1 :][: len(every)] if len(every) else np.zeros(0, bool)
-    of, hashes = [owner[: len(every)][whole]], [every[whole]]
-    for n in range(1, width):
-        for i in np.flatnonzero(counts == n):
-            of.append(np.array([i]))
-            hashes.append(rolled(words.code[words.first[i] : words.first[i + 1]], n))
-    of, hashes = np.concatenate(of), np.concatenate(hashes)
-    order = np.lexsort((hashes, of))
-    of, hashes = of[order], hashes[order]
-    new = np.ones(len(of), bool)
-    new[1:] = (of[1:] != of[:-1]) | (hashes[1:] != hashes[:-1])
-    return of[new], hashes[new]
+    out = []
+    for begin, end in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+        if end - begin >= width:
+            hashes = np.sort(every[begin : end - width + 1])
+            out.append(hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])])
+        else:
+            out.append(rolled(words.code[begin:end], end - begin) if end > begin else every[:0])
+    return out
 
 
 def chunks(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:

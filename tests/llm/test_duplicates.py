@@ -85,10 +85,11 @@ def near_copies(r, n):
     return docs
 
 
-@pytest.mark.parametrize("limit", [512, 6])
-def test_jaccard(rows, monkeypatch, limit):
+@pytest.mark.parametrize("limit, crowd", [(512, 64), (6, 64), (6, 3)])
+def test_jaccard(rows, monkeypatch, limit, crowd):
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", limit)
-    docs = near_copies(random.Random(limit), 160) + ODD
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    docs = near_copies(random.Random(limit + crowd), 160) + ODD
     got = jaccard_join.jaccard_components(rows(docs)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == jaccard_model(docs)
 
