@@ -23,7 +23,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that stand earlier, or within one edit of it, go; so do documents that lose all their lines."""
+    """Lines that stand earlier, or within three edits of it, go; so do documents that lose all their lines."""
     return without_repeated_lines(docs)
 
 

@@ -173,6 +173,43 @@ def test_lines(rows, monkeypatch, shared):
     assert all(r.kept == ((r.doc_id, r.line_no) == (r.first_doc_id, r.first_line_no)) for r in got)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("edits, shared", [(2, 64), (2, 2), (3, 64), (3, 2)])
+def test_lines_within_several_edits(rows, monkeypatch, edits, shared):
+    monkeypatch.setattr(line_dedup, "SHARED", shared)
+    r = random.Random(10 * edits + shared)
+    text = lambda n: "".join(r.choices("abcdé ", k=n)).strip() or "a"
+
+    def turned(x, times):
+        for _ in range(times):
+            i = r.randint(0, len(x))
+            x = r.choice([x[:i] + x[i + 1 :], x[:i] + r.choice("azé") + x[i:], x[:i] + "z" + x[i + 1 :]])
+        return x
+
+    base = [text(r.randint(20, 45)) for _ in range(25)]
+    docs = [(d, "\n".join(turned(r.choice(base), r.randint(0, 5)) for _ in range(4))) for d in range(50)]
+    lines = sorted({x for _, t in docs for x in t.split("\n") if x.strip(" ") and len(x) >= line_dedup.LEAST})
+    want = {(a, b) for a in lines for b in lines if a < b and abs(len(a) - len(b)) <= edits and distance(a, b) <= edits}
+    of = line_dedup.lines_of(rows(docs).select("doc_id", "text"))
+    name = {x.line_id: x.line for x in of.collect()}
+    got = {tuple(sorted((name[x.a], name[x.b]))) for x in line_dedup.line_links(of, edits).collect()}
+    assert got == want and len({p for p in want if distance(*p) == edits}) > 20
+
+
+def test_the_pipeline_takes_out_lines_within_three_edits(rows):
+    line = "Read the terms of use before you go on to the next page."
+    out = line_dedup.without_repeated_lines(rows([(1, line), (2, line.replace("terms", "form") + "\nown"), (3, line.replace("terms", "guides"))]))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, line), (2, "own"), (3, line.replace("terms", "guides"))]
+
+
 def test_texts_without_repeated_lines(rows):
     docs = rows([(1, "the same line in both of them\nown"), (2, "other\nthe same line in both of them"), (3, "the same line in both of thum"), (4, None), (5, "")])
     out = line_dedup.without_repeated_lines(docs)
