@@ -299,12 +299,15 @@ def _taken_apart(docs: DataFrame, members: DataFrame, levels: np.ndarray, width:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` (doc_id, text, ...) of each component: that of the smallest doc_id, one row where an id repeats.
-    Rows without an id, which no component can be named by, stay."""
-    found = jaccard_components(docs)
-    first = found.filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    one = docs.join(first, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    """One row of ``docs`` (doc_id, text, ...) of each component: that of the smallest doc_id, one without id where no row has
+    one. Rows are told apart by id and text: where an id repeats, unlike texts stay and true copies go."""
+    row = F.xxhash64(F.col("doc_id").cast("long").isNull(), F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
+    found = jaccard_components(rows, "row").select(F.col("doc_id").alias("row"), "component_id")
+    named = found.join(rows.select("row", "doc_id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    kept = docs.withColumn("__row", row).join(first.select(F.col("first.row").alias("__row")), "__row", "left_semi")
+    return kept.dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def _needed_sets(docs: DataFrame, width: int) -> DataFrame:

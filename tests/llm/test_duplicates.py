@@ -219,6 +219,22 @@ def test_texts_without_repeated_lines(rows):
     assert line_dedup.line_classes(rows([])).count() == 0
 
 
+def test_rows_that_share_an_id_or_have_none_lose_their_own_lines_only(rows):
+    a, b, c, d = (f"{x} is what this line begins with {x * 9}" for x in ("one", "two", "three", "four"))
+    docs = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (7, f"{d}\nq"), (7, f"w\n{d}"), (8, f"{c}\nz"), (8, f"y\n{c}"), (9, "own"), (9, "own")]
+    out = line_dedup.without_repeated_lines(rows(docs))
+    want = [(None, f"{a}\n{b}"), (None, c), (7, f"{d}\nq"), (7, "w"), (8, "z"), (8, "y"), (9, "own"), (9, "own")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_rows_that_share_an_id_or_have_none_are_near_copies_by_their_texts(rows):
+    text = lambda x, n=40: " ".join(f"{x}{i}" for i in range(n))
+    docs = [(7, text("a")), (7, text("b")), (7, text("b")), (8, text("b", 41)), (None, text("b", 42)), (None, text("c")), (None, text("c", 41)), (None, text("d")), (6, text("a", 41)), (9, ""), (10, None)]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard_join.without_near_copies(rows(docs)).collect()), key=repr)
+    assert len(kept) == 6 and kept[0] == (10, None) and kept[1:3] == [(6, text("a", 41)), (7, text("b"))] and (9, "") in kept
+    assert [t for i, t in kept if i is None][1] == text("d") and [t for i, t in kept if i is None][0] in (text("c"), text("c", 41))
+
+
 def span_model(docs, span):
     seen, every = collections.defaultdict(set), []
     for k, (d, t) in enumerate(docs):
