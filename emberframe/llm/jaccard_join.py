@@ -129,14 +129,16 @@ def _long(values) -> pa.Array:
 
 
 def shingle_prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """One row per document (``kind`` 0: key its id, ``one`` and ``two`` its set's prints, ``n`` its size) and one per
-    token and batch that has it often (``kind`` 1: key the token, ``n`` how often), from a single pass over the texts."""
+    """One row per document (doc_id, text, row) (``kind`` 0: key its row's number, ``one`` and ``two`` its set's prints, ``n``
+    its size; ``kind`` 2 in place of 0 where it has no id) and one per token and batch that has it often (``kind`` 1: key the token, ``n`` how often), from a single pass over the texts."""
 
     def batches(parts):
         for part in parts:
-            ids, prints, sizes, tokens = [], [], [], []
-            for d, s in _sets(part.column(0).to_pylist(), part.column(1).to_pylist(), width):
-                ids.append(d)
+            ids, kinds, prints, sizes, tokens = [], [], [], [], []
+            known = list(zip(part.column(0).to_pylist(), part.column(2).to_pylist()))
+            for (d, row), s in _sets(known, part.column(1).to_pylist(), width):
+                ids.append(row)
+                kinds.append(2 if d is None else 0)
                 prints.append(_print(s))
                 sizes.append(len(s))
                 tokens.append(s)
@@ -145,7 +147,7 @@ def shingle_prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             zero = [0] * len(every)
             yield pa.RecordBatch.from_arrays(
                 [
-                    _long([0] * len(ids) + [1] * len(every)),
+                    _long(kinds + [1] * len(every)),
                     _long(ids + every.astype(np.int64).tolist()),
                     _long([p[0] for p in prints] + zero),
                     _long([p[1] for p in prints] + zero),
@@ -219,25 +221,25 @@ def jaccard_components(
     counts as a member but names no component; a component of such rows has none. Rows that share an id keep their own
     sets. Other columns are not looked at; an empty table gives no rows.
     """
-    docs = texts_of(docs, doc_id, text)
-    spark = docs.sparkSession
+    # a row's number: its id, or a hash of its text where it has none
+    docs = texts_of(docs, doc_id, text).withColumn("row", F.coalesce("doc_id", F.xxhash64("text")))
     seen = stored(shingle_prints(docs, width), "shingle-prints")
-    prints = seen.filter("kind = 0").select(F.col("key").alias("doc_id"), F.col("one").alias("set_id"), "two", "n")
+    prints = seen.filter("kind != 1").select(F.expr("IF(kind = 0, key, NULL)").alias("doc_id"), F.col("key").alias("row"), F.col("one").alias("set_id"), "two", "n")
     levels = frequencies(seen.filter("kind = 1"))
 
     chains = chained(prefix_tokens(docs, levels, width, like, of), like, of)
     possible = stored(components(chains, "jaccard-possible"), "jaccard-members")
 
     # one document of each set that may have a link
-    chosen = prints.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    chosen = possible.join(chosen, F.col("node") == F.col("set_id")).select("doc_id", "set_id", "component", "n")
+    chosen = prints.filter("n > 0").groupBy("set_id").agg(F.min("row").alias("row"), F.max("n").alias("n"))
+    chosen = possible.join(chosen, F.col("node") == F.col("set_id")).select("row", "set_id", "component", "n")
     chosen = stored(chosen.join(_blocks(chosen), "component"), "jaccard-chosen")
     whole = chosen.filter("blocks = 1").select("set_id", "component", *[F.lit(0).alias(c) for c in ("low", "high", "block")])
     roles = whole.unionByName(_taken_apart(docs, chosen.filter("blocks > 1"), levels, width, like, of))
-    roles = stored(roles.join(chosen.select("set_id", "doc_id"), "set_id"), "jaccard-roles")
+    roles = stored(roles.join(chosen.select("set_id", "row"), "set_id"), "jaccard-roles")
     few = roles.count() <= SENT
-    held = roles.groupBy("doc_id", "set_id").agg(F.collect_list(F.struct(*PLACE)).alias("roles"))
-    sets = _needed_sets(docs.join(F.broadcast(held) if few else held, "doc_id"), width)
+    held = roles.groupBy("row", "set_id").agg(F.collect_list(F.struct(*PLACE)).alias("roles"))
+    sets = _needed_sets(docs.join(F.broadcast(held) if few else held, "row"), width)
     buckets = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_TOKENS + 1
     # searches within one task are put together by chance, pairs of blocks are groups of their own
     bucket = F.pmod(F.xxhash64("component"), F.lit(buckets))
@@ -273,9 +275,9 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 
 def _taken_apart(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, like: int, of: int) -> DataFrame:
-    """``set_id`` and PLACE for the searches that large components need; ``members``: doc_id, set_id, n."""
-    ids = members.select("doc_id")
-    there = docs.join(F.broadcast(ids) if members.count() <= SENT else ids, "doc_id", "left_semi")
+    """``set_id`` and PLACE for the searches that large components need; ``members``: row, set_id, n."""
+    ids = members.select("row")
+    there = docs.join(F.broadcast(ids) if members.count() <= SENT else ids, "row", "left_semi").select("doc_id", "text")
     rows = stored(prefix_tokens(there, levels, width, like, of).distinct(), "jaccard-tokens")
     sizes = rows.groupBy("token").count().filter("count > 1")
     a, b = (rows.join(sizes.filter(F.col("count") <= CROWD), "token").alias(x) for x in "ab")
@@ -312,7 +314,7 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
 def _needed_sets(docs: DataFrame, width: int) -> DataFrame:
     """``set_id, roles, tokens`` of documents that are joined with set_id and roles: their sets as bytes. A row whose set is
-    another one, where an id repeats, is left out."""
+    another one, where a row's number repeats, is left out."""
     kind = docs.schema["roles"].dataType
 
     def batches(parts):

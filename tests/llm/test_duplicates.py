@@ -94,6 +94,17 @@ def test_jaccard(rows, monkeypatch, limit, crowd):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == jaccard_model(docs)
 
 
+@pytest.mark.parametrize("limit", [512, 2])
+def test_jaccard_links_through_rows_without_id(rows, monkeypatch, limit):
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", limit)
+    text = lambda low, high: " ".join(f"w{i}" for i in range(low, high))
+    # 1 and 2 are alike to the row between them only
+    docs = [(1, text(0, 100)), (None, text(10, 110)), (2, text(20, 120)), (None, text(500, 600)), (3, text(505, 605)), (None, text(800, 900)), (None, text(801, 901))]
+    got = jaccard_join.jaccard_components(rows(docs)).collect()
+    have = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr)
+    assert have == jaccard_model(docs) and (2, 96, 1) in have and (None, 96, 3) in have
+
+
 def test_jaccard_keeps_one_of_each_group(rows):
     docs = near_copies(random.Random(9), 60)
     table = rows([*docs, docs[5], (None, "alone here")])
