@@ -1,6 +1,6 @@
 """SQL (DuckDB dialect) for the queries of this package that SQL can express."""
 
-from emberframe.llm import jaccard_join, line_dedup, suffix_dedup
+from emberframe.llm import collocations, jaccard_join, line_dedup, suffix_dedup
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = "'[^\\x20\\x09-\\x0D]+'"
@@ -67,9 +67,35 @@ spans AS (SELECT doc_id, MIN(i) AS low, MAX(i) + {M} AS high FROM numbered GROUP
 SELECT s.doc_id, CAST(low AS INTEGER) AS first_word, CAST(high - low AS INTEGER) AS n_words, CAST(a.stop - a.n AS INTEGER) AS "start", b.stop AS "end"
 FROM spans s JOIN placed a ON a.doc_id = s.doc_id AND a.i = s.low JOIN placed b ON b.doc_id = s.doc_id AND b.i = s.high - 1"""
 
+PHRASES = f"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS words
+  FROM (SELECT lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+sizes AS (SELECT lang, CAST(SUM(len(words)) AS BIGINT) AS n FROM pieces WHERE len(words) > 0 GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM pieces, range(1, {collocations.LONGEST + 1}) AS t(k) WHERE len(words) >= k)),
+f AS (SELECT lang, k, phrase, COUNT(*) AS f FROM grams GROUP BY lang, k, phrase HAVING COUNT(*) >= {collocations.LEAST}),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM cand),
+scores AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, s.n, CAST((CAST(1000 AS HUGEINT) * c.a * s.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM cuts c JOIN sizes s ON s.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1:c.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[c.cut + 1:c.k], ' ')),
+weakest AS (SELECT * FROM scores QUALIFY ROW_NUMBER() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, phrase, MAX(a) AS f FROM (
+    SELECT lang, a, array_to_string(words[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, a, words, k, m, unnest(range(1, k - m + 2)) AS i FROM cand, range(2, {collocations.LONGEST}) AS t(m) WHERE m < k))
+  GROUP BY lang, phrase),
+kept AS (SELECT w.* FROM weakest w LEFT JOIN inside i ON i.lang = w.lang AND i.phrase = w.phrase WHERE i.f IS NULL OR i.f < w.a),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= {collocations.MOST}"""
+
 ORACLE = {
     "op1_suffix_dedup": SPANS,
     "op8_ngram_jaccard": JACCARD,
     "op9_exact_topk": EXACT_TOP_K,
     "op10_line_dedup": LINES,
+    "op13_collocations": PHRASES,
 }
