@@ -7,6 +7,7 @@ in quotient filters and writes them in blocks by leading bits of the permuted ph
 """
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from emberframe.llm.words import mixed
 
 LEAST, LONGEST, MOST = 100, 5, 2000
 #: Words of a chunk: it ends after the piece of text that reaches this.
-CHUNK_WORDS = 500_000
+CHUNK_WORDS = 2_000_000
 #: Entries of a task's filter before it is written; entries of a range, at most, when all shards have met.
 SHARD, RANGE = 1_000_000, 1_000_000
 #: Bits of the map of frequent phrases: 4 MB.
@@ -33,6 +34,26 @@ ENDS = b".,;:!?\n\x0b\x0c\r"
 _LINES = bytes.maketrans(ENDS, b"\n" * len(ENDS))
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Numbers from -1 on as compressed planes of bytes, those of zeros left out."""
+    import zstandard
+
+    planes = (ids + 1).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    n = max((k + 1 for k in range(4) if planes[k].any()), default=0)
+    return bytes([n]) + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes[:n]).tobytes())
+
+
+def spread(data: bytes) -> np.ndarray:
+    import zstandard
+
+    if data[0] == 0:  # nothing but -1, which says nothing
+        return np.zeros(0, np.int32)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.reshape(-1).view("<u4").astype(np.int32) - 1
+
+
 def _chunk_rows(batches: Iterator[pa.RecordBatch], chunk_words: int) -> Iterator[pa.RecordBatch]:
     number = TaskContext.get().partitionId() << 33
     open_chunks: dict[str, tuple[dict, list]] = {}
@@ -48,7 +69,7 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], chunk_words: int) -> Iterator
             "lang": pa.array([lang], pa.string()),
             "words": pa.array([[w.decode() for w in words]], pa.list_(pa.string())),
             "counts": pa.array([counts], pa.list_(pa.int64())),
-            "ids": pa.array([ids.tobytes()], pa.binary()),
+            "ids": pa.array([squeezed(ids)], pa.binary()),
         })
 
     held = 0
@@ -90,12 +111,34 @@ def numbered_words(chunks: DataFrame, least: int) -> DataFrame:
     return words.withColumn("id", (row * COUNTERS + F.col("_counter")).cast("int")).drop("_counter")
 
 
+def _without_gaps(ids: np.ndarray) -> np.ndarray:
+    """Numbers with one -1 between words that are not neighbours; words without a neighbour left out."""
+    known = np.concatenate([[False], ids >= 0, [False]])
+    ids = np.where(known[1:-1] & (known[:-2] | known[2:]), ids, -1)
+    return ids[(ids >= 0) | np.concatenate([[True], ids[:-1] >= 0])]
+
+
 def _renumbered(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """``lang, ids`` of chunks, with the numbers of the frequent words; -1 for others and between pieces."""
-    places = chunks.select("chunk", "lang", F.posexplode("words").alias("at", "word"))
-    found = places.join(words.select("lang", "word", "id"), ["lang", "word"])
-    known = found.groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("id")).alias("id"))
-    both = chunks.select("chunk", "lang", F.size("words").alias("n"), "ids").join(known, "chunk")
+    """``lang, ids`` of chunks, with the numbers of the frequent words; -1 between words that no phrase can join."""
+    name = F.concat_ws("\0", "lang", "word")
+    frequent = chunks.sparkSession.sparkContext.broadcast(_map_of(words.select((F.crc32(name) % (1 << MAP_BITS)).alias("slot"))))  # 4 MB
+
+    def places(batches):
+        for batch in batches:
+            for chunk, lang, found in zip(*(batch.column(k) for k in range(3))):
+                found = found.values
+                names = [f"{lang}\0{w}".encode() for w in found.to_pylist()]
+                slot = np.fromiter(map(crc32, names), np.int64, len(names)) % (1 << MAP_BITS)
+                at = np.flatnonzero(np.frombuffer(frequent.value, np.uint8)[slot >> 3] >> (slot & 7) & 1)
+                for k in range(0, len(at), 10_000):
+                    part = pa.array(at[k : k + 10_000], pa.int32())
+                    same = [pa.array([x.as_py()] * len(part), x.type) for x in (chunk, lang)]
+                    yield pa.RecordBatch.from_arrays([*same, part, found.take(part)], ["chunk", "lang", "at", "word"])
+
+    candidates = chunks.select("chunk", "lang", "words").mapInArrow(places, "chunk long, lang string, at int, word string")
+    found = candidates.join(words.select("lang", "word", "id"), ["lang", "word"])
+    known = found.groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list("id").alias("id"))
+    both = chunks.select("chunk", "lang", F.size("words").alias("n"), "ids").join(known.hint("merge"), "chunk")
 
     def renumber(batches):
         for batch in batches:
@@ -103,7 +146,7 @@ def _renumbered(chunks: DataFrame, words: DataFrame) -> DataFrame:
             for n, ids, at, number in zip(*(batch.column(k) for k in range(1, 5))):
                 to = np.full(n.as_py() + 1, -1, np.int32)
                 to[at.values.to_numpy()] = number.values.to_numpy()
-                out.append(to[np.frombuffer(ids.as_buffer(), np.int32)].tobytes())
+                out.append(squeezed(_without_gaps(to[spread(ids.as_py())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["lang", "ids"])
 
     return both.select("lang", "n", "ids", "at", "id").mapInArrow(renumber, "lang string, ids binary")
@@ -111,8 +154,6 @@ def _renumbered(chunks: DataFrame, words: DataFrame) -> DataFrame:
 
 def _slots(lang: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Bits of the map for phrases of a language, by their packed integers."""
-    from zlib import crc32
-
     code = mixed(right + np.uint64(crc32(lang.encode())))
     return (mixed(code ^ left) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
@@ -158,7 +199,7 @@ def _counted(texts: DataFrame, n: int, bits: int, range_bits: int, least: int, f
 
         for batch in batches:
             for lang, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(ids.as_buffer(), np.int32)
+                ids = spread(ids.as_py())
                 left, right = _windows(ids, n, bits, lang, None if frequent is None else np.frombuffer(frequent.value, np.uint8))
                 if len(left) == 0:
                     continue
@@ -189,7 +230,7 @@ def _counted(texts: DataFrame, n: int, bits: int, range_bits: int, least: int, f
 
 
 def _map_of(counted: DataFrame) -> bytes:
-    """The bits of frequent phrases. At most 2 ** MAP_BITS bits come to the driver, in parts of 4 KB."""
+    """The bits named in ``slot``. At most 2 ** MAP_BITS bits come to the driver, in parts of 4 KB."""
     x = F.col("slot") + 1
     parts = counted.groupBy(F.bitmap_bucket_number(x).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits"))
     out = bytearray(1 << MAP_BITS - 3)
