@@ -21,7 +21,7 @@ def test_slopes_are_those_of_small_differences():
     for part, slope in zip(net.parts(), slopes):
         places = [tuple(random.integers(0, s) for s in part.shape) for _ in range(25)]
         if part is net.byte:
-            places = [(d, ord(c), k) for d in (0, 1) for c in "az" for k in range(12)]
+            places = [(g, d, ord(c), k) for g in range(3) for d in (0, 1) for c in "az" for k in range(4)]
         for at in places:
             h = 1e-3
             was = part[at]
@@ -35,8 +35,7 @@ def test_slopes_are_those_of_small_differences():
 
 def plain(net, text):
     """One byte after the other, window by window."""
-    size = net.state.shape[1]
-    sigma = lambda x: 1 / (1 + np.exp(-x))
+    size = net.state.shape[2]
     total = np.zeros(len(net.bias))
     for at in range(0, len(text), li.READ):
         window = text[at : at + li.READ]
@@ -44,9 +43,9 @@ def plain(net, text):
         for d, data in enumerate((window, window[::-1])):
             h, out = np.zeros(size), []
             for b in data:
-                x, a = net.byte[d, b], h @ net.state[d]
-                z, r = sigma(x[:size] + a[:size]), sigma(x[size : 2 * size] + a[size : 2 * size])
-                n = np.tanh(x[2 * size :] + r * a[2 * size :])
+                z, r = (np.clip(net.byte[k, d, b] + h @ net.state[k, d], 0, 1) for k in (0, 1))
+                n = net.byte[2, d, b] + r * (h @ net.state[2, d])
+                n = n / (1 + abs(n))
                 h = (1 - z) * n + z * h
                 out.append(h @ net.out[d])
             sides.append(out)
