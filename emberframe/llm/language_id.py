@@ -22,6 +22,8 @@ RATE, SEED = 0.01, 7
 #: A text is read in windows of this many bytes, so many at a time.
 READ, ROWS = 256, 1024
 UNKNOWN = "und"
+#: Parts of a language whose first documents are found side by side.
+PARTS = 64
 
 
 class Network:
@@ -203,11 +205,14 @@ def fit(docs: DataFrame, documents: int = DOCUMENTS) -> tuple[list[str], Network
     At most ``documents`` rows of a language and WINDOWS windows of a row come to the driver, however long the texts.
     """
     known = docs.filter(~is_held_out("doc_id") & F.col("lang").isNotNull() & (F.length("text") > 0))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    chosen = known.withColumn("_row", F.row_number().over(by)).filter(F.col("_row") <= documents)
     last = F.greatest(F.length("text") - LETTERS, F.lit(0))
     places = [F.substring("text", (last * k / max(1, WINDOWS - 1)).cast("int") + 1, F.lit(LETTERS)) for k in range(WINDOWS)]
-    rows = chosen.select("lang", F.explode(F.array_distinct(F.array(*places))).alias("text")).orderBy("lang", "text").collect()
+    known = known.select("lang", F.xxhash64("doc_id").alias("_hash"), "doc_id", F.xxhash64("text").alias("_text"), F.array_distinct(F.array(*places)).alias("windows"))
+    lowest = lambda rows, *by: rows.withColumn("_row", F.row_number().over(Window.partitionBy("lang", *by).orderBy("_hash", "doc_id", "_text"))).filter(F.col("_row") <= documents)
+    # first within parts of a language, so that no task is given what all tasks have kept of it
+    parts = known.withColumn("_part", F.pmod(F.xxhash64("_hash", "_text"), F.lit(PARTS)))
+    chosen = lowest(lowest(parts, "_part"))
+    rows = chosen.select("lang", F.explode("windows").alias("text")).orderBy("lang", "text").collect()
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})
