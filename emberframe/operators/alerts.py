@@ -1,19 +1,22 @@
 """Alert rules: evaluation, hold time, de-duplication."""
 
-from collections import OrderedDict
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberframe.functions.rules import Rule, compare, read_rules, register_rule_functions, truth, with_missing_metrics
-from emberframe.operators.ordered import LEVEL, MAX_ROWS, has_hot_group, ordered_columns, slice_columns, slice_hot_groups
+from emberframe.operators.ordered import MAX_ROWS, has_hot_group, ordered_columns, with_position
+from emberframe.workspace import stored
 
 # Fixed value: rules the de-duplicating sink remembers.
 REMEMBERED_RULES = 128
 
-# rows of one pandas group
-MAX_PANDAS_ROWS = 500_000
+# firings looked at together, and units of the tree of slices that have one parent
+SLICE_ROWS = 50_000
+FAN = 16
+
+AT = "_at"
 
 
 def threshold_filter(metrics: DataFrame, metric: str, op: str, number: int) -> DataFrame:
@@ -83,78 +86,104 @@ def alert_hold(
     return runs.filter(fires(hold, order[0])).select(*keys, *order, "since_us")
 
 
-def _remember(recent: OrderedDict, rule: str, capacity: int) -> bool:
-    """Touch a rule; True if it was not remembered."""
-    new = rule not in recent
-    recent[rule] = None
-    recent.move_to_end(rule)
-    if len(recent) > capacity:
-        recent.popitem(last=False)
-    return new
-
-
-def alert_dedup_lru(firings: DataFrame, order: list[str] = ["us"], capacity: int = REMEMBERED_RULES, max_rows: int = MAX_PANDAS_ROWS) -> DataFrame:
+def _smaller_before(values: np.ndarray) -> np.ndarray:
+    """For each place how many places before it hold a smaller value; of equal values the first counts as smaller.
+
+    Places are taken in order of value. From halves of the whole down to single places, a place of a right half counts the
+    places of its left half that came before it."""
+    out = np.zeros(len(values), np.int64)
+    order = np.argsort(values, kind="stable")
+    for bit in range(len(values).bit_length() - 1, -1, -1):
+        block = order >> bit + 1
+        left = order >> bit & 1 == 0
+        seen = np.cumsum(left)
+        first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+        seen -= np.repeat(seen[first] - left[first], np.diff(np.append(first, len(order))))
+        out[order[~left]] += seen[~left]
+        order = order[np.argsort(order >> bit, kind="stable")]
+    return out
+
+
+def _distinct_since(rules: np.ndarray) -> np.ndarray:
+    """For each firing the number of other rules fired since its rule fired last; -1 where it never did.
+
+    The firings up to the last one of the same rule all follow their own last one before it, so of the firings so far
+    whose last one lies before that place, those after it are the first firings there, one per rule."""
+    if len(rules) == 0:
+        return rules
+    by_rule = np.argsort(rules, kind="stable")
+    last = np.full(len(rules), -1, np.int64)
+    again = rules[by_rule[1:]] == rules[by_rule[:-1]]
+    last[by_rule[1:][again]] = by_rule[:-1][again]
+    return np.where(last < 0, -1, _smaller_before(last) - last - 1)
+
+
+def _newest(fired: DataFrame, unit: str, capacity: int) -> DataFrame:
+    """The ``capacity`` rules of each unit that fired last, with the place of their last firing."""
+    last = fired.groupBy(unit, "rule").agg(F.max(AT).alias(AT))
+    rank = F.row_number().over(Window.partitionBy(unit).orderBy(F.col(AT).desc()))
+    return last.withColumn("_rank", rank).filter(F.col("_rank") <= capacity).drop("_rank")
+
+
+def _memories(rows: DataFrame, slices: int, capacity: int, known: DataFrame | None) -> DataFrame | None:
+    """The rules remembered at the start of each slice: ``_slice, rule`` and the place of the last firing.
+
+    What a slice leaves behind are its newest rules; what FAN slices leave are the newest of theirs, and so on up a tree. Down
+    the tree, a unit starts from what its parent started with and what the units before it below that parent left."""
+    if slices <= 1 and known is None:
+        return None
+    sizes, left = [slices], [stored(_newest(rows.select("_slice", "rule", AT).withColumnRenamed("_slice", "_unit"), "_unit", capacity), "left-rules")]
+    while sizes[-1] > FAN:
+        up = left[-1].withColumn("_unit", F.floor(F.col("_unit") / FAN).cast("long"))
+        left.append(_newest(up, "_unit", capacity))
+        sizes.append(-(-sizes[-1] // FAN))
+    start = None if known is None else known.select(F.lit(0).cast("long").alias("_unit"), "rule", AT)
+    for size, leaves in zip(reversed(sizes), reversed(left)):
+        unit, end = F.col("_unit"), F.lit(size - 1).cast("long")
+        last_sibling = F.least((F.floor(unit / FAN).cast("long") + 1) * FAN - 1, end)
+        reach = leaves.filter(unit < last_sibling).select("rule", AT, F.explode(F.sequence(unit + 1, last_sibling)).alias("_unit"))
+        if start is not None:
+            children = F.sequence(unit * FAN, F.least(unit * FAN + (FAN - 1), end))
+            reach = reach.unionByName(start.select("rule", AT, F.explode(children).alias("_unit")))
+        start = _newest(reach, "_unit", capacity)
+    return start.withColumnRenamed("_unit", "_slice")
+
+
+def dedup_numbered(rows: DataFrame, capacity: int = REMEMBERED_RULES, max_rows: int = SLICE_ROWS, known: DataFrame | None = None) -> DataFrame:
+    """``alert_dedup_lru`` for firings that bear their place (from 1) in a column ``_at``; ``known`` (rule, _at of 0 and below)
+    are the rules remembered at the start."""
+    fired = rows.agg(F.max(AT)).first()[0] or 0
+    sliced = rows.withColumn("_slice", F.floor((F.col(AT) - 1) / max_rows).cast("long"))
+    memory = _memories(sliced, -(-fired // max_rows), capacity, known)
+    both = sliced.withColumn("_memory", F.lit(False))
+    if memory is not None:
+        both = both.unionByName(memory.withColumn("_memory", F.lit(True)), allowMissingColumns=True)
+
+    names = rows.columns
+
+    def notify(group: pa.Table) -> pa.Table:
+        group = group.sort_by(AT)
+        rules = group.column("rule").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        since = _distinct_since(rules.astype(np.int64))
+        new = (since < 0) | (since >= capacity)
+        return group.filter(pa.array(new & ~group.column("_memory").to_numpy())).select(names)
+
+    return both.groupBy("_slice").applyInArrow(notify, rows.schema)
+
+
+def last_fired(rows: DataFrame, capacity: int = REMEMBERED_RULES, known: DataFrame | None = None) -> DataFrame:
+    """The rules remembered after numbered firings, for ``known`` of the next ones."""
+    fired = rows.select("rule", AT) if known is None else rows.select("rule", AT).unionByName(known.select("rule", AT))
+    end = rows.agg(F.coalesce(F.max(AT), F.lit(0).cast("long"))).scalar()
+    newest = fired.groupBy("rule").agg(F.max(AT).alias(AT)).orderBy(F.col(AT).desc()).limit(capacity)
+    return newest.select("rule", (F.col(AT) - end).alias(AT))
+
+
+def alert_dedup_lru(firings: DataFrame, order: list[str] = ["us"], capacity: int = REMEMBERED_RULES, max_rows: int = SLICE_ROWS) -> DataFrame:
     """Firings that notify: those whose rule is not among the last ``capacity`` distinct rules fired.
 
-    The history is cut into slices of at most about ``max_rows``. A slice needs no more of the past than the ``capacity``
-    rules fired last, so slices run side by side. Each delivery is taken to succeed before the next firing.
-    """
-    rows = _with_memory(slice_hot_groups(firings, [], order, max_rows), order, capacity)
-    schema = firings.schema
-
-    def notify(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_memory", *order], ascending=[False] + [True] * len(order))
-        recent: OrderedDict = OrderedDict()
-        new = [_remember(recent, rule, capacity) for rule in pdf["rule"]]
-        return pdf[[n and not m for n, m in zip(new, pdf["_memory"])]][schema.fieldNames()]
-
-    return rows.groupBy("_slice_no").applyInPandas(notify, schema)
-
-
-def _with_memory(sliced: DataFrame, order: list[str], capacity: int, block: int = 1000) -> DataFrame:
-    """Number the slices and put in front of each the rules remembered at its start, as rows of ``_memory``.
-
-    Done in blocks of slices: what a block leaves behind, what each block starts with, what each of its
-    slices starts with. No group holds more than ``block`` times ``capacity`` rows, or the blocks' own.
+    That is, ``capacity`` other rules or more have fired since the rule did, which is counted for all firings of a slice at
+    once. Slices hold ``max_rows`` firings each along ``order``, a total order, and need no more of the past than the
+    ``capacity`` rules that fired last, so they run side by side. Each delivery is taken to succeed before the next firing.
     """
-    ids = slice_columns(order)
-    numbers = sliced.select(*ids).distinct().select(
-        *ids, F.row_number().over(Window.partitionBy().orderBy(*ids)).cast("long").alias("_slice_no")
-    )
-    rows = sliced.join(numbers, ids).drop(*ids, LEVEL)
-    last = rows.groupBy("_slice_no", "rule").agg(F.max(F.struct(*order)).alias("_at"))
-
-    def newest(df: DataFrame, unit: str) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(unit).orderBy(F.col("_at").desc()))
-        return df.withColumn("_rank", rank).filter(F.col("_rank") <= capacity).drop("_rank")
-
-    per_slice = newest(last, "_slice_no").withColumn("_block", F.floor(F.col("_slice_no") / block).cast("long"))
-    per_block = newest(per_slice.groupBy("_block", "rule").agg(F.max("_at").alias("_at")), "_block")
-
-    def starts(df: DataFrame, group: list[str], unit: str) -> DataFrame:
-        """Memory at the start of each unit, from what the units of the group leave behind."""
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values([unit, *order])
-            recent: OrderedDict = OrderedDict()
-            out = []
-            for number, part in pdf.groupby(unit, sort=True):
-                out.extend((number, rule, *at) for rule, at in recent.items())
-                for rule, *at in part[["rule", *order]].itertuples(index=False):
-                    _remember(recent, rule, capacity)
-                    recent[rule] = at
-            return pd.DataFrame(out, columns=[unit, "rule", *order])
-
-        schema = f"{unit} bigint, rule string, " + ", ".join(f"{c} bigint" for c in order)
-        flat = df.select(*group, unit, "rule", "_at.*")
-        return flat.groupBy(*group).applyInPandas(run, schema)
-
-    block_starts = starts(per_block, [], "_block")
-    # a block's start is what slice "just before the block" leaves behind
-    seeded = per_slice.unionByName(
-        block_starts.select("_block", (F.col("_block") * block - 1).alias("_slice_no"), "rule", F.struct(*order).alias("_at"))
-    )
-    memory = starts(seeded, ["_block"], "_slice_no")
-    return rows.withColumn("_memory", F.lit(False)).unionByName(
-        memory.withColumn("_memory", F.lit(True)), allowMissingColumns=True
-    )
+    return dedup_numbered(with_position(firings, order, AT), capacity, max_rows).drop(AT)

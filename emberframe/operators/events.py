@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.functions.scalars import clamp
-from emberframe.operators.ordered import MAX_ROWS, ordinal, with_position
+from emberframe.operators.ordered import ordinal, with_position
 
 # Lowest and highest rate per kind of reading; what a rate below the lowest becomes.
 RATE_LIMITS = {
@@ -47,11 +47,11 @@ def sum_by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("type").agg(F.sum("val").alias("total"))
 
 
-def downsample(events: DataFrame, n: int, order: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
-    """Every n-th row, the first included, along a total order of BIGINT columns."""
+def downsample(events: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """Every n-th row, the first included, along a total order."""
     if n <= 1:
         return events
-    numbered = with_position(events, order, "_position", max_rows)
+    numbered = with_position(events, order, "_position")
     return numbered.filter((F.col("_position") - 1) % n == 0).drop("_position")
 
 

@@ -3,9 +3,11 @@
 Values are inclusive: a node has the weight of every sample that passes through it. The root keeps 0.
 """
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberframe.operators.subtrees import null_safe, subtree_sums
+
 # sorts after every other character, so a node can be placed behind its children
 HIGHEST = chr(0x10FFFF)
 
@@ -53,9 +55,7 @@ def node_name(root_name: Column) -> Column:
 
 def ancestor_closure(frames: DataFrame, keys: list[str] = ["snapshot_id"]) -> DataFrame:
     """Every prefix of every path, root and the paths themselves included."""
-    return frames.select(
-        *keys, "path", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("depth")
-    ).select(*keys, _prefix("path", F.col("depth")).alias("path")).distinct()
+    return subtree_sums(frames.select(*keys, "path", F.lit(None).cast("string").alias("name")), keys, []).select(*keys, "path")
 
 
 def _renamed(frames: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,44 +68,34 @@ def _renamed(frames: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _named(df: DataFrame, renamed: DataFrame, on: list[str]) -> DataFrame:
-    """``df`` with ``name``: that of ``renamed``, where the node is there, else the last key of its path."""
-    joined = df.join(renamed.distinct(), on, "left")
+    """``df`` with ``name``: that of ``renamed``, the lowest if there are several, where the node is there, else the last key
+    of its path."""
+    lowest = F.row_number().over(Window.partitionBy(*on).orderBy("_name"))
+    one = renamed.withColumn("_nth", lowest).filter("_nth = 1").drop("_nth")
+    joined = null_safe(df, one, on, "left")
     return joined.withColumn("name", F.coalesce("_name", F.try_element_at("path", F.lit(-1)))).drop("_name")
 
 
-def _keep_with_ancestors(nodes: DataFrame, keys: list[str], hit: Column, numbers: list[str]) -> DataFrame:
-    """Nodes that are hit or lead to a hit, by one aggregation instead of a closure and a semi join: keys, path, ``_hit``
-    and the columns ``numbers``. A hit node speaks for all its prefixes, any other node for itself only."""
-    own = F.col("_depth") == F.size("_path")
-    first = F.when(F.col("_hit"), F.lit(0)).otherwise(F.size("path"))
-    spoken = nodes.withColumn("_hit", hit).select(
-        *keys, *numbers, "_hit", F.col("path").alias("_path"), F.explode(F.sequence(first, F.size("path"))).alias("_depth")
-    )
-    return (
-        spoken.groupBy(*keys, _prefix("_path", F.col("_depth")).alias("path"))
-        .agg(
-            F.bool_or("_hit").alias("_lead"),
-            F.bool_or(F.col("_hit") & own).alias("_hit"),
-            *[F.max(F.when(own, F.col(c))).alias(c) for c in numbers],
-        )
-        .filter("_lead")
-        .drop("_lead")
-    )
+def _leading(nodes: DataFrame, keys: list[str], hit: Column, numbers: list[str]) -> DataFrame:
+    """Nodes that are hit or lead to a hit: keys, path, ``_hit`` and the columns ``numbers``, null where a path is no node."""
+    marked = nodes.select(*keys, "path", F.lit(None).cast("string").alias("name"), hit.cast("long").alias("_hit"), *numbers)
+    found = subtree_sums(marked, keys, ["_hit", *numbers]).filter("sub__hit > 0")
+    return found.select(*keys, "path", (F.coalesce("own__hit", F.lit(0)) > 0).alias("_hit"), *[F.col(f"own_{c}").alias(c) for c in numbers])
 
 
 def flame_search(frames: DataFrame, text: str, keys: list[str] = ["snapshot_id"]) -> DataFrame:
-    """Nodes whose name contains ``text`` in any case, with their ancestors; ``matched`` marks the former."""
+    """Nodes whose name contains ``text`` in any case, with their ancestors; ``matched`` marks the former. Null keys are keys."""
     if not text:
         return frames.withColumn("matched", F.lit(False))
-    hit = F.contains(F.lower("name"), F.lower(F.lit(text)))
-    kept = _keep_with_ancestors(frames, keys, hit, []).withColumnRenamed("_hit", "matched")
-    return frames.join(kept, [*keys, "path"]).select(*frames.columns, "matched")
+    hit = F.coalesce(F.contains(F.lower("name"), F.lower(F.lit(text))), F.lit(False))
+    leading = _leading(frames, keys, hit, []).withColumnRenamed("_hit", "matched")
+    return null_safe(frames, leading, [*keys, "path"]).select(*frames.columns, "matched")
 
 
 def _diff(sides: DataFrame, keys: list[str]) -> DataFrame:
     """Difference of nodes with ``side`` 1 (head) and -1 (base). A node that the head has bears the head's name."""
     delta = sides.groupBy(*keys, "path").agg(F.sum(F.col("value") * F.col("side")).alias("delta"), F.max("side").alias("side"))
-    kept = _keep_with_ancestors(delta, keys, F.col("delta") != 0, ["delta", "side"])
+    kept = _leading(delta, keys, F.col("delta") != 0, ["delta", "side"])
     return _named(kept, _renamed(sides, [*keys, "side"]), [*keys, "path", "side"]).select(*keys, "path", "name", "delta")
 
 
@@ -132,7 +122,8 @@ def diff_frames(delta: DataFrame, snapshot_id: str = "diff", root_name: str = "r
 
 
 def flame_merge(trees: list[DataFrame], keys: list[str] = []) -> DataFrame:
-    """Node-wise sum of trees, root included; a node keeps the name of the first tree that has it.
+    """Node-wise sum of trees, root included; a node keeps the name of the first tree that has it, the whole that of the first
+    tree with a root. Where a tree gives a path several names, the lowest counts.
 
     ``keys`` says what stays apart: [] merges everything into one tree, ["snapshot_id"] per snapshot. A tree has a row for
     its root, which tells its root's name.
@@ -142,32 +133,28 @@ def flame_merge(trees: list[DataFrame], keys: list[str] = []) -> DataFrame:
     for t in numbered[1:]:
         every = every.unionByName(t)
     merged = every.groupBy(*keys, "path").agg(F.sum("value").alias("value"), F.min("source").alias("source"))
-    roots = every.filter(F.size("path") == 0).select(*keys, "source", "root_name").distinct()
     named = _named(merged, _renamed(every, [*keys, "source"]), [*keys, "path", "source"])
-    return named.join(roots, [*keys, "source"], "left").select(*keys, "root_name", "path", "name", "value")
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("source", "root_name"))
+    roots = every.filter(F.size("path") == 0).select(*keys, "source", "root_name").distinct().withColumn("_nth", first).filter("_nth = 1")
+    if keys:
+        named = null_safe(named, roots.select(*keys, "root_name"), keys, "left")
+    else:
+        named = named.withColumn("root_name", roots.select("root_name").scalar())
+    return named.select(*keys, "root_name", "path", "name", "value")
 
 
 def flame_flatten(frames: DataFrame, keys: list[str] = ["snapshot_id"]) -> DataFrame:
     """Depth, ``self`` (the node's value), ``cumulative`` (sum of the values of the node and all below it)
-    and ``self_exclusive`` (the value less those of the direct children), all in one aggregation."""
-    size, at = F.size("_path"), F.col("_at")
-    flat = (
-        frames.select(*keys, F.col("path").alias("_path"), "value", F.explode(F.sequence(F.lit(0), F.size("path"))).alias("_at"))
-        .groupBy(*keys, _prefix("_path", at).alias("path"))
-        .agg(
-            F.sum(F.when(at == size, F.col("value"))).alias("self"),
-            F.sum("value").alias("cumulative"),
-            F.sum(F.when(at == size - 1, F.col("value"))).alias("_below"),
-        )
-    )
-    return _named(flat, _renamed(frames, keys), [*keys, "path"]).select(
+    and ``self_exclusive`` (the value less those of the direct children). Rows of one path count as one node, which bears the
+    lowest of their names; a prefix that is no row has neither name nor ``self``."""
+    return subtree_sums(frames, keys, ["value"]).select(
         *keys,
         "path",
-        F.when(F.col("self").isNotNull(), F.col("name")).alias("name"),
+        "name",
         F.size("path").alias("depth"),
-        "self",
-        "cumulative",
-        (F.col("self") - F.coalesce("_below", F.lit(0))).alias("self_exclusive"),
+        F.col("own_value").alias("self"),
+        F.col("sub_value").alias("cumulative"),
+        (F.col("own_value") - F.col("kids_value")).alias("self_exclusive"),
     )
 
 

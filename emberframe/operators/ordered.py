@@ -1,29 +1,19 @@
 """Previous row, running sum and last known value along an order, safe for hot groups.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here every key holding more than
-``max_rows`` rows is first cut into slices along its order, each of bounded size. A slice learns what came
-before it from one summary row per earlier slice, added as a *carry row* in front of it. So the rows are
-still shuffled only once, and no task sees more than about ``max_rows`` of them.
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. Where a key holds more than ``max_rows`` rows, the rows are
+instead dealt out by ranges of key and order, so that a range ends wherever it is full. What a key had in the ranges before comes
+as one *carry row* in front of its rows. Spark finds the ranges from a sample of the rows, whatever the keys' sizes are.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from emberframe.workspace import shared_dir
+from emberframe.workspace import stored
 
 MAX_ROWS = 2_000_000
-# a broadcast table of hot slices has at most rows / max_rows entries; beyond this many it is not hinted
-MAX_BROADCAST_SLICES = 200_000
-MIN_PARTS, MAX_PARTS = 64, 1024
-
-LEVEL = "_level"
 
-
-def slice_columns(order: list[str]) -> list[str]:
-    """A slice is known by the lowest order values it may hold, so slices sort as their rows do."""
-    return [f"_from_{c}" for c in order]
+PART, ROW = "_part", "_row"
 
 
 def ordinal(order: list[str]) -> Column:
@@ -38,14 +28,6 @@ def ordinal(order: list[str]) -> Column:
     return (first * F.lit("1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") + second
 
 
-def _counts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.min(c).alias(f"_min_{c}") for c in order],
-        *[F.max(c).alias(f"_max_{c}") for c in order],
-    )
-
-
 def has_hot_group(df: DataFrame, keys: list[str], max_rows: int = MAX_ROWS) -> bool:
     """Whether some key holds more than ``max_rows`` rows. Reads the keys only, counts are combined before the
     shuffle, one row comes to the driver."""
@@ -54,59 +36,22 @@ def has_hot_group(df: DataFrame, keys: list[str], max_rows: int = MAX_ROWS) -> b
     return (largest or 0) > max_rows
 
 
-def _cuts(counts: DataFrame, order: list[str], max_rows: int) -> DataFrame:
-    """For counts above ``max_rows``: the first order column that is not constant, and how to cut it."""
-    wide = [F.col(f"_max_{c}") > F.col(f"_min_{c}") for c in order]
-    cut, low, span = F.lit(None), F.lit(None), F.lit(None)
-    for c, is_wide in reversed(list(zip(order, wide))):
-        cut = F.when(is_wide, F.lit(c)).otherwise(cut)
-        low = F.when(is_wide, F.col(f"_min_{c}")).otherwise(low)
-        span = F.when(is_wide, F.col(f"_max_{c}") - F.col(f"_min_{c}")).otherwise(span)
-    parts = F.greatest(F.least(F.ceil(F.col("_n") * 2 / max_rows), F.lit(MAX_PARTS)), F.lit(MIN_PARTS))
-    return (
-        counts.filter((F.col("_n") > max_rows) & reduce(Column.__or__, wide))
-        .withColumn("_cut", cut)
-        .withColumn("_low", low.cast("long"))
-        .withColumn("_step", F.floor(span / parts).cast("long") + 1)
-        .drop("_n", *[f"_min_{c}" for c in order], *[f"_max_{c}" for c in order])
-    )
-
+def in_ranges(df: DataFrame, order: list[str], max_rows: int | None = None) -> DataFrame:
+    """The rows in ranges of ``order``, with the number of the range (``_part``) and the place in it (``_row``, from 0). The
+    result is stored, so every use of it finds the same ranges. ``max_rows`` is about the most that a range may hold."""
+    if max_rows is None:
+        ranged = df.repartitionByRange(*order)
+    else:
+        # ranges come from a sample and may be some way above the average
+        ranged = df.repartitionByRange(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.count() // max_rows + 1), *order)
+    at = F.monotonically_increasing_id()  # number of the range, then place in it
+    places = [F.shiftright(at, 33).alias(PART), at.bitwiseAND(F.lit((1 << 33) - 1)).alias(ROW)]
+    return stored(ranged.sortWithinPartitions(*order).select("*", *places), "ranges")
 
-def slice_hot_groups(df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_ROWS) -> DataFrame:
-    """Add the ``slice_columns`` and ``_level``, 0 for keys that are not hot.
 
-    ``order`` names BIGINT columns that together are unique within a key. Slices that are still too large,
-    as where many rows share a moment, are cut again. The small tables of cuts are checkpointed, so no later
-    step counts again.
-    """
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    ids = slice_columns(order)
-    out = df.select("*", *[F.lit(0).cast("long").alias(c) for c in ids], F.lit(0).alias(LEVEL))
-    level = 0
-    while True:
-        by = keys if level == 0 else [*keys, *ids]
-        cuts = _cuts(_counts(out.filter(F.col(LEVEL) == level), by, order), order, max_rows).checkpoint()
-        n = cuts.count()
-        if n == 0:
-            return out
-        small = F.broadcast(cuts) if n <= MAX_BROADCAST_SLICES else cuts
-        # rows of finished slices match no cut, as cut slices had the level before
-        if by:
-            # null is a key like any other
-            named = small.select(*[F.col(c).alias(f"_cut_{c}") for c in by], *[c for c in cuts.columns if c not in by])
-            out = out.join(named, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_cut_{c}")) for c in by]), "left")
-        else:
-            out = out.select("*", *[F.lit(v).alias(c) for c, v in cuts.first().asDict().items()])
-        is_cut = F.col("_cut").isNotNull() & (F.col(LEVEL) == level)
-        start = lambda c: F.col("_low") + F.floor((F.col(c) - F.col("_low")) / F.col("_step")).cast("long") * F.col("_step")
-        out = out.select(
-            *df.columns,
-            *[F.when(is_cut & (F.col("_cut") == c), start(c)).otherwise(F.col(i)).alias(i) for c, i in zip(order, ids)],
-            F.when(is_cut, F.lit(level + 1)).otherwise(F.col(LEVEL)).alias(LEVEL),
-        )
-        level += 1
+def _tie(df: DataFrame) -> Column:
+    """A last key for rows that an order leaves equal, so that both plans put them in one order."""
+    return F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
 
 
 def ordered_columns(
@@ -125,25 +70,24 @@ def ordered_columns(
     ``running``    sum of the expression up to and with this row,
     ``last_known`` newest non-null value of the expression up to and with this row.
 
-    ``hot`` tells whether a key may exceed ``max_rows``; it is measured if left out.
+    Rows that ``order`` leaves equal follow each other by a hash of all their columns. ``hot`` tells whether a key may exceed
+    ``max_rows``; it is measured if left out.
     """
     previous, running, last_known = previous or {}, running or {}, last_known or {}
     columns = df.columns
     if hot is None:
         hot = has_hot_group(df, keys, max_rows)
-    rows = df
+    rows = df.withColumn("_tie", _tie(df))
     for kind, wanted in (("p", previous), ("r", running), ("l", last_known)):
         for name, expression in wanted.items():
             rows = rows.withColumn(f"_{kind}_{name}", expression)
 
     if not hot:
-        window = Window.partitionBy(*keys).orderBy(*order)
+        window = Window.partitionBy(*keys).orderBy(*order, "_tie")
     else:
-        sliced = slice_hot_groups(rows, keys, order, max_rows)
-        rows = sliced.withColumn("_own", F.lit(True)).unionByName(
-            _carry_rows(sliced, keys, order, previous, running, last_known), allowMissingColumns=True
-        )
-        window = Window.partitionBy(*keys, *slice_columns(order)).orderBy("_own", *order)
+        ranged = in_ranges(rows, [*keys, *order, "_tie"], max_rows)
+        rows = ranged.withColumn("_own", F.lit(True)).unionByName(_carry_rows(ranged, keys, previous, running, last_known), allowMissingColumns=True)
+        window = Window.partitionBy(*keys, PART).orderBy("_own", ROW)
     so_far = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.select(
         "*",
@@ -156,33 +100,37 @@ def ordered_columns(
     return out.select(*columns, *previous, *running, *last_known)
 
 
-def _carry_rows(sliced, keys, order, previous, running, last_known) -> DataFrame:
-    """One row per slice of a hot key, holding what the slices before it amount to."""
-    at = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    ids = slice_columns(order)
-    summary = (
-        sliced.filter(F.col(LEVEL) > 0)
-        .groupBy(*keys, *ids)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.max_by(f"_p_{n}", at).alias(f"_p_{n}") for n in previous],
-            *[F.sum(f"_r_{n}").alias(f"_r_{n}") for n in running],
-            *[F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), at)).alias(f"_l_{n}") for n in last_known],
-        )
+def _carry_rows(ranged, keys, previous, running, last_known) -> DataFrame:
+    """For each key and range but the key's first, what the ranges before amount to."""
+    summary = ranged.groupBy(*keys, PART).agg(
+        *[F.max_by(f"_p_{n}", ROW).alias(f"_p_{n}") for n in previous],
+        *[F.sum(f"_r_{n}").alias(f"_r_{n}") for n in running],
+        *[F.max_by(f"_l_{n}", F.when(F.col(f"_l_{n}").isNotNull(), F.col(ROW))).alias(f"_l_{n}") for n in last_known],
     )
-    # as many rows per key as it has slices, not as it has rows
-    by_key = Window.partitionBy(*keys).orderBy(*ids)
+    # as many rows per key as it has ranges, not as it has rows
+    by_key = Window.partitionBy(*keys).orderBy(PART)
     before = by_key.rowsBetween(Window.unboundedPreceding, -1)
     return summary.select(
         *keys,
-        *ids,
+        PART,
         F.lit(False).alias("_own"),
+        F.lag(PART).over(by_key).alias("_earlier"),
         *[F.lag(f"_p_{n}").over(by_key).alias(f"_p_{n}") for n in previous],
         *[F.coalesce(F.sum(f"_r_{n}").over(before), F.lit(0)).alias(f"_r_{n}") for n in running],
         *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_l_{n}") for n in last_known],
-    )
+    ).filter("_earlier IS NOT NULL").drop("_earlier")
+
 
+def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Number the rows 1, 2, 3, ... along a total order over the whole table.
 
-def with_position(df: DataFrame, order: list[str], name: str = "position", max_rows: int = MAX_ROWS) -> DataFrame:
-    """Number the rows 1, 2, 3, ... along a total order over the whole table."""
-    return ordered_columns(df, [], order, running={name: F.lit(1).cast("long")}, max_rows=max_rows)
+    The sizes of the ranges, a row for each, tell how far the places in them move on; no task holds more than its range.
+    """
+    kept = in_ranges(df, order)
+    before, total = [], 0
+    for part, n in sorted(map(tuple, kept.groupBy(PART).count().collect())):
+        before.append((part, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(before, f"{PART} long, _before long")
+    placed = kept.join(F.broadcast(offsets), PART).withColumn(name, F.col("_before") + F.col(ROW) + 1)
+    return placed.select(*df.columns, name)

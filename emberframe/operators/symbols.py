@@ -29,3 +29,11 @@ def symbolise(samples: DataFrame, symbols: DataFrame, max_rows: int = MAX_ROWS)
         .agg(normalise_stack(F.transform(F.sort_array(F.collect_list(F.struct("pos", "func"))), lambda f: f["func"])).alias("stack"))
         .filter(F.size("stack") > 0)
     )
+
+
+def trace_samples(events: DataFrame, symbols: DataFrame, keys: list[str], weight: str = "val", max_rows: int = MAX_ROWS) -> DataFrame:
+    """Samples ``keys, stack, weight`` for ``flame_build`` from trace events that carry the addresses of their stack. Each
+    distinct stack is looked up once; events without a stack, or with one that names no function, give no sample."""
+    stacked = events.filter(F.size("stack") > 0).select(*keys, F.col(weight).cast("long").alias("weight"), F.col("stack").cast("array<bigint>").alias("_pcs"))
+    asked = stacked.select(F.col("_pcs").alias("sample_id")).distinct().withColumn("pcs", F.col("sample_id"))
+    return stacked.join(symbolise(asked, symbols, max_rows), F.col("_pcs") == F.col("sample_id")).select(*keys, "stack", "weight")

@@ -132,6 +132,11 @@ others AS (
 SELECT rule, us, event_id FROM linked LEFT JOIN others USING (i) WHERE p IS NULL OR COALESCE(n, 0) >= 128"""
 
 
+LINE_SAMPLES = """s AS (
+  SELECT epoch_us(l_shipdate) AS us, l_returnflag AS process_id, [c_mktsegment, o_orderpriority] AS stack, CAST(l_quantity AS BIGINT) AS weight
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+
+
 def with_(cte: str, select: str) -> str:
     return f"WITH {cte}\n{select}"
 
@@ -404,6 +409,68 @@ o AS (
         hold("o", "rule, process_id", "us, event_id", "hold_us"),
     ),
     "stream_dedup_lru": with_(EV, DEDUP),
+    "stream_trace_attach": with_(
+        ANNOTATIONS,
+        """, f AS (
+  SELECT event_id, us, user_id, CAST(event_id AS VARCHAR) AS snapshot_id, 'goroutine-' || user_id AS name
+  FROM ev WHERE event_type <> 'signup' AND us < (SELECT MAX(us) FROM ev) - 259200000000),
+attached AS (
+  SELECT f.snapshot_id, f.name, arg_max(a.label, (a.us, a.event_id)) AS label
+  FROM f JOIN annotations a ON a.gid = f.user_id AND a.us <= f.us AND f.us - a.us <= 86400000000 GROUP BY ALL)
+SELECT snapshot_id, name || ';_trace' AS path, label AS name, CAST(0 AS BIGINT) AS value FROM attached""",
+    ),
+    "stream_notify_within": with_(EV, "SELECT DISTINCT event_type || '/' || user_id AS rule, us // 86400000000 AS day FROM ev"),
+    # a row is late if it is not newer than the watermark that the batch before began with
+    "late_rows": with_(
+        EV,
+        """, b AS (
+  SELECT us, CASE WHEN event_id % 10 = 0 THEN 3 ELSE (ts >= TIMESTAMP '2024-01-09')::INT + (ts >= TIMESTAMP '2024-01-16')::INT + (ts >= TIMESTAMP '2024-01-23')::INT END AS batch
+  FROM ev),
+w AS (SELECT batch, (SELECT MAX(us) // 1000 * 1000 - 172800000000 FROM b e WHERE e.batch < n.batch - 1) AS mark FROM (SELECT DISTINCT batch FROM b) n)
+SELECT COUNT(*) AS rows_read, COUNT(*) FILTER (WHERE us <= mark) AS rows_late, COUNT(*) FILTER (WHERE mark IS NULL OR us > mark) AS rows_kept
+FROM b JOIN w USING (batch)""",
+    ),
+    "sampler_to_exporter": with_(EV, "SELECT event_id, us, user_id, event_type, props AS payload FROM ev"),
+    "flame_sliding": with_(
+        LINE_SAMPLES,
+        """, w AS (
+  SELECT (us // 604800000000 - k) * 604800000000 AS start_us, process_id, d, stack[1:d] AS prefix, CAST(SUM(CASE WHEN d > 0 THEN weight ELSE 0 END) AS BIGINT) AS value
+  FROM s, (SELECT unnest(range(0, 3)) AS d) depths, (SELECT unnest(range(0, 2)) AS k) slides GROUP BY ALL)
+SELECT start_us, start_us + 1209600000000 AS end_us, process_id, array_to_string(prefix, ';') AS path, CASE WHEN d = 0 THEN 'root' ELSE prefix[d] END AS name, value
+FROM w WHERE start_us + 1209600000000 <= (SELECT MAX(us) FROM s) - 86400000000""",
+    ),
+    "flame_session": with_(
+        LINE_SAMPLES,
+        """, p AS (
+  SELECT us, process_id, d, stack[1:d] AS prefix, CASE WHEN d > 0 THEN weight ELSE 0 END AS weight
+  FROM s, (SELECT unnest(range(0, 3)) AS d) depths),
+g AS (
+  SELECT *, CASE WHEN us - LAG(us) OVER (PARTITION BY process_id, prefix ORDER BY us) <= 129600000000 THEN 0 ELSE 1 END AS begins FROM p),
+n AS (SELECT *, SUM(begins) OVER (PARTITION BY process_id, prefix ORDER BY us) AS nth FROM g),
+w AS (
+  SELECT MIN(us) AS start_us, MAX(us) + 129600000000 AS end_us, process_id, d, prefix, CAST(SUM(weight) AS BIGINT) AS value
+  FROM n GROUP BY process_id, d, prefix, nth)
+SELECT start_us, end_us, process_id, array_to_string(prefix, ';') AS path, CASE WHEN d = 0 THEN 'root' ELSE prefix[d] END AS name, value
+FROM w WHERE end_us <= (SELECT MAX(us) FROM s) - 86400000000""",
+    ),
+    "seek_time": with_(
+        CHUNKS,
+        """, moments AS (SELECT CAST(day AS BIGINT) AS day, epoch_us(make_timestamp(2024, 1, day, 0, 0, 0.0)) AS moment FROM (VALUES (1), (9), (20), (31)) t(day))
+SELECT seq, us, payload, day FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY day ORDER BY seq DESC) AS nth FROM chunks JOIN moments ON us <= moment) WHERE nth = 1""",
+    ),
+    "trace_to_tree": with_(
+        TRACE
+        + """,
+parts AS (SELECT COUNT(*) AS n FROM part),
+calls AS (SELECT event_id, type, val, j, (event_id * 7 + 13 * j) % n + 1 AS partkey FROM tr, parts, (SELECT unnest(range(0, 3)) AS j) depths),
+samples AS (
+  SELECT CAST(type AS VARCHAR) AS snapshot_id, list(p_brand || '.' || p_type ORDER BY j DESC) AS stack, val AS weight
+  FROM calls JOIN part ON p_partkey = partkey GROUP BY event_id, type, val HAVING val <> 0),
+nodes AS (
+  SELECT snapshot_id, stack[1:d] AS prefix, d, CAST(SUM(CASE WHEN d > 0 THEN weight ELSE 0 END) AS BIGINT) AS value
+  FROM samples, (SELECT unnest(range(0, 4)) AS d) depths WHERE d <= len(stack) GROUP BY ALL)""",
+        "SELECT snapshot_id, array_to_string(prefix, ';') AS path, CASE WHEN d = 0 THEN 'root' ELSE prefix[d] END AS name, value FROM nodes",
+    ),
     "stream_sinks": with_(
         EV,
         """SELECT '{"msg":"' || replace(props, '"', '\\"') || '","rule":"' || event_type || '","ts":' || (us // 1000000) || '}' AS payload

@@ -1,7 +1,8 @@
 """Named queries: each operator over the tables of a data folder, every row of them."""
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,9 +10,9 @@ from pyspark.sql import Window
 
 from emberframe.functions import payloads, rules, scalars, spans as span_functions, stacks
 from emberframe.operators import alerts, counters, events, flame, retention, spans, symbols, tree_json
-from emberframe.sources import files, tables
-from emberframe.streaming import sinks, state, windows
-from emberframe.workspace import fresh_dir
+from emberframe.sources import files, streams, tables
+from emberframe.streaming import joins, sinks, state, windows
+from emberframe.workspace import fresh_dir, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -137,15 +138,21 @@ def ingest_stream(spark, sf):
 @query
 def replay_then_tail(spark, sf):
     path, out = fresh_dir(spark, "chunks"), fresh_dir(spark, "delivered")
-    chunks = tables.snapshot_chunks(spark, sf)
-    early = chunks.filter(F.col("us") < F.unix_micros(F.lit("2024-01-16").cast("timestamp")))
-    early.write.parquet(path)
+    chunks = stored(tables.snapshot_chunks(spark, sf), "all-chunks")
+    cuts = [F.unix_micros(F.lit(day).cast("timestamp")) for day in ("2024-01-09", "2024-01-16", "2024-01-23")]
+    batch = sum((F.when(F.col("us") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    store = lambda n, rows: sinks.table_sink(path)(rows, n)
+    for n in (0, 1):
+        store(n, chunks.filter(batch == n))
     seen = spark.read.parquet(path).agg(F.max("seq")).first()[0]
-    stored, tail = sinks.replay_then_tail(spark, path, seen)
-    # all chunks arrive again, old ones included: the tail passes new ones only
-    chunks.write.mode("append").parquet(path)
-    stored.dropDuplicates(["seq"]).write.parquet(f"{out}/batch=-1")
-    sinks.run_available(tail, sinks.table_sink(out), fresh_dir(spark, "checkpoint"))
+    early, tail = sinks.replay_then_tail(spark, path, seen)
+    sinks.table_sink(out)(early, -1)
+    # chunks of the first days arrive again with the new ones: the tail passes new ones only
+    checkpoint = fresh_dir(spark, "checkpoint")
+    for n in (2, 3):
+        store(n, chunks.filter((batch == n) | (batch == 0)))
+        # a query that starts again goes on behind the batch it read last
+        sinks.run_available(tail, sinks.table_sink(out), checkpoint)
     return spark.read.parquet(out).select("seq", "us", "payload")
 
 
@@ -372,6 +379,20 @@ def symbolise(spark, sf):
     return stacked.select("sample_id", joined("stack"))
 
 
+@query
+def trace_to_tree(spark, sf):
+    """Trace files with address stacks to one tree per event type: read, symbolise, build."""
+    path = fresh_dir(spark, "trace")
+    parts = tables.table(spark, sf, "part").agg(F.count(F.lit(1))).scalar()
+    # the function that an address belongs to, leaf first
+    pcs = [((F.col("event_id") * 7 + 13 * j) % parts + 1) * 10 + j + 1 for j in range(3)]
+    events_with_stacks = tables.trace_events(spark, sf).withColumn("stack", F.array(*[c.cast("decimal(20,0)") for c in pcs]))
+    events_with_stacks.drop("event_id").write.json(path)
+    samples = symbols.trace_samples(files.read_trace_ndjson(spark, path), tables.symbols(spark, sf), ["type"])
+    trees = flame.flame_build(samples.withColumnRenamed("type", "snapshot_id"))
+    return shown(trees.withColumn("snapshot_id", F.col("snapshot_id").cast("string")))
+
+
 @query
 def agent_enrich(spark, sf):
     facts = tables.events(spark, sf).select(F.col("user_id").alias("agent_id"), "event_id")
@@ -471,7 +492,7 @@ def rate_limit(spark, sf):
 
 def fast_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks on a clock a thousand times as fast."""
-    return tables.snapshot_chunks(spark, sf).withColumn("us", F.floor(F.col("us") / 1000).cast("long"))
+    return stored(tables.snapshot_chunks(spark, sf), "chunks").withColumn("us", F.floor(F.col("us") / 1000).cast("long"))
 
 
 @query
@@ -481,17 +502,26 @@ def retain_ring(spark, sf):
 
 @query
 def retain_list(spark, sf):
-    return retention.retain_list(tables.snapshot_chunks(spark, sf), 1_800_000_000)
+    return retention.retain_list(stored(tables.snapshot_chunks(spark, sf), "chunks"), 1_800_000_000)
 
 
 @query
 def timeline_seek(spark, sf):
-    retained = retention.retain_ring(fast_chunks(spark, sf), 900_000_000)
+    retained = stored(retention.retain_ring(fast_chunks(spark, sf), 900_000_000), "retained")
     at = retention.timeline_seek(retained, 17, capacity=100).withColumn("what", F.lit("index 17"))
     last = retention.timeline_seek(retained).withColumn("what", F.lit("last"))
     return at.unionByName(last)
 
 
+@query
+def seek_time(spark, sf):
+    """The newest chunk at some moments."""
+    retained = stored(tables.snapshot_chunks(spark, sf), "chunks")
+    moments = {day: int(datetime(2024, 1, day, tzinfo=timezone.utc).timestamp()) * 1_000_000 for day in (1, 9, 20, 31)}
+    found = [retention.seek_time(retained, us).withColumn("day", F.lit(day).cast("long")) for day, us in moments.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def alert_dedup_lru(spark, sf):
     return alerts.alert_dedup_lru(tables.firings(spark, sf).drop("msg"), EVENT_ORDER)
@@ -632,24 +662,41 @@ def metric_lookup(spark, sf):
 # ---- streaming
 
 
-@query
-def flame_window(spark, sf):
+def line_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as a stream of samples."""
     t = lambda name: tables.table(spark, sf, name)
     schema = t("lineitem").schema
     lines = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf)
     customers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    samples = lines.join(customers, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return lines.join(customers, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("l_shipdate").cast("timestamp").alias("ts"),
         F.col("l_returnflag").alias("process_id"),
         F.array("c_mktsegment", "o_orderpriority").alias("stack"),
         F.col("l_quantity").cast("long").alias("weight"),
     )
-    out = fresh_dir(spark, "windows")
-    trees = windows.flame_window(samples, "7 days", "1 day")
+
+
+def window_rows(trees: DataFrame) -> DataFrame:
+    """What a stream of trees per window has written."""
+    spark, out = trees.sparkSession, fresh_dir(trees.sparkSession, "windows")
     sinks.run_available(trees, sinks.table_sink(out), fresh_dir(spark, "checkpoint"))
-    return spark.read.parquet(out).select(
-        F.unix_micros("window.start").alias("start_us"), "process_id", joined(), "name", "value"
-    )
+    edges = [F.unix_micros("window.start").alias("start_us"), F.unix_micros("window.end").alias("end_us")]
+    return spark.read.parquet(out).select(*edges, "process_id", joined(), "name", "value")
+
+
+@query
+def flame_window(spark, sf):
+    return window_rows(windows.flame_window(line_samples(spark, sf), "7 days", "1 day")).drop("end_us")
+
+
+@query
+def flame_sliding(spark, sf):
+    return window_rows(windows.flame_window(line_samples(spark, sf), "14 days", "1 day", slide="7 days"))
+
+
+@query
+def flame_session(spark, sf):
+    return window_rows(windows.flame_session(line_samples(spark, sf), "36 hours", "1 day"))
 
 
 @query
@@ -699,6 +746,68 @@ def stream_dedup_lru(spark, sf):
     return spark.read.parquet(out).select("rule", *EVENT_ORDER)
 
 
+@query
+def stream_trace_attach(spark, sf):
+    """Frames and annotations as two streams of four micro-batches. The last days are left out: their watermark has not come."""
+    found = event_stream(spark, sf).filter("event_type <> 'signup'")
+    name = F.concat(F.lit("goroutine-"), F.col("user_id").cast("string"))
+    live = found.select(
+        F.col("event_id").alias("frame_id"), "us", F.col("event_id").cast("string").alias("snapshot_id"), F.array(name).alias("path"),
+        name.alias("name"), tables.cents("value").alias("value"),
+    )
+    annotated = event_stream(spark, sf).filter("event_type = 'signup'").select(F.col("user_id").alias("gid"), *EVENT_ORDER, tables.annotation("event_id"))
+    out = fresh_dir(spark, "children")
+    children = joins.stream_trace_attach(live, annotated, "1 day", ttl_us=DAY_US)
+    sinks.run_available(children, sinks.table_sink(out), fresh_dir(spark, "checkpoint"))
+    last = tables.events(spark, sf).select(F.max("us")).scalar()
+    return shown(spark.read.parquet(out).filter(F.col("us") < last - 3 * DAY_US))
+
+
+@query
+def stream_notify_within(spark, sf):
+    """One notification per rule and day."""
+    firings = event_stream(spark, sf).select(
+        F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("rule"),
+        F.floor(F.col("us") / DAY_US).cast("long").alias("day"),
+        F.timestamp_micros("us").alias("ts"),
+    )
+    out = fresh_dir(spark, "notified")
+    sinks.run_available(joins.stream_notify_within(firings, ["rule", "day"], "1 day"), sinks.table_sink(out), fresh_dir(spark, "checkpoint"))
+    return spark.read.parquet(out).select("rule", "day")
+
+
+@query
+def late_rows(spark, sf):
+    """Every tenth event comes with the last of four micro-batches: how many are read, too late, and kept."""
+    found = tables.table(spark, sf, "events")
+    path = fresh_dir(spark, "events")
+    day = lambda d: F.lit(f"2024-01-{d:02}").cast("timestamp_ntz")
+    batch = F.when(F.col("event_id") % 10 == 0, 3).otherwise(sum((F.when(F.col("ts") >= day(d), 1).otherwise(0) for d in (9, 16, 23)), F.lit(0)))
+    for n in range(4):
+        found.filter(batch == n).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    once = joins.stream_notify_within(stream.select("event_id", F.timestamp_micros(tables.micros("ts")).alias("ts")), ["event_id"], "2 days")
+    out = fresh_dir(spark, "once")
+    start = lambda: sinks.start_available(once, sinks.table_sink(out), fresh_dir(spark, "checkpoint"))
+    read, late, _ = joins.run_counted(spark, start)
+    kept = spark.read.parquet(out).agg(F.count(F.lit(1)).alias("rows_kept"))
+    return kept.select(F.lit(read).cast("long").alias("rows_read"), F.lit(late).cast("long").alias("rows_late"), "rows_kept")
+
+
+@query
+def sampler_to_exporter(spark, sf):
+    """The events through the sampling source, in four runs that go on where the last one ended, and out by the exporter."""
+    streams.register_streams(spark)
+    rows = tables.table(spark, sf, "events").count()
+    out, checkpoint = fresh_dir(spark, "export"), fresh_dir(spark, "checkpoint")
+    for run in range(1, 5):
+        sampled = spark.readStream.format(streams.SAMPLER).option("path", f"{sf}/events.parquet").option("until", rows * run // 4).option("rows", 20_000).load()
+        written = sampled.writeStream.format(streams.EXPORTER).option("path", out).option("checkpointLocation", checkpoint)
+        written.trigger(availableNow=True).start().awaitTermination()
+    exported = streams.read_export(spark, out, tables.table(spark, sf, "events").schema)
+    return exported.select("event_id", tables.micros("ts").alias("us"), "user_id", "event_type", F.col("props").alias("payload"))
+
+
 @query
 def stream_sinks(spark, sf):
     out = fresh_dir(spark, "sent")

@@ -92,23 +92,17 @@ def runtime_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("goroutines", F.col("heap_alloc")).withColumn("pause_ns", pause_slots("process_id"))
 
 
+def annotation(event_id: str) -> Column:
+    """``ann`` of an event, every second one with a span id."""
+    digest = F.md5(F.col(event_id).cast("string"))
+    span = F.when(F.col(event_id) % 2 == 0, F.concat(F.lit(","), F.substring(digest, 1, 16))).otherwise(F.lit(""))
+    return F.concat(F.lit("trace_id="), digest, span).alias("ann")
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign-ups as span annotations of a goroutine, every second one with a span id."""
-    digest = F.md5(F.col("event_id").cast("string"))
-    return (
-        events(spark, sf_dir)
-        .filter(F.col("event_type") == "signup")
-        .select(
-            F.col("user_id").alias("gid"),
-            "us",
-            "event_id",
-            F.concat(
-                F.lit("trace_id="),
-                digest,
-                F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(","), F.substring(digest, 1, 16))).otherwise(F.lit("")),
-            ).alias("ann"),
-        )
-    )
+    """Sign-ups as span annotations of a goroutine."""
+    signups = events(spark, sf_dir).filter(F.col("event_type") == "signup")
+    return signups.select(F.col("user_id").alias("gid"), "us", "event_id", annotation("event_id"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,3 +152,82 @@ def test_search_keeps_matches_and_their_ancestors(spark):
 def test_closure_has_every_prefix(spark):
     closed = flame.ancestor_closure(tree(spark, {"a/b/c": 1, "a/x": 1}))
     assert {"/".join(r["path"]) for r in closed.collect()} == {"", "a", "a/b", "a/b/c", "a/x"}
+
+
+def deep(spark, levels, chains):
+    """``chains`` stacks of ``levels`` frames that part at half their depth, value 1 each."""
+    names = F.transform(F.sequence(F.lit(1), F.col("d")), lambda i: F.when(i <= levels // 2, F.concat(F.lit("f"), i)).otherwise(F.concat(F.lit("g"), i, F.lit("-"), F.col("c"))))
+    nodes = spark.range(chains).withColumnRenamed("id", "c").select("c", F.explode(F.sequence(F.lit(1), F.lit(levels))).alias("d"))
+    nodes = nodes.filter((F.col("c") == 0) | (F.col("d") > levels // 2)).select(F.lit("s").alias("snapshot_id"), F.lit("root").alias("root_name"), names.alias("path"))
+    nodes = nodes.select("*", F.element_at("path", -1).alias("name"), F.lit(1).cast("long").alias("value"))
+    return nodes.unionByName(tree(spark, {"": 0}))
+
+
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_two_hundred_levels_over_many_ranges(spark, many_ranges):
+    levels, chains = 200, 40
+    flat = flame.flame_flatten(deep(spark, levels, chains))
+    assert "Generate" not in flat._jdf.queryExecution().toString()
+    got = values(flat, "cumulative")
+    half = levels // 2
+    assert len(got) == 1 + half + chains * (levels - half)
+    trunk = lambda d: "/".join(f"f{i}" for i in range(1, d + 1))
+    assert got[""] == half + chains * (levels - half)
+    for d in (1, 50, half):
+        assert got[trunk(d)] == half - d + 1 + chains * (levels - half)
+    assert sum(v for p, v in got.items() if p.endswith(f"g{half + 1}-7")) == levels - half
+    assert got[trunk(half)] - 1 == sum(v for p, v in got.items() if p.count("/") == half)
+
+
+def brute(frames, keys):
+    rows = [(tuple(r[k] for k in keys), tuple(r["path"]), r["value"]) for r in frames.collect()]
+    out = {}
+    for k in {k for k, _, _ in rows}:
+        mine = [(p, v) for kk, p, v in rows if kk == k]
+        for q in {p[:d] for p, _ in mine for d in range(len(p) + 1)}:
+            own = [v for p, v in mine if p == q]
+            kids = sum(v for p, v in mine if len(p) == len(q) + 1 and p[: len(q)] == q)
+            below = sum(v for p, v in mine if p[: len(q)] == q)
+            out[(*k, q)] = (sum(own) if own else None, below, sum(own) - kids if own else None)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_flatten_of_odd_trees_over_many_ranges(spark, many_ranges, seed):
+    # nodes without parents, rows of one path twice, several snapshots, a null one, no roots
+    r = random.Random(seed)
+    rows = [(r.choice(["s", "t", None]), "x", [r.choice("abé") for _ in range(r.randint(0, 5))], "n", r.randint(-3, 9)) for _ in range(250)]
+    frames = spark.createDataFrame(rows, FRAMES).repartition(5)
+    flat = flame.flame_flatten(frames).collect()
+    got = {(x["snapshot_id"], tuple(x["path"])): (x["self"], x["cumulative"], x["self_exclusive"]) for x in flat}
+    assert got == brute(frames, ["snapshot_id"]) and len(got) == len(flat)
+    closed = flame.ancestor_closure(frames).collect()
+    assert {(x["snapshot_id"], tuple(x["path"])) for x in closed} == set(got) and len(closed) == len(got)
+    whole = flame.flame_flatten(frames, keys=[]).collect()
+    assert {(tuple(x["path"]),): (x["self"], x["cumulative"], x["self_exclusive"]) for x in whole} == brute(frames, [])
+
+
+def test_one_row_per_path_whatever_its_names(spark):
+    frames = spark.createDataFrame([("s", "r1", ["k"], "n1", 5), ("t", "r2", ["k"], "n2", 7), ("s", "r1", [], "r1", 0), ("t", "r2", [], "r2", 0)], FRAMES)
+    assert [(r["path"], r["name"], r["value"], r["root_name"]) for r in flame.flame_merge([frames]).orderBy("path").collect()] == [([], "r1", 0, "r1"), (["k"], "n1", 12, "r1")]
+    assert [(r["path"], r["name"], r["self"]) for r in flame.flame_flatten(frames, keys=[]).orderBy("path").collect()] == [([], "r1", 0), (["k"], "n1", 12)]
+
+
+def test_null_snapshots_are_searched_and_merged(spark):
+    frames = tree(spark, {"": 0, "m": 2, "m/a": 1}, None).unionByName(tree(spark, {"": 0, "a": 1}))
+    found = flame.flame_search(frames, "a")
+    assert sorted((r["snapshot_id"] or "", "/".join(r["path"]), r["matched"]) for r in found.collect()) == [
+        ("", "", False), ("", "m", False), ("", "m/a", True), ("s", "", False), ("s", "a", True),
+    ]
+    merged = flame.flame_merge([frames, frames], keys=["snapshot_id"])
+    assert sorted((r["snapshot_id"] or "", "/".join(r["path"]), r["value"], r["root_name"]) for r in merged.collect()) == [
+        ("", "", 0, "root"), ("", "m", 4, "root"), ("", "m/a", 2, "root"), ("s", "", 0, "root"), ("s", "a", 2, "root"),
+    ]

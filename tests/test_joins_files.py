@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberframe.operators import flame, spans, symbols, tree_json
+from emberframe.operators import flame, json_nodes, spans, symbols, tree_json
 from emberframe.sources import files, plugins
 
 FRAMES = "snapshot_id string, root_name string, path array<string>, name string, value bigint"
@@ -99,13 +99,105 @@ def test_test_tree_json(spark):
     assert all(part in text for part in ('"name":"root"', '"name":"main"', '"name":"work"', '"value":42'))
 
 
+def chain(levels):
+    path = [f"f{i}" for i in range(levels)]
+    return [("s", "root", path[:i], path[i - 1] if i else "root", 1) for i in range(levels + 1)]
+
+
 def test_deep_tree(spark):
-    path = [f"f{i}" for i in range(300)]
-    rows = [("s", "root", path[:i], path[i - 1] if i else "root", 1) for i in range(301)]
-    frames = spark.createDataFrame(rows, FRAMES)
+    frames = spark.createDataFrame(chain(300), FRAMES)
     assert tree_json.tree_explode(tree_json.tree_to_json(frames)).count() == 301
 
 
+def nested(levels, last='{"name":"end","value":1}'):
+    return "".join('{"name":"n%d","value":%d,"children":{"k%d":' % (i, i, i) for i in range(levels)) + last + "}}" * levels
+
+
+def test_twenty_thousand_levels():
+    depth = seen = 0
+    for _, (_, root_name, path, name, value) in zip(range(200), tree_json._nodes("s", nested(20_000))):
+        # the deepest node ends first
+        assert root_name == "n0" and path[0] == "k0" and len(path) == 20_000 - seen
+        assert (name, value) == (("end", 1) if seen == 0 else (f"n{len(path)}", len(path)))
+        seen += 1
+    deep = spark_free_depths(nested(6_000))
+    assert deep == list(range(6_000, -1, -1))
+
+
+def spark_free_depths(text):
+    return [len(path) for _, _, path, _, _ in tree_json._nodes("s", text)]
+
+
+def test_deep_documents_are_exploded(spark):
+    docs = spark.createDataFrame([("a", nested(3_000)), ("b", nested(2))], "snapshot_id string, payload string")
+    got = tree_json.tree_explode(docs).selectExpr("snapshot_id", "size(path) AS d", "root_name", "name")
+    assert got.groupBy("snapshot_id").count().orderBy("snapshot_id").collect() == [("a", 3001), ("b", 3)]
+    assert got.filter("d = 2999").first().name == "n2999"
+
+
+DOCUMENTS = [
+    '{"name":"r","value":1}',
+    ' {"value" : -3 , "children" : { "a" : {"name":"\\u00e9\\n\\"{", "value":2, "more":[{"children":{"x":{}}}, "}"]}, "b":null }, "name":"late", "other":{"name":"no"}}',
+    '{"children":null,"name":null,"value":null}',
+    '{"children":{"":{"children":{}}},"unknown":true}',
+    '{"name":"a","value":1e2}',
+]
+
+
+@pytest.mark.parametrize("text", DOCUMENTS)
+def test_both_decoders_agree(text):
+    plain = sorted((tuple(p), r, n, v) for _, r, p, n, v in tree_json.tree_rows("s", json.loads(text)))
+    assert sorted((tuple(p), r, n, v) for r, p, n, v in json_nodes.tree_nodes(text)) == plain
+
+
+@pytest.mark.parametrize("text", ["", "3", "[1]", '{"name":"a"', '{"children":{"a":{}}', '{"children":{"a":3}}', "{}}"])
+def test_broken_documents_fail(text):
+    with pytest.raises(ValueError):
+        list(json_nodes.tree_nodes(text))
+
+
+def odd_forest():
+    r = random.Random(4)
+    nodes = {(s, p) for s in "stu" for p in [()]}
+    for s in "stu":
+        for _ in range(120):
+            path = tuple(r.choice(["a", "b\n", '"', "é<", "{}", "a-b"]) for _ in range(r.randint(1, 6)))
+            nodes |= {(s, path[:d]) for d in range(len(path) + 1)}
+    rows = [(s, f"root {s}", list(p), p[-1] + "!" if p else f"root {s}", r.randint(-5, 99)) for s, p in sorted(nodes)]
+    return rows + [("single", "x", [], "x", 0)]
+
+
+@pytest.fixture
+def many_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_snapshots_in_several_parts(spark, tmp_path, many_ranges, compress):
+    frames = spark.createDataFrame(odd_forest() + chain(150), FRAMES).filter("NOT (snapshot_id = 's' AND root_name = 'root')").repartition(6)
+    target = tmp_path / "out"
+    files.write_snapshots(frames, str(target), F.lit(0), compress=compress)
+    back = files.read_snapshots(spark, str(target)).withColumn("snapshot_id", F.regexp_extract("snapshot_id", "-([a-z]+)/$", 1))
+    assert back.exceptAll(frames).count() == frames.exceptAll(back).count() == 0
+    parts = sorted(target.glob("snapshot=*-t/part=*/part-*"))
+    assert len(parts) > 1
+    text = b"".join(gzip.decompress(p.read_bytes()) if compress else p.read_bytes() for p in parts)
+    rows = tree_json.tree_rows("t", json.loads(text))
+    assert {(r, tuple(p), n, v) for _, r, p, n, v in rows} == {(r.root_name, tuple(r.path), r.name, r.value) for r in frames.filter("snapshot_id = 't'").collect()}
+    texts = {r.snapshot_id: r.payload for r in tree_json.tree_to_json(frames).collect()}
+    assert json.loads(texts["t"]) == json.loads(text) and len(texts) == 4
+
+
+def test_parts_and_whole_files_side_by_side(spark, tmp_path, many_ranges):
+    files.write_snapshots(spark.createDataFrame(odd_forest(), FRAMES), str(tmp_path / "x"), F.lit(0))
+    (tmp_path / "plain.json").write_bytes(b'{"name":"r","value":1}')
+    assert files.read_snapshots(spark, str(tmp_path)).count() == len(odd_forest()) + 1
+
+
 def test_files_plain_and_gzip_whatever_their_name(spark, tmp_path):
     doc = b'{"name":"r","value":1,"children":{"k":{"name":"n","value":2}}}'
     (tmp_path / "plain.fgo").write_bytes(doc)

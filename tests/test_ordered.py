@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from emberframe.operators.ordered import ordered_columns, slice_columns, slice_hot_groups, with_position
+from emberframe.operators.ordered import in_ranges, ordered_columns, with_position
 
 
 def rows(seed, n=400):
@@ -43,16 +43,29 @@ def test_hot_keys_and_bursts_give_the_same_rows(spark, max_rows):
     assert got.count() == len(data)
 
 
-def test_no_slice_is_larger_than_asked(spark):
-    df = spark.createDataFrame(rows(1), "k string, at bigint, i bigint, v bigint")
-    sizes = slice_hot_groups(df, ["k"], ["at", "i"], 20).groupBy("k", *slice_columns(["at", "i"])).count()
-    assert sizes.agg(F.max("count")).first()[0] <= 20
+def test_ranges_are_bounded_and_hot_moments_are_cut(spark):
+    data = [("k", 7, i, i) for i in range(400)] + [("l", i, i, i) for i in range(30)]
+    df = spark.createDataFrame(data, "k string, at bigint, i bigint, v bigint")
+    sizes = in_ranges(df, ["k", "at", "i"], 40).groupBy("_part").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 60
+    got = ordered_columns(df, ["k"], ["at", "i"], previous={"before": F.col("v")}, running={"total": F.col("v")}, max_rows=40)
+    assert {(r.k, r.i): (r.before, r.total) for r in got.collect()} == {
+        (k, i): (i - 1 if i else None, i * (i + 1) // 2) for k, _, i, _ in data
+    }
 
 
-@pytest.mark.parametrize("max_rows", [10_000, 30])
-def test_position(spark, max_rows):
-    data = rows(5)
+def test_equal_places_give_the_same_in_both_plans(spark):
+    data = [("k", i // 10, i % 7, (i * 37) % 11) for i in range(300)]
     df = spark.createDataFrame(data, "k string, at bigint, i bigint, v bigint")
-    got = {r.i: r.position for r in with_position(df, ["at", "i"], max_rows=max_rows).collect()}
+    plans = [ordered_columns(df, ["k"], ["at"], previous={"before": F.col("v")}, running={"total": F.col("v")}, max_rows=n) for n in (10_000, 25)]
+    assert sorted(map(tuple, plans[0].collect()), key=repr) == sorted(map(tuple, plans[1].collect()), key=repr)
+
+
+def test_position(spark):
+    data = rows(5)
+    df = spark.createDataFrame(data, "k string, at bigint, i bigint, v bigint").repartition(5)
+    got = with_position(df, ["at", "i"])
     order = sorted(data, key=lambda x: (x[1], x[2]))
-    assert got == {x[2]: n + 1 for n, x in enumerate(order)}
+    assert {r.i: r.position for r in got.collect()} == {x[2]: n + 1 for n, x in enumerate(order)}
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert with_position(df.limit(0), ["at", "i"]).count() == 0

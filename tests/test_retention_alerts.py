@@ -1,6 +1,7 @@
 import random
 from collections import OrderedDict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,26 +91,39 @@ def test_dedup(spark, capacity, max_rows):
     assert got.count() == len(lru_model(rules, capacity))
 
 
-def test_dedup_over_many_blocks(spark):
+def test_rules_fired_in_between_are_counted():
+    r = random.Random(3)
+    for n in (0, 1, 2, 7, 64, 65, 300):
+        rules = [r.randint(0, 20) for _ in range(n)]
+        want = []
+        for i, rule in enumerate(rules):
+            last = max((j for j in range(i) if rules[j] == rule), default=None)
+            want.append(-1 if last is None else len(set(rules[last + 1 : i])))
+        assert alerts._distinct_since(np.array(rules, np.int64)).tolist() == want
+
+
+@pytest.mark.parametrize("fan, known", [(2, False), (3, True), (16, False)])
+def test_memory_at_the_start_of_each_slice(spark, monkeypatch, fan, known):
+    monkeypatch.setattr(alerts, "FAN", fan)
     r = random.Random(9)
     rules = [f"r{r.randint(0, 30)}" for _ in range(400)]
-    from emberframe.operators.ordered import slice_hot_groups
-
-    df = spark.createDataFrame([(x, i, i) for i, x in enumerate(rules)], "rule string, us bigint, id bigint")
-    sliced = slice_hot_groups(df, [], ["us"], 10)
-    memory = alerts._with_memory(sliced, ["us"], 5, block=4).filter("_memory")
-    own = alerts._with_memory(sliced, ["us"], 5, block=4).filter("NOT _memory")
-    starts = {x["_slice_no"]: x["us"] for x in own.groupBy("_slice_no").agg(F.min("us").alias("us")).collect()}
+    rows = spark.createDataFrame([(x, i + 1, i // 10) for i, x in enumerate(rules)], "rule string, _at bigint, _slice bigint")
+    before = [f"k{i}" for i in range(5)] if known else []
+    start = spark.createDataFrame([(x, i - 9) for i, x in enumerate(before)], "rule string, _at bigint") if known else None
     got = {}
-    for x in memory.collect():
-        got.setdefault(x["_slice_no"], set()).add(x["rule"])
-    for number, first in starts.items():
-        recent = OrderedDict()
-        for rule in rules[:first]:
-            alerts._remember(recent, rule, 5)
+    for x in alerts._memories(rows, 40, 5, start).collect():
+        got.setdefault(x["_slice"], set()).add(x["rule"])
+    for number in range(40):
+        recent = list(dict.fromkeys(reversed(before + rules[: number * 10])))[:5]
         assert got.get(number, set()) == set(recent)
 
 
+def test_dedup_of_null_rules_and_nothing(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3), ("b", 4), ("c", 5), (None, 6)], "rule string, us bigint")
+    assert sorted(x.us for x in alerts.alert_dedup_lru(df, capacity=2).collect()) == [1, 2, 4, 5, 6]
+    assert alerts.alert_dedup_lru(df.limit(0)).count() == 0
+
+
 def hold_model(rows, hold_us):
     since, fired, out = None, False, []
     for us, holds in rows:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.rules import Rule
 from emberframe.operators import alerts, counters, flame
-from emberframe.streaming import sinks, state, windows
+from emberframe.sources import streams
+from emberframe.streaming import joins, sinks, state, windows
 from emberframe.workspace import fresh_dir
 
 
@@ -155,3 +156,94 @@ def test_old_partitions_go(spark, tmp_path):
     assert sorted(r.v for r in spark.table("history").collect()) == [2, 3]
     spark.sql("DROP TABLE history")
     assert sorted(r.v for r in sinks.retained_partitions(spark, str(tmp_path / "t"), "2024-01-03").collect()) == [3]
+
+
+SECOND = 1_000_000
+
+
+def test_expired_spans_are_not_attached_and_leave_the_state(spark):
+    r = random.Random(8)
+    trace = lambda i: f"trace_id={i:032x}"
+    ann = [(r.randint(1, 4), i * 40 * SECOND + r.randint(0, 9), i, trace(i)) for i in range(150)]
+    ann += [(1, 3, 990, "no trace"), (None, 4, 991, trace(5)), (9, 5 * SECOND, 992, trace(77))]  # 9 is never heard of again
+    frames = []
+    for i in range(300):
+        name = f"goroutine-{r.choice([1, 2, 3, 4, 9, 50])}" if r.random() < 0.9 else "main"
+        frames.append((i, i * 20 * SECOND + 7, f"s{i}", "root", [name], name, 5))
+    f = spark.createDataFrame(frames, "frame_id bigint, us bigint, snapshot_id string, root_name string, path array<string>, name string, value bigint")
+    a = spark.createDataFrame(ann, "gid bigint, us bigint, event_id bigint, ann string")
+    out = fresh_dir(spark, "children")
+    children = joins.stream_trace_attach(feed(spark, f, "us", 6), feed(spark, a, "us", 6), "10 seconds")
+    read, late, state_rows = joins.run_counted(spark, lambda: sinks.start_available(children, sinks.table_sink(out), fresh_dir(spark, "checkpoint")))
+    want = {}
+    for frame_id, us, *_, name, _ in frames:
+        spans = [(t, i) for g, t, i, x in ann if name == f"goroutine-{g}" and x.startswith("trace") and 0 <= us - t <= 120 * SECOND]
+        if spans and us < (300 * 20 - 300) * SECOND:
+            want[frame_id] = f"{max(spans)[1]:032x}:" + "0" * 16
+    got = {x.frame_id: (x.name, x.path[-1], x.value) for x in spark.read.parquet(out).filter(f"us < {(300 * 20 - 300) * SECOND}").collect()}
+    assert got == {k: (v, "_trace", 0) for k, v in want.items()} and len(want) > 60
+    assert read == 453 and late == 0 and len(state_rows) >= 6
+    # a sixth of the rows arrive with each micro-batch; what is past its time has gone
+    assert max(state_rows) < 300 and state_rows[-1] < max(state_rows) / 3
+
+
+def test_notify_within(spark):
+    rows = [("a", 100), ("b", 101), ("a", 105), ("a", 109), ("c", 160), ("d", 170), ("a", 220), ("b", 221), ("a", 222)]
+    df = spark.createDataFrame([(x, t * SECOND) for x, t in rows], "rule string, us bigint").withColumn("ts", F.timestamp_micros("us"))
+    got = run(spark, joins.stream_notify_within(feed(spark, df, "us", 9), ["rule"], "10 seconds"))
+    assert sorted((r.rule, r.us // SECOND) for r in got.collect()) == [("a", 100), ("a", 220), ("b", 101), ("b", 221), ("c", 160), ("d", 170)]
+
+
+def test_sampler_reads_each_row_once_over_restarts(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"i": list(range(1000)), "t": pa.array([None, "é"] * 500)}), tmp_path / "t.parquet", row_group_size=70)
+    streams.register_streams(spark)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    for until in (0, 130, 131, 700, 700, 1000):
+        rows = spark.readStream.format(streams.SAMPLER).option("path", str(tmp_path / "t.parquet")).option("until", until).option("rows", 90).load()
+        query = rows.writeStream.format(streams.EXPORTER).option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = streams.read_export(spark, out, "i long, t string").orderBy("i").collect()
+    assert [(r.i, r.t) for r in got] == [(i, [None, "é"][i % 2]) for i in range(1000)]
+    reader = streams.SamplerReader({"path": str(tmp_path / "t.parquet"), "rows": "90"})
+    assert [(p.first, p.end) for p in reader.partitions({"row": 100}, {"row": 300})] == [(100, 190), (190, 280), (280, 300)]
+    assert reader.partitions({"row": 300}, {"row": 300}) == []
+
+
+def test_only_committed_files_are_exported(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+
+    writer = streams.ExporterWriter(str(tmp_path))
+    batch = lambda *values: iter([pa.RecordBatch.from_pydict({"i": list(values)})])
+    first, lost = writer.write(batch(1, 2)), writer.write(batch(1, 2))  # the task ran twice, the first attempt was lost
+    writer.commit([lost, None], 0)
+    given_up = writer.write(batch(9))
+    writer.abort([given_up, None], 1)
+    assert not os.path.exists(given_up.path) and os.path.exists(first.path)
+    writer.commit([writer.write(batch(3))], 1)
+    again = writer.write(batch(3))
+    writer.commit([again], 1)  # the batch is repeated after a failure
+    assert writer.write(iter([])) == streams.Written(None, 0)
+    assert sorted(r.i for r in streams.read_export(spark, str(tmp_path), "i long").collect()) == [1, 2, 3]
+
+
+def test_tail_does_not_open_what_was_replayed(spark, monkeypatch):
+    path = fresh_dir(spark, "chunks")
+    df = spark.range(40).selectExpr("id + 1 AS seq", "concat('c', id) AS payload")
+    store = sinks.table_sink(path)
+    for n in range(4):
+        store(df.filter(f"seq > {n * 10} AND seq <= {n * 10 + 10}"), n)
+    early, tail = sinks.replay_then_tail(spark, path, 25)
+    assert sorted(r.seq for r in early.collect()) == list(range(1, 26))
+    out = fresh_dir(spark, "out")
+    sinks.run_available(tail, sinks.table_sink(out), fresh_dir(spark, "checkpoint"))
+    assert sorted(r.seq for r in spark.read.parquet(out).collect()) == list(range(26, 41))
+    reader = streams.TailReader({"path": path, "after": "1"})
+    assert reader.initialOffset() == {"batch": 1} and reader.latestOffset() == {"batch": 3}
+    opened = {p.path.split("batch=")[1].split("/")[0] for p in reader.partitions({"batch": 1}, {"batch": 3})}
+    assert opened == {"2", "3"}
+    assert {p.path.split("batch=")[1].split("/")[0] for p in reader.partitions({"batch": 2}, {"batch": 3})} == {"3"}
