@@ -6,8 +6,8 @@
    split again. The line's length and hashes of such segments are index keys, and a line of that length or up to threshold
    more probes them with what it has in these places, and in those that the edits can have moved them to.
    For one edit that is all parts but one: what stands before the part left out and what stands behind it.
-3. Lines that share a key are verified: for one edit the part left out by a banded bit-parallel edit automaton, for more
-   whole lines by their edit distance up to the threshold.
+3. Lines that share a key are verified by a banded bit-parallel edit automaton: for one edit the part left out, for more
+   whole lines, those of a key with its first line, and what is not near to that with all.
 4. A key that very many lines share is not joined: its lines are split into more parts until few share a key.
 5. Components of the links are the classes; the first line of a class, by document and number, stays.
 """
@@ -157,9 +157,9 @@ def signed(lines: DataFrame, power: int, edits: int = EDITS) -> DataFrame:
     return sized.select("line_id", F.explode(F.expr(every)).alias("s")).select("s.key", "line_id", "s.about")
 
 
-def candidates(lines: DataFrame, power: int, last: bool, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
-    """Pairs of ids with where their lines may differ, and the ids on keys that too many share."""
-    keys = signed(lines, power, edits).repartition("key")
+def candidates(lines: DataFrame, power: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """For one edit: pairs of ids with where their lines may differ, and the ids on keys that too many share."""
+    keys = signed(lines, power).repartition("key")
     many = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("line_id").alias("low"), F.max("line_id").alias("high"))
     many = many.filter("low != high").select("key", "n")
     # few keys are shared: they are the side that is kept in a hash table, and nothing is sorted
@@ -168,10 +168,6 @@ def candidates(lines: DataFrame, power: int, last: bool, edits: int = EDITS) ->
     joined = joined.select("key", "line_id", F.expr("about % 2 = 1").alias("indexed"), F.expr("about div 2 % 1024").alias("part"), F.expr("about div 2048").alias("size"))
     a, b = joined.filter("indexed").alias("a"), joined.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.line_id") != F.col("b.line_id")) & (~F.col("b.indexed") | (F.col("a.line_id") < F.col("b.line_id"))))
-    if edits > 1:
-        ids = (F.col("a.line_id"), F.col("b.line_id"))
-        pairs = met.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b"), F.lit(0).alias("before"), F.lit(0).alias("behind")).distinct()
-        return pairs, shared.filter(F.col("n") > SHARED).select("line_id").distinct()
     pairs = met.select(
         F.col("a.line_id").alias("a"),
         F.col("b.line_id").alias("b"),
@@ -188,26 +184,63 @@ def _chosen(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.select("line_id", "line").join(F.broadcast(ids) if few else ids, "line_id", "left_semi").dropDuplicates(["line_id"])
 
 
+def shared_keys(lines: DataFrame, depth: int, edits: int) -> DataFrame:
+    """``key, line_id, indexed, n`` for several edits: the keys that two lines or more have, of ``n`` signatures. ``lines``
+    holds each line once.
+
+    The many keys are shuffled alone, eight bytes each, to find the few that are shared; then the lines are signed again and
+    what has such a key stays."""
+    often = signed(lines, depth, edits).select("key").repartition("key").groupBy("key").agg(F.count("*").alias("n"))
+    often = stored(often.filter("n > 1"), "line-keys")
+    few = often.count() <= SENT
+    rows = signed(lines, depth, edits).join(F.broadcast(often) if few else often, "key")
+    return stored(rows.select("key", "line_id", F.expr("about % 2 = 1").alias("indexed"), "n").distinct(), "line-shared")
+
+
+def _verified(lines: DataFrame, pairs: DataFrame, near: str) -> DataFrame:
+    """The pairs ``a, b, before, behind`` whose lines are near between these numbers of characters at either end."""
+    pairs = stored(pairs, "line-pairs")
+    texts = stored(_chosen(lines, pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()), "line-texts")
+    both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("left")), "a")
+    both = both.join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("right")), "b")
+    middle = lambda line: f"substring({line}, before + 1, length({line}) - before - behind)"
+    both = both.select("a", "b", F.expr(middle("left")).alias("x"), F.expr(middle("right")).alias("y"))
+    return stored(both.filter(near).select("a", "b").distinct(), "line-links")
+
+
+def _whole_pairs(a, b) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.lit(0).alias("before"), F.lit(0).alias("behind")]
+
+
+def links_by_representatives(lines: DataFrame, rows: DataFrame, near: str) -> list[DataFrame]:
+    """Links that connect all lines which pairs on one key connect, of which one at least is on the index's side. A key's first
+    such line is compared with all others on it; those it is near to need no comparing with each other. Only the others are
+    compared with the rest, so the copies of a line take as many links as there are copies."""
+    first = rows.filter("indexed").groupBy("key").agg(F.min("line_id").alias("first"))
+    spokes = stored(rows.join(first, "key").filter("line_id != first").select("key", "line_id", "indexed", "first"), "line-spokes")
+    stars = _verified(lines, spokes.select(*_whole_pairs(F.col("first"), F.col("line_id"))).distinct(), near)
+    near_first = (F.least("first", "line_id") == F.col("a")) & (F.greatest("first", "line_id") == F.col("b"))
+    apart = stored(spokes.join(stars, near_first, "left_anti"), "line-apart")
+    u, x = apart.alias("u"), spokes.alias("x")
+    met = u.join(x, (F.col("u.key") == F.col("x.key")) & (F.col("u.line_id") != F.col("x.line_id")) & (F.col("u.indexed") | F.col("x.indexed")))
+    return [stars, _verified(lines, met.select(*_whole_pairs(F.col("u.line_id"), F.col("x.line_id"))).distinct(), near)]
+
+
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """``a, b``: ids of lines within ``edits`` edits, such that lines connected by such links are connected by these."""
+    if edits > 1:
+        return _links_of_several_edits(lines, edits)
     counts = lines.filter("line_id IS NOT NULL").groupBy("line_id").count()
     total = lines.count()
     often = counts.filter(F.col("count") > max(1, total // OFTEN)).select("line_id")
     often = stored(often, "line-often")
     rare = lines.filter("line_id IS NOT NULL").join(F.broadcast(often), "line_id", "left_anti").select("line_id", "line")
     to_sign = rare.unionByName(_chosen(lines, often))
-    links, splits = [], SPLITS if edits == 1 else DEPTHS
-    near = within_edits("x", "y", 1) if edits == 1 else f"levenshtein(x, y, {edits}) >= 0"
-    for power in splits:
-        last = power == splits[-1]
-        pairs, crowded = candidates(to_sign, power, last, edits)
-        pairs = stored(pairs, "line-pairs")
-        texts = stored(_chosen(lines, pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()), "line-texts")
-        both = pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("left")), "a")
-        both = both.join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("right")), "b")
-        middle = lambda line: f"substring({line}, before + 1, length({line}) - before - behind)"
-        both = both.select("a", "b", F.expr(middle("left")).alias("x"), F.expr(middle("right")).alias("y"))
-        links.append(stored(both.filter(near).select("a", "b").distinct(), "line-links"))
+    links = []
+    for power in SPLITS:
+        last = power == SPLITS[-1]
+        pairs, crowded = candidates(to_sign, power, last)
+        links.append(_verified(lines, pairs, within_edits("x", "y", 1)))
         if last:
             break
         crowded = stored(crowded, "line-crowded")
@@ -217,6 +250,22 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return reduce(DataFrame.unionByName, links)
 
 
+def _links_of_several_edits(lines: DataFrame, edits: int) -> DataFrame:
+    to_sign = stored(lines.filter("line_id IS NOT NULL").filter(F.length("line") >= LEAST).select("line_id", "line").dropDuplicates(["line_id"]), "line-distinct")
+    links, texts, near = [], to_sign, within_edits("x", "y", edits)
+    for depth in DEPTHS:
+        last = depth == DEPTHS[-1]
+        shared = shared_keys(to_sign, depth, edits)
+        links += links_by_representatives(texts, shared if last else shared.filter(F.col("n") <= SHARED), near)
+        if last:
+            break
+        crowded = stored(shared.filter(F.col("n") > SHARED).select("line_id").distinct(), "line-crowded")
+        if crowded.isEmpty():
+            break
+        to_sign = stored(_chosen(texts, crowded), "line-crowd")
+    return reduce(DataFrame.unionByName, links)
+
+
 def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", edits: int = EDITS) -> DataFrame:
     """``doc_id, line_no, first_doc_id, first_line_no, kept`` for each line of each row of ``docs``.
 
