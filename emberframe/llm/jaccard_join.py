@@ -31,6 +31,8 @@ BLOCK_TOKENS, BLOCK_DOCS = 1 << 19, 512
 #: A token this often in one batch of texts is reported. The reports are added up in so many cells, a byte each, whatever
 #: the size of the corpus; tokens come in the order of their cell's logarithm. The order changes the work, never the links.
 OFTEN, CELLS = 3, 1 << 20
+#: Tokens of texts looked at together for that, 8 bytes each.
+HELD = 1 << 20
 #: Documents to be searched that are told to all tasks rather than joined by a shuffle of the texts, 32 bytes each.
 SENT = 500_000
 #: Sets on one prefix token of a large component that are searched set by set rather than in blocks.
@@ -130,31 +132,36 @@ def _long(values) -> pa.Array:
 
 def shingle_prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per document (doc_id, text, row) (``kind`` 0: key its row's number, ``one`` and ``two`` its set's prints, ``n``
-    its size; ``kind`` 2 in place of 0 where it has no id) and one per token and batch that has it often (``kind`` 1: key the token, ``n`` how often), from a single pass over the texts."""
+    its size; ``kind`` 2 in place of 0 where it has no id) and one per token and some texts that have it often (``kind`` 1: key the token, ``n`` how often), from a single pass over the texts."""
+
+    def reported(held: list[tuple]) -> pa.RecordBatch:
+        every, times = np.unique(np.concatenate([*(s for *_, s in held), np.zeros(0, np.uint64)]), return_counts=True)
+        every, times = every[times >= OFTEN], times[times >= OFTEN]
+        prints = [_print(s) for *_, s in held]
+        zero = [0] * len(every)
+        return pa.RecordBatch.from_arrays(
+            [
+                _long([2 if d is None else 0 for d, *_ in held] + [1] * len(every)),
+                _long([row for _, row, _ in held] + every.astype(np.int64).tolist()),
+                _long([p[0] for p in prints] + zero),
+                _long([p[1] for p in prints] + zero),
+                _long([len(s) for *_, s in held] + times.tolist()),
+            ],
+            ["kind", "key", "one", "two", "n"],
+        )
 
     def batches(parts):
         for part in parts:
-            ids, kinds, prints, sizes, tokens = [], [], [], [], []
+            held, size = [], 0
             known = list(zip(part.column(0).to_pylist(), part.column(2).to_pylist()))
             for (d, row), s in _sets(known, part.column(1).to_pylist(), width):
-                ids.append(row)
-                kinds.append(2 if d is None else 0)
-                prints.append(_print(s))
-                sizes.append(len(s))
-                tokens.append(s)
-            every, times = np.unique(np.concatenate([*tokens, np.zeros(0, np.uint64)]), return_counts=True)
-            every, times = every[times >= OFTEN], times[times >= OFTEN]
-            zero = [0] * len(every)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _long(kinds + [1] * len(every)),
-                    _long(ids + every.astype(np.int64).tolist()),
-                    _long([p[0] for p in prints] + zero),
-                    _long([p[1] for p in prints] + zero),
-                    _long(sizes + times.tolist()),
-                ],
-                ["kind", "key", "one", "two", "n"],
-            )
+                held.append((d, row, s))
+                size += len(s)
+                if size >= HELD:
+                    yield reported(held)
+                    held, size = [], 0
+            if held:
+                yield reported(held)
 
     return docs.mapInArrow(batches, "kind long, key long, one long, two long, n long")
 
@@ -317,16 +324,20 @@ def _needed_sets(docs: DataFrame, width: int) -> DataFrame:
     another one, where a row's number repeats, is left out."""
     kind = docs.schema["roles"].dataType
 
+    def sets_of(part):
+        known, keep, tokens = part.column("set_id").to_pylist(), [], []
+        for i, s in _sets(range(part.num_rows), part.column("text").to_pylist(), width):
+            if len(s) and _print(s)[0] == known[i]:
+                keep.append(i)
+                tokens.append(s.tobytes())
+        at = pa.array(keep, pa.int64())
+        columns = [part.column("set_id").take(at), part.column("roles").take(at), pa.array(tokens, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["set_id", "roles", "tokens"])
+
     def batches(parts):
         for part in parts:
-            known, keep, tokens = part.column("set_id").to_pylist(), [], []
-            for i, s in _sets(range(part.num_rows), part.column("text").to_pylist(), width):
-                if len(s) and _print(s)[0] == known[i]:
-                    keep.append(i)
-                    tokens.append(s.tobytes())
-            at = pa.array(keep, pa.int64())
-            columns = [part.column("set_id").take(at), part.column("roles").take(at), pa.array(tokens, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["set_id", "roles", "tokens"])
+            for begin in range(0, part.num_rows, 1024):
+                yield sets_of(part.slice(begin, 1024))
 
     return docs.mapInArrow(batches, f"set_id long, roles {kind.simpleString()}, tokens binary")
 
