@@ -55,7 +55,9 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        # a text that may hold an added token's string is left to the tokenizer as a whole
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else lambda text: None
         steps = json.loads(self.tokenizer.to_str())
         normal = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])]
         split = (steps["pre_tokenizer"] or {}).get("pretokenizers", [])
@@ -98,6 +100,9 @@ class WordCoder:
         return known[base] + known[sign]
 
     def encode(self, text: str) -> bytes:
+        if self.added(text):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         low = self.direct and not BEYOND.search(text)
         if low:
             text = text.lower()  # one entry for all spellings of a word
@@ -231,7 +236,7 @@ def ranked(rests: DataFrame, rows: int) -> DataFrame:
     """Rests with ``place``, 0, 1, 2, ... within their class. A class is ranked in parts of about RANKED rows; the parts
     are counted, and the counts of earlier parts added, so no class has to fit into one task."""
     parts = max(1, rows // RANKED + 1)
-    split = rests.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)))
+    split = rests.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(parts)))
     sizes = split.groupBy("class", "part").count()
     before = sizes.select("class", "part", (F.sum("count").over(Window.partitionBy("class").orderBy("part")) - F.col("count")).alias("before"))
     within = F.row_number().over(Window.partitionBy("class", "part").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1

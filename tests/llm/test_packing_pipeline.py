@@ -24,11 +24,10 @@ def test_word_ids_are_the_tokenizers():
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(VOCABULARY)
-    model.encode_special_tokens = True
     coder = packing.WordCoder(VOCABULARY)
     r = random.Random(3)
     letters = [chr(c) for c in [*range(0x250), 0x85, 0xA0, 0x2028, 0x3000, 0x1F600, 0x301, 0xAC00, 0x3A3, 0x3C3, 0x130]]
-    texts = ["", " ", "it's 's DON'T", "a <|endoftext|> b", "ΑΣ ΑΣ Β", "x" * 3000] + ["".join(r.choices(letters, k=r.randint(1, 14))) for _ in range(3000)]
+    texts = ["", " ", "it's 's DON'T", "a <|endoftext|> b", "<|startoftext|>x<|EndOfText|> é", "<|endoftext|>" * 9, "ΑΣ ΑΣ Β", "x" * 3000] + ["".join(r.choices(letters, k=r.randint(1, 14))) for _ in range(3000)]
     for t in texts:
         assert coder.encode(t) == (lambda ids: struct.pack(f"<{len(ids)}I", *ids))(model.encode(t, add_special_tokens=False).ids), t
 
