@@ -6,6 +6,8 @@ adds up squared differences one block of components at a time; after each, a can
 the part suggests is larger than the k-th best by more than chance allows.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -99,18 +101,19 @@ def approximate_top_k(vectors: DataFrame, is_query, k: int, vec_id: str = "vec_i
     """``query_id, rank, vec_id, score``: about the ``k`` best of all other rows for each row where ``is_query`` holds.
 
     The score is the inner product of the vectors as given, in doubles; ties go to the smaller id. Rows whose id or vector
-    is null, whose vector is empty or zero or holds a null or non-finite component take no part. The commonest length is
-    the index's; other lengths have no place in it and take no part. An id that repeats is one candidate per row. An empty
-    table gives no rows. Lists are dealt out in bounded blocks, however large one becomes.
+    is null, whose vector is empty or zero or holds a null or non-finite component take no part. Vectors of each length are
+    a table of their own, with its own index, and are compared with each other only. An id that repeats is one candidate
+    per row. An empty table gives no rows. Lists are dealt out in bounded blocks, however large one becomes.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding).filter(F.exists("v", lambda x: x != 0))
     rows = rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    common = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), "dims").first()
-    if common is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dims, n, top = common
-    rows = rows.filter(F.size("v") == dims)
+    lengths = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n"), F.max("norm").alias("top")).orderBy(F.desc("n"), "dims").collect()
+    found = [_of_one_length(rows.filter(F.size("v") == dims), dims, n, top, is_query, k, probed) for dims, n, top in lengths]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _of_one_length(rows: DataFrame, dims: int, n: int, top: float, is_query, k: int, probed: float) -> DataFrame:
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow()
     sample = raised(matrix(sample["v"]), top)
     centres = fitted(sample, min(SAMPLE // 8, int(np.ceil(LISTS * np.sqrt(n)))))

@@ -70,3 +70,15 @@ def test_approximate_of_few_and_none(spark):
     assert ann.approximate_top_k(table(spark, []), ask, 3).count() == 0
     rows = ann.approximate_top_k(table(spark, [(20, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0])]), ask, 3).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in rows] == [(1, 2.0), (2, 2.0)]
+
+
+def test_vectors_of_every_length_are_searched(spark):
+    r = np.random.default_rng(4)
+    made = [(i, r.standard_normal(n).tolist()) for i, n in enumerate([8] * 60 + [5] * 31 + [2] * 3 + [3])]
+    got = ann.approximate_top_k(spark.createDataFrame(made, "vec_id long, embedding array<double>"), F.col("vec_id") % 2 == 0, 3, probed=1.0).collect()
+    of = dict(made)
+    alike = {i: [j for j in of if j != i and len(of[j]) == len(of[i])] for i in of if i % 2 == 0}
+    assert {(i, min(3, len(js))) for i, js in alike.items() if js} == {(i, sum(x.query_id == i for x in got)) for i in {x.query_id for x in got}}
+    best = {(i, j) for i, js in alike.items() for j in sorted(js, key=lambda j: -np.dot(of[i], of[j]))[:3]}
+    assert len(best & {(x.query_id, x.vec_id) for x in got}) >= 0.95 * len(best)
+    assert all(abs(x.score - np.dot(of[x.query_id], of[x.vec_id])) < 1e-9 for x in got)
