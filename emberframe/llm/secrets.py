@@ -123,24 +123,19 @@ def secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def without_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``mark``, spans that overlap by one; ``n_chars`` counted anew where
     there was a span. A null text stays null. Other columns stay as they are."""
-    names = docs.columns
-    inner = "__emberframe_text"
-    found = secret_spans(docs.withColumn(inner, F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))))
+    # a row's own columns travel in one, so that none can clash
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     step = f"""named_struct('at', greatest(acc.at, x.end), 'out', IF(x.start < acc.at, acc.out,
         concat(acc.out, substring(text, acc.at + 1, x.start - acc.at), {_quoted(mark)})))"""
     new = f"""aggregate(array_sort(concat(base, more)), named_struct('at', 0, 'out', ''), (acc, x) -> {step},
         acc -> concat(acc.out, substring(text, acc.at + 1)))"""
     changed = F.expr("size(base) + size(more) > 0")
-    found = found.withColumn("__emberframe_new", F.when(changed, F.expr(new)).otherwise(F.col(inner)))
-    columns = []
-    for n in names:
-        if n == "text":
-            columns.append(F.col("__emberframe_new").alias("text"))
-        elif n == "n_chars":
-            columns.append(F.when(changed, F.length("__emberframe_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            columns.append(F.col(n))
-    return found.select(*columns)
+    found = secret_spans(rows).select("row", changed.alias("changed"), F.when(changed, F.expr(new)).alias("new"))
+    of = {"text": F.when(F.col("changed"), F.col("new")).otherwise(F.col("row")["text"])}
+    if "n_chars" in docs.columns:
+        own = F.col("row")["n_chars"]
+        of["n_chars"] = F.when(F.col("changed"), F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(own)
+    return found.select(*[of.get(n, F.col("row")[n]).alias(n) for n in docs.columns])
 
 
 def op4_secret_scan(spark, sf_dir):

@@ -118,6 +118,9 @@ def test_secrets_of_odd_rows_and_replacement(rows):
     kept = out.collect()
     assert [(r.doc_id, r.text) for r in kept[:-1]] == ODD
     assert (kept[-1].text, kept[-1].n_chars) == ("é [secret] tail", 15)
+    more = docs.selectExpr("*", "1 AS base", "2 AS hot", "3 AS more", "4 AS places_3", "5 AS base_0", "6 AS row", "7 AS new", "8 AS changed")
+    out = secrets.without_secrets(more)
+    assert out.columns == more.columns and tuple(out.collect()[-1])[-8:] == (1, 2, 3, 4, 5, 6, 7, 8)
 
 
 def toxic_corpus(n):
