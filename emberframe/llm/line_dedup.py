@@ -6,8 +6,9 @@
    split again. The line's length and hashes of such segments are index keys, and a line of that length or up to threshold
    more probes them with what it has in these places, and in those that the edits can have moved them to.
    For one edit that is all parts but one: what stands before the part left out and what stands behind it.
-3. Lines that share a key are verified by a banded bit-parallel edit automaton: for one edit the part left out, for more
-   whole lines, those of a key with its first line, and what is not near to that with all.
+3. Lines that share a key are verified: for one edit the part left out by a banded bit-parallel edit automaton, for more
+   whole lines by their edit distance up to the threshold, those of a key with its first line, and what is not near to that
+   with all. (The automaton is interpreted step by step, which takes too long for whole lines.)
 4. A key that very many lines share is not joined: its lines are split into more parts until few share a key.
 5. Components of the links are the classes; the first line of a class, by document and number, stays.
 """
@@ -252,7 +253,7 @@ def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def _links_of_several_edits(lines: DataFrame, edits: int) -> DataFrame:
     to_sign = stored(lines.filter("line_id IS NOT NULL").filter(F.length("line") >= LEAST).select("line_id", "line").dropDuplicates(["line_id"]), "line-distinct")
-    links, texts, near = [], to_sign, within_edits("x", "y", edits)
+    links, texts, near = [], to_sign, f"levenshtein(x, y, {edits}) >= 0"
     for depth in DEPTHS:
         last = depth == DEPTHS[-1]
         shared = shared_keys(to_sign, depth, edits)
