@@ -130,8 +130,8 @@ def _memories(rows: DataFrame, slices: int, capacity: int, known: DataFrame | No
 
     What a slice leaves behind are its newest rules; what FAN slices leave are the newest of theirs, and so on up a tree. Down
     the tree, a unit starts from what its parent started with and what the units before it below that parent left."""
-    if slices <= 1 and known is None:
-        return None
+    if slices <= 1:
+        return None if known is None else known.select(F.lit(0).cast("long").alias("_slice"), "rule", AT)
     sizes, left = [slices], [stored(_newest(rows.select("_slice", "rule", AT).withColumnRenamed("_slice", "_unit"), "_unit", capacity), "left-rules")]
     while sizes[-1] > FAN:
         up = left[-1].withColumn("_unit", F.floor(F.col("_unit") / FAN).cast("long"))

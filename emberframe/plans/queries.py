@@ -418,7 +418,8 @@ def flame_build(spark, sf):
 
 @query
 def flame_merge(spark, sf):
-    merged = flame.flame_merge([years(spark, sf, y, y) for y in range(1995, 2002)])
+    every = stored(frames(spark, sf), "frames")
+    merged = flame.flame_merge([every.filter(F.col("snapshot_id") == str(y)) for y in range(1995, 2002)])
     return merged.select(joined(), "name", "value")
 
 
