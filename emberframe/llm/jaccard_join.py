@@ -32,7 +32,7 @@ BLOCK_TOKENS, BLOCK_DOCS = 1 << 19, 512
 #: the size of the corpus; tokens come in the order of their cell's logarithm. The order changes the work, never the links.
 OFTEN, CELLS = 3, 1 << 20
 #: Tokens of texts looked at together for that, 8 bytes each.
-HELD = 1 << 20
+HELD = 1 << 22
 #: Documents to be searched that are told to all tasks rather than joined by a shuffle of the texts, 32 bytes each.
 SENT = 500_000
 #: Sets on one prefix token of a large component that are searched set by set rather than in blocks.
