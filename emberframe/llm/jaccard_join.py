@@ -7,12 +7,14 @@
 3. Each component is searched: inverted lists of its sets, each set in turn the query. Short lists are merged, the long
    ones are probed, sets that reach the required overlap are links. A task returns links that connect what it has found
    connected, not every pair.
-   A large component, which passages that few documents share can grow, is taken apart first: a set is searched among
-   those it shares a prefix token with, where few have that token; sets on a token that many have make components of their
-   own, which are dealt out as pairs of blocks.
+   A large component, which passages that few documents share can grow, is taken apart first: of the pairs on tokens that
+   few have, those stay whose number of shared prefix tokens allows a link, and their components are searched. Sets on a
+   token that many have make crowds, which are dealt out in blocks, each with the crowd's first set; only sets that are not
+   in the crowd's largest component then are compared with those of other blocks.
 4. Components of the links are the classes of near copies.
 """
 
+from itertools import chain
 from math import log2
 
 import numpy as np
@@ -26,7 +28,7 @@ from emberframe.llm.words import chunks, shingles, words_of
 WIDTH = 5
 #: Threshold as a fraction, so that it is exact.
 LIKE, OF = 80, 100
-#: Shingles in a search block, and documents; a component beyond either is dealt out as pairs of blocks.
+#: Shingles in a search block, and documents; a component beyond either is taken apart.
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 19, 512
 #: A token this often in one batch of texts is reported. The reports are added up in so many cells, a byte each, whatever
 #: the size of the corpus; tokens come in the order of their cell's logarithm. The order changes the work, never the links.
@@ -242,17 +244,25 @@ def jaccard_components(
     chosen = possible.join(chosen, F.col("node") == F.col("set_id")).select("row", "set_id", "component", "n")
     chosen = stored(chosen.join(_blocks(chosen), "component"), "jaccard-chosen")
     whole = chosen.filter("blocks = 1").select("set_id", "component", *[F.lit(0).alias(c) for c in ("low", "high", "block")])
-    roles = whole.unionByName(_taken_apart(docs, chosen.filter("blocks > 1"), levels, width, like, of))
-    roles = stored(roles.join(chosen.select("set_id", "row"), "set_id"), "jaccard-roles")
-    few = roles.count() <= SENT
-    held = roles.groupBy("row", "set_id").agg(F.collect_list(F.struct(*PLACE)).alias("roles"))
-    sets = _needed_sets(docs.join(F.broadcast(held) if few else held, "row"), width)
-    buckets = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BLOCK_TOKENS + 1
+    pieces, crowds = _taken_apart(docs, chosen.filter("blocks > 1"), levels, width, like, of)
+
     # searches within one task are put together by chance, pairs of blocks are groups of their own
+    size = F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_DOCS)
+    buckets = chosen.agg(F.coalesce(size, F.lit(0)).cast("long")).first()[0] + 1
     bucket = F.pmod(F.xxhash64("component"), F.lit(buckets))
     group = F.when(F.col("high") <= 0, bucket).otherwise(F.xxhash64("component", "low", "high"))
-    dealt = sets.select("set_id", "tokens", F.inline("roles")).withColumn("group", group)
-    links = dealt.select("group", *PLACE, "set_id", "tokens").groupBy("group").applyInArrow(_searched(like, of), "a long, b long")
+
+    def links_of(roles: DataFrame) -> DataFrame:
+        roles = stored(roles.join(chosen.select("set_id", "row"), "set_id"), "jaccard-roles")
+        held = roles.groupBy("row", "set_id", group.alias("group")).agg(F.collect_list(F.struct(*PLACE)).alias("roles"))
+        # the texts travel, not their sets: they are shorter, and Spark compresses them
+        sent = docs.select("row", "text").join(F.broadcast(held) if roles.count() <= SENT else held, "row")
+        return sent.select("group", "set_id", "roles", "text").groupBy("group").applyInArrow(_searched(width, like, of), "a long, b long")
+
+    links = links_of(whole.unionByName(pieces).unionByName(_dealt(crowds)))
+    if not crowds.isEmpty():
+        links = stored(links, "jaccard-first-links")
+        links = links.unionByName(links_of(_rest_dealt(crowds, components(links, "jaccard-first"))))
     roots = components(links, "jaccard-links")
 
     # the smallest document of each component
@@ -281,30 +291,114 @@ def _blocks(members: DataFrame) -> DataFrame:
     return members.groupBy("component").agg(F.ceil(size).cast("int").alias("blocks"))
 
 
-def _taken_apart(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, like: int, of: int) -> DataFrame:
-    """``set_id`` and PLACE for the searches that large components need; ``members``: row, set_id, n."""
+def met(rows: DataFrame, like: int, of: int) -> DataFrame:
+    """``kind, a, b`` from the sets (token, set_id, n) of each token, read as one sorted stream. Kind 0: two sets on a token that
+    CROWD sets at most have; kind 1: neighbours in size on one that more have; kind 2: a set (twice) on such a token. Sizes
+    allow a link. No more than CROWD sets of a token are held."""
+
+    def found(t, s, n, many, new):
+        out = [(2, s[many & new], s[many & new])]
+        for k in range(1, CROWD):
+            same = t[k:] == t[:-k]
+            if not same.any():
+                break
+            near = same & (of * n[:-k] >= like * n[k:])
+            out.append((0, s[:-k][near & ~many[k:]], s[k:][near & ~many[k:]]))
+            if k == 1:
+                out.append((1, s[:-1][near & many[1:]], s[1:][near & many[1:]]))
+        kinds = np.repeat([o[0] for o in out], [len(o[1]) for o in out])
+        x, y = (np.concatenate([o[i] for o in out]) for i in (1, 2))
+        return pa.RecordBatch.from_arrays([_long(kinds), _long(np.minimum(x, y)), _long(np.maximum(x, y))], ["kind", "a", "b"])
+
+    def batches(parts):
+        # rows of the last token so far; whether it has had more than CROWD, of which only the last is here, and is told
+        held, crowded = np.zeros((3, 0), np.int64), False
+        for part in chain(parts, [None]):
+            if part is not None:
+                held = np.concatenate([held, np.array([part.column(i).to_numpy() for i in range(3)])], axis=1)
+            if not held.shape[1]:
+                continue
+            held = held[:, np.concatenate([[True], (held[:2, 1:] != held[:2, :-1]).any(axis=0)])]
+            t = held[0]
+            first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            sizes = np.diff(np.append(first, len(t)))
+            large = sizes + np.where(np.arange(len(sizes)) == 0, CROWD * crowded, 0) > CROWD
+            new = np.ones(len(t), bool)
+            new[0] = not crowded
+            done = len(t) if part is None or large[-1] else first[-1]
+            if done:
+                yield found(*held[:, :done], np.repeat(large, sizes)[:done], new[:done])
+            crowded = bool(part is not None and large[-1])
+            held = held[:, -1:] if crowded else held[:, done:]
+
+    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "set_id")
+    return dealt.mapInArrow(batches, "kind long, a long, b long")
+
+
+def _may_link(like: int, of: int) -> str:
+    """SQL: whether sets of ``n_a`` and ``n_b`` tokens may link that share ``shared`` tokens of their prefixes, and at most the
+    lesser of ``many_a`` and ``many_b`` beside these.
+
+    Of the two prefixes let A's end first in the common order. A token of both sets that is in A's prefix is in B's too; the
+    others are in the rest of A, and that is one less than the overlap A needs."""
+    # needed(n) - 1, where needed is the quotient rounded up
+    rest = f"greatest(({like} * n_a - 1) div {of}, ({like} * n_b - 1) div {of})"
+    return f"(shared + least(many_a, many_b) + {rest}) * ({like} + {of}) >= {like} * (n_a + n_b)"
+
+
+def _taken_apart(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, like: int, of: int) -> tuple[DataFrame, DataFrame]:
+    """``set_id`` and PLACE for the searches that large components need, and the crowds: ``set_id, component, n``. ``members``:
+    row, set_id, n."""
     ids = members.select("row")
     there = docs.join(F.broadcast(ids) if members.count() <= SENT else ids, "row", "left_semi").select("doc_id", "text")
-    rows = stored(prefix_tokens(there, levels, width, like, of).distinct(), "jaccard-tokens")
-    sizes = rows.groupBy("token").count().filter("count > 1")
-    a, b = (rows.join(sizes.filter(F.col("count") <= CROWD), "token").alias(x) for x in "ab")
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.set_id") < F.col("b.set_id"))
-    near &= (of * F.col("a.n") >= like * F.col("b.n")) & (of * F.col("b.n") >= like * F.col("a.n"))
-    pairs = stored(a.join(b, near).select(F.col("a.set_id").alias("component"), F.col("b.set_id").alias("set_id")).distinct(), "jaccard-pairs")
-    # a search of its own for each set with partners: the set is block 0, they are block 1; its number is below 0
-    place = lambda own: [F.lit(-1).alias("low"), F.lit(-1).alias("high"), F.lit(own).alias("block")]
-    stars = pairs.select("set_id", "component", *place(1)).unionByName(
-        pairs.select(F.col("component").alias("set_id"), "component").distinct().select("*", *place(0))
+    counts = met(prefix_tokens(there, levels, width, like, of), like, of).groupBy("kind", "a", "b").agg(F.count("*").alias("shared"))
+    counts = stored(counts, "jaccard-met")
+    many = counts.filter("kind = 2").select(F.col("a").alias("set_id"), F.col("shared").alias("many"))
+    sets = stored(members.select("set_id", "n").join(many, "set_id", "left").select("set_id", "n", F.coalesce("many", F.lit(0)).alias("many")), "jaccard-sizes")
+    side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("many").alias(f"many_{x}"))
+    pairs = counts.filter("kind = 0").join(side("a"), "a").join(side("b"), "b").filter(_may_link(like, of))
+    pairs = stored(pairs.select("a", "b"), "jaccard-pairs")
+    # what is left is mostly groups of near copies, each searched in one piece
+    groups = components(pairs, "jaccard-groups").withColumnRenamed("node", "set_id").join(sets.select("set_id", "n"), "set_id")
+    groups = stored(groups.join(_blocks(groups), "component").select("set_id", "component", "blocks"), "jaccard-groups")
+    place = lambda low, own: [F.lit(low).alias("low"), F.lit(low).alias("high"), F.lit(own).alias("block")]
+    pieces = groups.filter("blocks = 1").select("set_id", "component", *place(0, 0))
+    # in those that are still large a search of its own for each set with partners: the set is block 0, they are block 1; its
+    # number is below 0
+    still = pairs.join(groups.filter("blocks > 1").select(F.col("set_id").alias("a")), "a", "left_semi")
+    stars = still.select(F.col("b").alias("set_id"), F.col("a").alias("component"), *place(-1, 1)).unionByName(
+        still.select(F.col("a").alias("set_id"), F.col("a").alias("component")).distinct().select("*", *place(-1, 0))
     )
-    crowded = rows.join(sizes.filter(F.col("count") > CROWD).select("token"), "token")
-    crowds = components(chained(crowded, like, of), "jaccard-crowds").select(F.col("node").alias("set_id"), "component")
-    crowds = crowds.join(rows.select("set_id", "n").distinct(), "set_id")
-    own = F.pmod(F.xxhash64("set_id"), F.col("blocks").cast("long")).cast("int")
-    crowds = crowds.join(_blocks(crowds), "component").withColumn("block", own)
-    crowds = crowds.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    # numbered from 1, as 0 is a component in one piece
-    crowds = crowds.select("set_id", "component", *[(f("block", "other") + 1).alias(n) for f, n in ((F.least, "low"), (F.greatest, "high"))], (F.col("block") + 1).alias("block"))
-    return stars.unionByName(crowds)
+    crowds = components(counts.filter("kind = 1").select("a", "b"), "jaccard-crowds").select(F.col("node").alias("set_id"), "component")
+    return pieces.unionByName(stars), stored(crowds.join(sets.select("set_id", "n"), "set_id"), "jaccard-crowded")
+
+
+def _dealt(crowds: DataFrame) -> DataFrame:
+    """``set_id`` and PLACE that have each block of a crowd (set_id, component, n) searched by itself, the crowd's first set
+    with each. Blocks are numbered from 1, as 0 is a component in one piece."""
+    blocks = _blocks(crowds)
+    own = F.pmod(F.xxhash64("set_id"), F.col("blocks").cast("long")).cast("int") + 1
+    rows = crowds.join(blocks, "component").select("set_id", "component", own.alias("block"))
+    first = crowds.groupBy("component").agg(F.min("set_id").alias("set_id")).join(blocks, "component")
+    rows = rows.unionByName(first.select("set_id", "component", F.explode(F.sequence(F.lit(1), "blocks")).alias("block")))
+    return rows.distinct().select("set_id", "component", F.col("block").alias("low"), F.col("block").alias("high"), "block")
+
+
+def _rest_dealt(crowds: DataFrame, roots: DataFrame) -> DataFrame:
+    """``set_id`` and PLACE for what is left to compare in crowds after the first searches: ``roots`` (node, component) are the
+    components of their links. The sets of a crowd's largest component need no comparing with each other. The others make
+    blocks that come first; pairs of blocks, of which one at least is theirs, are searched."""
+    named = crowds.join(roots.select(F.col("node").alias("set_id"), F.col("component").alias("root")), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    largest = named.groupBy("component", "root").count().groupBy("component").agg(F.max(F.struct("count", "root")).alias("top"))
+    split = named.join(largest, "component").select("set_id", "component", "n", (F.col("root") != F.col("top.root")).alias("apart"))
+    size = lambda apart: F.ceil(F.greatest(F.count_if(apart) / BLOCK_DOCS, F.sum(F.when(apart, F.col("n")).otherwise(0)) / BLOCK_TOKENS)).cast("int")
+    counts = split.groupBy("component").agg(size(F.col("apart")).alias("ours"), size(~F.col("apart")).alias("theirs")).filter("ours > 0")
+    hashed = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n).cast("long")).cast("int")
+    own = F.when(F.col("apart"), hashed("ours")).otherwise(F.col("ours") + hashed("theirs"))
+    rows = split.join(counts, "component").withColumn("block", own)
+    others = F.when(F.col("apart"), F.col("ours") + F.col("theirs")).otherwise(F.col("ours"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return rows.select("set_id", "component", *[(f("block", "other") + 1).alias(n) for f, n in ((F.least, "low"), (F.greatest, "high"))], (F.col("block") + 1).alias("block"))
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
@@ -319,40 +413,24 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     return kept.dropDuplicates(["__row"]).select(*docs.columns)
 
 
-def _needed_sets(docs: DataFrame, width: int) -> DataFrame:
-    """``set_id, roles, tokens`` of documents that are joined with set_id and roles: their sets as bytes. A row whose set is
-    another one, where a row's number repeats, is left out."""
-    kind = docs.schema["roles"].dataType
-
-    def sets_of(part):
-        known, keep, tokens = part.column("set_id").to_pylist(), [], []
-        for i, s in _sets(range(part.num_rows), part.column("text").to_pylist(), width):
-            if len(s) and _print(s)[0] == known[i]:
-                keep.append(i)
-                tokens.append(s.tobytes())
-        at = pa.array(keep, pa.int64())
-        columns = [part.column("set_id").take(at), part.column("roles").take(at), pa.array(tokens, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["set_id", "roles", "tokens"])
-
-    def batches(parts):
-        for part in parts:
-            for begin in range(0, part.num_rows, 1024):
-                yield sets_of(part.slice(begin, 1024))
-
-    return docs.mapInArrow(batches, f"set_id long, roles {kind.simpleString()}, tokens binary")
-
-
-def _searched(like: int, of: int):
+def _searched(width: int, like: int, of: int):
     def search(group: pa.Table) -> pa.Table:
-        rows: dict[tuple, dict[int, tuple]] = {}
-        for component, low, high, block, set_id, tokens in zip(*[group[c].to_pylist() for c in ("component", "low", "high", "block", "set_id", "tokens")]):
-            rows.setdefault((component, low, high), {})[set_id] = block, tokens
+        # a text is here once, however many searches of the group it takes part in
+        wanted, texts = group["set_id"].to_pylist(), group["text"].to_pylist()
+        sets: dict[int, np.ndarray] = {}
+        for at, s in _sets(range(len(texts)), texts, width):
+            # a row whose set is another one, where a row's number repeats, is left out
+            if len(s) and _print(s)[0] == wanted[at]:
+                sets[wanted[at]] = s
+        rows: dict[tuple, dict[int, int]] = {}
+        for set_id, roles in zip(wanted, group["roles"].to_pylist()):
+            if set_id in sets:
+                for r in roles:
+                    rows.setdefault((r["component"], r["low"], r["high"]), {})[set_id] = r["block"]
         a, b = [], []
         for held in rows.values():
             names = sorted(held)
-            sets = [np.frombuffer(held[s][1], np.uint64) for s in names]
-            side = np.array([held[s][0] for s in names])
-            for i, j in links_within(sets, side, like, of):
+            for i, j in links_within([sets[x] for x in names], np.array([held[x] for x in names]), like, of):
                 a.append(names[i])
                 b.append(names[j])
         return pa.table({"a": _long(a), "b": _long(b)})

@@ -94,6 +94,69 @@ def test_jaccard(rows, monkeypatch, limit, crowd):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == jaccard_model(docs)
 
 
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_sets_that_meet_on_a_token(spark, monkeypatch, batch):
+    monkeypatch.setattr(jaccard_join, "CROWD", 5)
+    r = random.Random(batch)
+    sizes = {s: r.randint(10, 14) for s in range(40)}
+    tokens = {t: sorted(r.sample(range(40), r.choice([1, 2, 4, 5, 6, 30]))) for t in range(60)}
+    table = [(t, s, sizes[s]) for t, have in tokens.items() for s in have for _ in range(r.choice([1, 1, 2]))]
+    want = collections.Counter()
+    for have in tokens.values():
+        have = sorted(have, key=lambda s: (sizes[s], s))
+        if len(have) > 5:
+            want.update((2, s, s) for s in have)
+        for i, a in enumerate(have):
+            for b in have[i + 1 : i + 2 if len(have) > 5 else None]:
+                if 100 * sizes[a] >= 80 * sizes[b]:
+                    want[(int(len(have) > 5), min(a, b), max(a, b))] += 1
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, batch)
+    try:
+        got = jaccard_join.met(spark.createDataFrame(table, "token long, set_id long, n long"), 80, 100).collect()
+    finally:
+        spark.conf.unset(key)
+    assert collections.Counter(map(tuple, got)) == want
+
+
+def test_pairs_that_may_link(spark):
+    """No pair that reaches the threshold is left out, whichever tokens of the prefixes are counted as crowded."""
+    r = random.Random(8)
+    table = []
+    for _ in range(3000):
+        n, common = r.randint(1, 40), r.sample(range(200), 40)
+        a = sorted(common[:n])
+        b = sorted({*a[r.randint(0, 4) :], *r.sample(range(200), r.randint(0, 5))})
+        if not b:
+            continue
+        shared = len({*a} & {*b})
+        prefix = lambda x: {*x[: len(x) - jaccard_join.needed(len(x), 80, 100) + 1]}
+        many = {t for t in range(200) if r.random() < 0.2}
+        x, y = prefix(a), prefix(b)
+        links = 100 * shared >= 80 * (len(a) + len(b) - shared)
+        table.append((len(a), len(b), len((x & y) - many), len(x & many), len(y & many), links))
+    rows = spark.createDataFrame(table, "n_a int, n_b int, shared int, many_a int, many_b int, links boolean")
+    kept = rows.select("links", F.expr(jaccard_join._may_link(80, 100)).alias("kept")).groupBy("links", "kept").count().collect()
+    found = {(x.links, x.kept): x["count"] for x in kept}
+    assert (True, False) not in found and found[True, True] > 100 and found[False, False] > 100
+
+
+def test_jaccard_crowds(rows, monkeypatch):
+    """One large group of near copies and some texts that share its passage but are unlike, in many blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 6)
+    monkeypatch.setattr(jaccard_join, "CROWD", 3)
+    r = random.Random(3)
+    base = [f"b{i}" for i in range(60)]
+    docs = []
+    for i in range(90):
+        t = list(base)
+        for _ in range(r.choice([1, 1, 2, 3]) if i < 70 else 0):
+            t[r.randrange(60)] = f"x{r.randrange(9)}"
+        docs.append((i, " ".join(t if i < 70 else t[: r.randint(20, 40)] + [f"y{i % 6}{k}" for k in range(r.randint(10, 12))])))
+    got = jaccard_join.jaccard_components(rows(docs)).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == jaccard_model(docs)
+
+
 @pytest.mark.parametrize("limit", [512, 2])
 def test_jaccard_links_through_rows_without_id(rows, monkeypatch, limit):
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", limit)
