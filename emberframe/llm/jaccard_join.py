@@ -2,15 +2,13 @@
 
 1. Each document becomes its set of shingle hashes; documents with one set are one class from here on.
 2. Prefix filter: two sets that reach the threshold share one of the first tokens of each in any common order. The
-   order puts frequent tokens last, by a sketch of fixed size. Documents that share a prefix token and are near enough in size are chained, and
-   the components of the chains hold every possible link.
-3. Each component is searched: inverted lists of its sets, each set in turn the query. Short lists are merged, the long
-   ones are probed, sets that reach the required overlap are links. A task returns links that connect what it has found
-   connected, not every pair.
-   A large component, which passages that few documents share can grow, is taken apart first: of the pairs on tokens that
-   few have, those stay whose number of shared prefix tokens allows a link, and their components are searched. Sets on a
-   token that many have make crowds, which are dealt out in blocks, each with the crowd's first set; only sets that are not
-   in the crowd's largest component then are compared with those of other blocks.
+   order puts frequent tokens last, by a sketch of fixed size. Sets that are near enough in size meet on a prefix token that
+   few have; their pairs stay whose number of shared prefix tokens allows a link.
+3. Each component of these pairs is searched: inverted lists of its sets, each set in turn the query. Short lists are merged,
+   the long ones are probed, sets that reach the required overlap are links. A task returns links that connect what it has
+   found connected, not every pair. In a component too large for one task each set is searched among its partners.
+   Sets on a token that many have are chained to crowds, which are dealt out in blocks, each with the crowd's first set; only
+   sets that are not in the crowd's largest component then are compared with those of other blocks.
 4. Components of the links are the classes of near copies.
 """
 
@@ -28,7 +26,7 @@ from emberframe.llm.words import chunks, shingles, words_of
 WIDTH = 5
 #: Threshold as a fraction, so that it is exact.
 LIKE, OF = 80, 100
-#: Shingles in a search block, and documents; a component beyond either is taken apart.
+#: Shingles in a search block, and documents; a component or crowd beyond either is taken apart.
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 19, 512
 #: A token this often in one batch of texts is reported. The reports are added up in so many cells, a byte each, whatever
 #: the size of the corpus; tokens come in the order of their cell's logarithm. The order changes the work, never the links.
@@ -37,7 +35,7 @@ OFTEN, CELLS = 3, 1 << 20
 HELD = 1 << 22
 #: Documents to be searched that are told to all tasks rather than joined by a shuffle of the texts, 32 bytes each.
 SENT = 500_000
-#: Sets on one prefix token of a large component that are searched set by set rather than in blocks.
+#: Sets on one prefix token that meet in pairs; where more have it they are a crowd.
 CROWD = 64
 #: How costly a probe is against a merge step; the value that the method's authors give.
 MU = 0.0085
@@ -203,22 +201,6 @@ def prefix_tokens(docs: DataFrame, levels: np.ndarray, width: int, like: int, of
     return docs.mapInArrow(batches, "token long, set_id long, n long")
 
 
-def chained(rows: DataFrame, like: int, of: int) -> DataFrame:
-    """Neighbours in size among the sets of a token, where sizes allow a link; read as one sorted stream."""
-
-    def batches(parts):
-        last = np.zeros((3, 0), np.int64)
-        for part in parts:
-            columns = np.concatenate([last, np.array([part.column(i).to_numpy() for i in range(3)])], axis=1)
-            last = columns[:, -1:]
-            (t, s, n), (t2, s2, n2) = columns[:, :-1], columns[:, 1:]
-            keep = (t == t2) & (s != s2) & (of * n >= like * n2)
-            yield pa.RecordBatch.from_arrays([_long(s[keep]), _long(s2[keep])], ["a", "b"])
-
-    dealt = rows.repartition("token").sortWithinPartitions("token", "n", "set_id")
-    return dealt.mapInArrow(batches, "a long, b long").distinct()
-
-
 def jaccard_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, like: int = LIKE, of: int = OF
 ) -> DataFrame:
@@ -236,34 +218,28 @@ def jaccard_components(
     prints = seen.filter("kind != 1").select(F.expr("IF(kind = 0, key, NULL)").alias("doc_id"), F.col("key").alias("row"), F.col("one").alias("set_id"), "two", "n")
     levels = frequencies(seen.filter("kind = 1"))
 
-    chains = chained(prefix_tokens(docs, levels, width, like, of), like, of)
-    possible = stored(components(chains, "jaccard-possible"), "jaccard-members")
-
-    # one document of each set that may have a link
-    chosen = prints.filter("n > 0").groupBy("set_id").agg(F.min("row").alias("row"), F.max("n").alias("n"))
-    chosen = possible.join(chosen, F.col("node") == F.col("set_id")).select("row", "set_id", "component", "n")
-    chosen = stored(chosen.join(_blocks(chosen), "component"), "jaccard-chosen")
-    whole = chosen.filter("blocks = 1").select("set_id", "component", *[F.lit(0).alias(c) for c in ("low", "high", "block")])
-    pieces, crowds = _taken_apart(docs, chosen.filter("blocks > 1"), levels, width, like, of)
+    # one row of each set
+    sets = stored(prints.filter("n > 0").groupBy("set_id").agg(F.min("row").alias("row"), F.max("n").alias("n")), "jaccard-sets")
+    pieces, crowds, tokens = _searches(prefix_tokens(docs, levels, width, like, of), sets, like, of)
 
     # searches within one task are put together by chance, pairs of blocks are groups of their own
-    size = F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_DOCS)
-    buckets = chosen.agg(F.coalesce(size, F.lit(0)).cast("long")).first()[0] + 1
+    buckets = tokens // BLOCK_TOKENS + 1
     bucket = F.pmod(F.xxhash64("component"), F.lit(buckets))
     group = F.when(F.col("high") <= 0, bucket).otherwise(F.xxhash64("component", "low", "high"))
 
+    rows = sets.select("set_id", "row")
+
     def links_of(roles: DataFrame) -> DataFrame:
-        roles = stored(roles.join(chosen.select("set_id", "row"), "set_id"), "jaccard-roles")
+        roles = stored(roles.join(rows, "set_id"), "jaccard-roles")
         held = roles.groupBy("row", "set_id", group.alias("group")).agg(F.collect_list(F.struct(*PLACE)).alias("roles"))
         # the texts travel, not their sets: they are shorter, and Spark compresses them
         sent = docs.select("row", "text").join(F.broadcast(held) if roles.count() <= SENT else held, "row")
         return sent.select("group", "set_id", "roles", "text").groupBy("group").applyInArrow(_searched(width, like, of), "a long, b long")
 
-    links = links_of(whole.unionByName(pieces).unionByName(_dealt(crowds)))
+    roots = components(links_of(pieces.unionByName(_dealt(crowds))), "jaccard-first")
     if not crowds.isEmpty():
-        links = stored(links, "jaccard-first-links")
-        links = links.unionByName(links_of(_rest_dealt(crowds, components(links, "jaccard-first"))))
-    roots = components(links, "jaccard-links")
+        more = links_of(_rest_dealt(crowds, roots))
+        roots = components(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "jaccard-links")
 
     # the smallest document of each component
     least = prints.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
@@ -346,21 +322,18 @@ def _may_link(like: int, of: int) -> str:
     return f"(shared + least(many_a, many_b) + {rest}) * ({like} + {of}) >= {like} * (n_a + n_b)"
 
 
-def _taken_apart(docs: DataFrame, members: DataFrame, levels: np.ndarray, width: int, like: int, of: int) -> tuple[DataFrame, DataFrame]:
-    """``set_id`` and PLACE for the searches that large components need, and the crowds: ``set_id, component, n``. ``members``:
-    row, set_id, n."""
-    ids = members.select("row")
-    there = docs.join(F.broadcast(ids) if members.count() <= SENT else ids, "row", "left_semi").select("doc_id", "text")
-    counts = met(prefix_tokens(there, levels, width, like, of), like, of).groupBy("kind", "a", "b").agg(F.count("*").alias("shared"))
-    counts = stored(counts, "jaccard-met")
+def _searches(prefixes: DataFrame, sets: DataFrame, like: int, of: int) -> tuple[DataFrame, DataFrame, int]:
+    """``set_id`` and PLACE for the searches that pairs on rare tokens need, the crowds (``set_id, component, n``), and how many
+    tokens the first have. ``prefixes``: token, set_id, n; ``sets``: row, set_id, n."""
+    counts = stored(met(prefixes, like, of).groupBy("kind", "a", "b").agg(F.count("*").alias("shared")), "jaccard-met")
     many = counts.filter("kind = 2").select(F.col("a").alias("set_id"), F.col("shared").alias("many"))
-    sets = stored(members.select("set_id", "n").join(many, "set_id", "left").select("set_id", "n", F.coalesce("many", F.lit(0)).alias("many")), "jaccard-sizes")
+    sets = sets.select("set_id", "n").join(many, "set_id", "left").select("set_id", "n", F.coalesce("many", F.lit(0)).alias("many"))
     side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("many").alias(f"many_{x}"))
     pairs = counts.filter("kind = 0").join(side("a"), "a").join(side("b"), "b").filter(_may_link(like, of))
     pairs = stored(pairs.select("a", "b"), "jaccard-pairs")
     # what is left is mostly groups of near copies, each searched in one piece
     groups = components(pairs, "jaccard-groups").withColumnRenamed("node", "set_id").join(sets.select("set_id", "n"), "set_id")
-    groups = stored(groups.join(_blocks(groups), "component").select("set_id", "component", "blocks"), "jaccard-groups")
+    groups = stored(groups.join(_blocks(groups), "component"), "jaccard-groups")
     place = lambda low, own: [F.lit(low).alias("low"), F.lit(low).alias("high"), F.lit(own).alias("block")]
     pieces = groups.filter("blocks = 1").select("set_id", "component", *place(0, 0))
     # in those that are still large a search of its own for each set with partners: the set is block 0, they are block 1; its
@@ -370,7 +343,8 @@ def _taken_apart(docs: DataFrame, members: DataFrame, levels: np.ndarray, width:
         still.select(F.col("a").alias("set_id"), F.col("a").alias("component")).distinct().select("*", *place(-1, 0))
     )
     crowds = components(counts.filter("kind = 1").select("a", "b"), "jaccard-crowds").select(F.col("node").alias("set_id"), "component")
-    return pieces.unionByName(stars), stored(crowds.join(sets.select("set_id", "n"), "set_id"), "jaccard-crowded")
+    tokens = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return pieces.unionByName(stars), stored(crowds.join(sets.select("set_id", "n"), "set_id"), "jaccard-crowded"), tokens
 
 
 def _dealt(crowds: DataFrame) -> DataFrame:
