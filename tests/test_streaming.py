@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberframe.functions.rules import Rule
 from emberframe.operators import alerts, counters, flame
+from emberframe.plans import queries
 from emberframe.sources import streams
 from emberframe.streaming import joins, sinks, state, windows
 from emberframe.workspace import fresh_dir
@@ -73,6 +74,19 @@ def test_counters_of_a_repeated_batch(spark):
     assert seen == [[], [(2, 5)], [(2, 5)], [(3, -4)]]
 
 
+def test_event_stream_of_several_files(spark, tmp_path):
+    """A micro-batch is many files, so many tasks make it, and micro-batches still follow each other in time."""
+    rows = spark.range(4000).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, pmod(id * 7919, 4001)) AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.5D AS value", "'' AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    for file_rows, files in ((100, 9), (1000, 1)):
+        seen = []
+        watch = lambda b, i: seen.append((*b.agg(F.min("us"), F.max("us"), F.count("*")).first(), len(b.select(F.input_file_name()).distinct().collect()) if i else 0))
+        sinks.run_available(queries.event_stream(spark, str(tmp_path), file_rows=file_rows), watch, fresh_dir(spark, "checkpoint"))
+        assert len(seen) == 4 and sum(n for *_, n, _ in seen) == 4000
+        assert all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+        assert all(f >= files for *_, f in seen[1:])
+
+
 def test_spans(spark):
     trace = "0af7651916cd43dd8448eb211c80319c"
     rows = [(i % 3, i * 1_000_000, i, f"trace_id={trace},{i:016x}" if i % 4 else "bad") for i in range(30)]
