@@ -74,6 +74,20 @@ def test_counters_of_a_repeated_batch(spark):
     assert seen == [[], [(2, 5)], [(2, 5)], [(3, -4)]]
 
 
+def test_packed_counters(spark, tmp_path):
+    """A sink gets a row per reading, however many collections lie between two; short rings, restarts and nulls are as before."""
+    ring = [(s * 7) % 5 for s in range(256)]
+    rows = [(1, 1, 5, 10, ring), (1, 2, 5, 1300, ring), (1, 3, 8, 1300, ring), (1, 4, 9, 3, ring), (1, 5, None, 4, None), (1, 6, 9, None, ring), (1, 7, 9, 70, ring)]
+    rows += [(2, 1, 5, 0, [3, 4]), (2, 2, 6, 2, [3, 4]), (None, 1, 1, 0, ring), (None, 2, 1, 256, ring), (None, 3, 2, 512 + 7, ring)]
+    df = spark.createDataFrame(rows, "process_id bigint, us bigint, heap_alloc bigint, num_gc bigint, pause_ns array<bigint>")
+    out, sizes = fresh_dir(spark, "steps"), []
+    write = sinks.multi_sink([sinks.table_sink(out), lambda b, i: sizes.append(b.count())])
+    state.stream_counters(fresh_dir(spark, "last"), write, packed=True)(df, 0)
+    got = counters.samples_of(spark.read.parquet(out), ["us"])
+    same(got, counters.heap_delta(df).filter("us != 7").unionByName(counters.gc_unroll(df).drop("cycle")))
+    assert got.count() > 1000 and sizes == [8]
+
+
 def test_event_stream_of_several_files(spark, tmp_path):
     """A micro-batch is many files, so many tasks make it, and micro-batches still follow each other in time."""
     rows = spark.range(4000).selectExpr("id AS event_id", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, pmod(id * 7919, 4001)) AS ts", "id % 7 AS user_id", "'view' AS event_type", "1.5D AS value", "'' AS props")
