@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberframe.llm.common import components, stored, table, texts_of
+from emberframe.llm.common import GATHERED, components, stored, table, texts_of
 from emberframe.llm.words import chunks, shingles, words_of
 
 WIDTH = 5
@@ -236,10 +236,10 @@ def jaccard_components(
         sent = docs.select("row", "text").join(F.broadcast(held) if roles.count() <= SENT else held, "row")
         return sent.select("group", "set_id", "roles", "text").groupBy("group").applyInArrow(_searched(width, like, of), "a long, b long")
 
-    roots = components(links_of(pieces.unionByName(_dealt(crowds))), "jaccard-first")
+    roots = components(links_of(pieces.unionByName(_dealt(crowds))), "jaccard-first", GATHERED)
     if not crowds.isEmpty():
         more = links_of(_rest_dealt(crowds, roots))
-        roots = components(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "jaccard-links")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "jaccard-links", GATHERED)
 
     # the smallest document of each component
     least = prints.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("least"))
@@ -332,7 +332,7 @@ def _searches(prefixes: DataFrame, sets: DataFrame, like: int, of: int) -> tuple
     pairs = counts.filter("kind = 0").join(side("a"), "a").join(side("b"), "b").filter(_may_link(like, of))
     pairs = stored(pairs.select("a", "b"), "jaccard-pairs")
     # what is left is mostly groups of near copies, each searched in one piece
-    groups = components(pairs, "jaccard-groups").withColumnRenamed("node", "set_id").join(sets.select("set_id", "n"), "set_id")
+    groups = components(pairs, "jaccard-groups", GATHERED).withColumnRenamed("node", "set_id").join(sets.select("set_id", "n"), "set_id")
     groups = stored(groups.join(_blocks(groups), "component"), "jaccard-groups")
     place = lambda low, own: [F.lit(low).alias("low"), F.lit(low).alias("high"), F.lit(own).alias("block")]
     pieces = groups.filter("blocks = 1").select("set_id", "component", *place(0, 0))
@@ -342,7 +342,7 @@ def _searches(prefixes: DataFrame, sets: DataFrame, like: int, of: int) -> tuple
     stars = still.select(F.col("b").alias("set_id"), F.col("a").alias("component"), *place(-1, 1)).unionByName(
         still.select(F.col("a").alias("set_id"), F.col("a").alias("component")).distinct().select("*", *place(-1, 0))
     )
-    crowds = components(counts.filter("kind = 1").select("a", "b"), "jaccard-crowds").select(F.col("node").alias("set_id"), "component")
+    crowds = components(counts.filter("kind = 1").select("a", "b"), "jaccard-crowds", GATHERED).select(F.col("node").alias("set_id"), "component")
     tokens = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return pieces.unionByName(stars), stored(crowds.join(sets.select("set_id", "n"), "set_id"), "jaccard-crowded"), tokens
 

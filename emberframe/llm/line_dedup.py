@@ -9,7 +9,8 @@
 3. Lines that share a key are verified: for one edit the part left out by a banded bit-parallel edit automaton, for more
    whole lines by their edit distance up to the threshold, those of a key with its first line, and what is not near to that
    with all. (The automaton is interpreted step by step, which takes too long for whole lines.)
-4. A key that very many lines share is not joined: its lines are split into more parts until few share a key.
+4. A key that very many lines share is not joined: its lines are split into more parts until few share a key. So are, for
+   more than one edit, those of a key on which some lines stand that are unlike: a passage is common to them, but no more.
 5. Components of the links are the classes; the first line of a class, by document and number, stays.
 """
 
@@ -28,8 +29,9 @@ EDITS, PIPELINE_EDITS = 1, 3
 LEAST = 20
 #: Lines that may share a key before they are split further, and powers of two of the parts tried one after the other.
 SHARED, SPLITS = 64, (2, 5, 8)
-#: For more than one edit, how often a line is split into segments, one after the other.
-DEPTHS = (1, 2)
+#: For more than one edit, how often a line is split into segments, one after the other, and lines of a key that meet in pairs
+#: before they are split further, if not all are near the key's first one.
+DEPTHS, PAIRED = (1, 2, 3), 8
 #: A line that is more than this share of all lines is signed once instead of at each place; there can be no more than so many.
 OFTEN = 10_000
 #: Ids that are sent to all tasks rather than joined by a shuffle, 8 bytes each.
@@ -213,18 +215,21 @@ def _whole_pairs(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.lit(0).alias("before"), F.lit(0).alias("behind")]
 
 
-def links_by_representatives(lines: DataFrame, rows: DataFrame, near: str) -> list[DataFrame]:
+def links_by_representatives(lines: DataFrame, rows: DataFrame, near: str, most: int | None = None) -> tuple[list[DataFrame], DataFrame]:
     """Links that connect all lines which pairs on one key connect, of which one at least is on the index's side. A key's first
     such line is compared with all others on it; those it is near to need no comparing with each other. Only the others are
-    compared with the rest, so the copies of a line take as many links as there are copies."""
+    compared with the rest, so the copies of a line take as many links as there are copies. Where there are others on a key of
+    more than ``most`` signatures, they are not: all ``line_id`` on it come second, for other keys."""
     first = rows.filter("indexed").groupBy("key").agg(F.min("line_id").alias("first"))
-    spokes = stored(rows.join(first, "key").filter("line_id != first").select("key", "line_id", "indexed", "first"), "line-spokes")
+    spokes = stored(rows.join(first, "key").filter("line_id != first").select("key", "line_id", "indexed", "first", "n"), "line-spokes")
     stars = _verified(lines, spokes.select(*_whole_pairs(F.col("first"), F.col("line_id"))).distinct(), near)
     near_first = (F.least("first", "line_id") == F.col("a")) & (F.greatest("first", "line_id") == F.col("b"))
     apart = stored(spokes.join(stars, near_first, "left_anti"), "line-apart")
-    u, x = apart.alias("u"), spokes.alias("x")
+    wide = F.lit(False) if most is None else F.col("n") > most
+    u, x = apart.filter(~wide).alias("u"), spokes.alias("x")
     met = u.join(x, (F.col("u.key") == F.col("x.key")) & (F.col("u.line_id") != F.col("x.line_id")) & (F.col("u.indexed") | F.col("x.indexed")))
-    return [stars, _verified(lines, met.select(*_whole_pairs(F.col("u.line_id"), F.col("x.line_id"))).distinct(), near)]
+    links = [stars, _verified(lines, met.select(*_whole_pairs(F.col("u.line_id"), F.col("x.line_id"))).distinct(), near)]
+    return links, rows.join(apart.filter(wide).select("key").distinct(), "key", "left_semi").select("line_id")
 
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -257,10 +262,13 @@ def _links_of_several_edits(lines: DataFrame, edits: int) -> DataFrame:
     for depth in DEPTHS:
         last = depth == DEPTHS[-1]
         shared = shared_keys(to_sign, depth, edits)
-        links += links_by_representatives(texts, shared if last else shared.filter(F.col("n") <= SHARED), near)
+        # what many share at first is mostly a passage; later it is mostly copies, which their first one sorts out
+        crowd = F.col("n") > SHARED if depth == DEPTHS[0] else F.lit(False)
+        found, unlike = links_by_representatives(texts, shared.filter(~crowd), near, None if last else min(PAIRED, SHARED))
+        links += found
         if last:
             break
-        crowded = stored(shared.filter(F.col("n") > SHARED).select("line_id").distinct(), "line-crowded")
+        crowded = stored(shared.filter(crowd).select("line_id").union(unlike).distinct(), "line-crowded")
         if crowded.isEmpty():
             break
         to_sign = stored(_chosen(texts, crowded), "line-crowd")

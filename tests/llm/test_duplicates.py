@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberframe.llm import jaccard_join, line_dedup, suffix_dedup
+from emberframe.llm import common, jaccard_join, line_dedup, suffix_dedup
 from emberframe.llm.common import components
 from emberframe.llm.words import shingles, words_of
 from odd_rows import ODD
@@ -383,3 +383,27 @@ def test_repeated_spans(spark, rows, span, gram, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == span_model(docs, span) and len(got) > 20
     assert suffix_dedup.repeated_spans(rows([])).count() == 0
+
+
+def test_lines_with_a_common_passage_are_not_compared_in_pairs(rows, monkeypatch):
+    r = random.Random(2)
+    passage, text = "a passage that stands in many lines, unlike otherwise, ", lambda: "".join(r.choices("abcdefgh", k=70))
+    lines = [passage + text() for _ in range(40)]
+    lines += [x[:80] + "z" + x[81:] for x in lines[:5]] + [x[:60] + "zz" + x[61:] for x in lines[:5]]
+    verified, compared = line_dedup._verified, []
+    monkeypatch.setattr(line_dedup, "_verified", lambda all_lines, pairs, near: (compared.append(pairs.count()), verified(all_lines, pairs, near))[1])
+    of = line_dedup.lines_of(rows(list(enumerate(lines))).select("doc_id", "text"))
+    name = {x.line_id: x.line for x in of.collect()}
+    got = {tuple(sorted((name[x.a], name[x.b]))) for x in line_dedup.line_links(of, 3).collect()}
+    want = {(a, b) for a in lines for b in lines if a < b and distance(a, b) <= 3}
+    assert got <= want and joined(lines, got) == joined(lines, want) and len(want) == 15
+    # of 1,225 pairs
+    assert sum(compared) < 400
+
+
+def test_few_edges_are_united_at_once(spark, monkeypatch):
+    r = random.Random(3)
+    edges = spark.createDataFrame([(r.randint(0, 300), r.randint(-50, 300)) for _ in range(200)], "a bigint, b bigint")
+    slow = {tuple(x) for x in components(edges, "test").collect()}
+    monkeypatch.setattr(common, "_checksum", lambda e, f=common._checksum, seen=[]: (seen.append(1), f(e))[1] if len(seen) < 1 else pytest.fail("a second round"))
+    assert {tuple(x) for x in components(edges, "test", 200).collect()} == slow and len(slow) > 200
