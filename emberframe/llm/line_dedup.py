@@ -11,6 +11,7 @@
    with all. (The automaton is interpreted step by step, which takes too long for whole lines.)
 4. A key that very many lines share is not joined: its lines are split into more parts until few share a key. So are, for
    more than one edit, those of a key on which some lines stand that are unlike: a passage is common to them, but no more.
+   These lines are split only in the ways by which they have such keys.
 5. Components of the links are the classes; the first line of a class, by document and number, stays.
 """
 
@@ -76,52 +77,68 @@ def _row(key: str, size: str, part: str, indexed: bool) -> str:
 
 
 def segments(edits: int, depth: int, start: int = 0, end: int = 0, low=Fraction(0), high=Fraction(1), path: tuple = ()) -> list[tuple]:
-    """(path, segments that are kept) for each way in which ``edits`` edits at most can leave segments of ``low`` to
+    """(path, choices, segments that are kept) for each way in which ``edits`` edits at most can leave segments of ``low`` to
     ``high`` (shares of the index's line) as they are, when these bounds lie ``start`` and ``end`` places further on in the
     other line. A segment is (low, high, places it is moved by). Ways of one path keep the same segments of the index's line.
+    Choices are (i, places moved by, those before, those behind), cut off at ``depth``.
 
     Of edits + 1 segments take the first, i, such that those up to it have no more than i edits: it has none, those before
     it have i, and those behind it the rest."""
     if abs(end - start) > edits:
         return []
     if edits == 0:
-        return [(path, [(low, high, start)])]
+        return [(path, (), [(low, high, start)])]
     if depth == 0:
-        return [(path, [])]
+        return [(path, (), [])]
     found = []
     for i in range(edits + 1):
         a, b = (low + (high - low) * Fraction(i + k, edits + 1) for k in (0, 1))
         for moved in range(start - i, start + i + 1):
-            for before, left in segments(i, depth - 1, start, moved, low, a, (*path, i)):
-                for way, right in segments(edits - i, depth - 1, moved, end, b, high, (*before, -1)):
-                    found.append((way, [*left, (a, b, moved), *right]))
+            for before, first, left in segments(i, depth - 1, start, moved, low, a, (*path, i)):
+                for way, then, right in segments(edits - i, depth - 1, moved, end, b, high, (*before, -1)):
+                    found.append((way, (i, moved, first, then), [*left, (a, b, moved), *right]))
     return found
 
 
-def _signed_by_segments(lines: DataFrame, depth: int, edits: int) -> DataFrame:
-    """``signed`` for several edits: the segments that are kept."""
-    sized = lines.withColumn("n", F.length("line")).filter(F.col("n") >= LEAST)
-    number, rows = {}, []
+def _cut(choices: tuple, depth: int) -> tuple:
+    return (*choices[:2], *(_cut(c, depth - 1) for c in choices[2:])) if depth and choices else ()
+
+
+def ways(edits: int, depth: int) -> list[dict]:
+    """The ways of ``segments`` for partners of the same length and up to ``edits`` shorter. ``of``: the number, among those
+    of one depth less, of the way that this one splits further. Where two lines have a key in common by a way, some way that
+    splits it is one by which near lines have a key in common, too."""
+    number, rows, above = {}, [], {}
+    for shorter in range(edits + 1):
+        for _, choices, _ in segments(edits, depth - 1, 0, shorter):
+            above[shorter, choices] = len(above)
     for shorter in range(edits + 1):
-        for path, kept in segments(edits, depth, 0, shorter):
+        for path, choices, kept in segments(edits, depth, 0, shorter):
             still = shorter == 0 and all(moved == 0 for *_, moved in kept)
             part = number.setdefault(path, len(number))
             kept = [{"a": a.numerator, "b": a.denominator, "c": b.numerator, "d": b.denominator, "moved": moved} for a, b, moved in kept if a < b]
-            rows.append({"shorter": shorter, "part": part, "indexed": int(still), "kept": kept})
-    assert len(number) <= 1024
+            rows.append({"way": len(rows), "of": above[shorter, _cut(choices, depth - 1)], "shorter": shorter, "part": part, "indexed": int(still), "kept": kept})
+    return rows
+
+
+def _signed_by_segments(lines: DataFrame, depth: int, edits: int) -> DataFrame:
+    """``signed`` for several edits: the segments that are kept. ``about``: the way's number and whether it is the index's side."""
+    rows = ways(edits, depth)
+    sized = lines.withColumn("n", F.length("line")).filter(F.col("n") >= LEAST)
     if depth > 1:
-        # many ways: a table of them rather than an expression for each
-        kind = "array<struct<shorter: int, part: int, indexed: int, kept: array<struct<a: long, b: long, c: long, d: long, moved: int>>>>"
+        # many ways: a table of them, by the way they split further, rather than an expression for each
+        kind = "array<array<struct<way: int, shorter: int, part: int, indexed: int, kept: array<struct<a: long, b: long, c: long, d: long, moved: int>>>>>"
+        table = [[{k: v for k, v in w.items() if k != "of"} for w in rows if w["of"] == of] for of in range(1 + max(w["of"] for w in rows))]
         piece = "substring(line, CAST((n - w.shorter) * k.a div k.b + k.moved + 1 AS INT), CAST((n - w.shorter) * k.c div k.d - (n - w.shorter) * k.a div k.b AS INT))"
-        row = f"named_struct('key', xxhash64(n - w.shorter, w.part, transform(w.kept, k -> {piece})), 'about', (n - w.shorter) * 2048L + w.part * 2 + w.indexed)"
-        every = f"transform(from_json('{json.dumps(rows)}', '{kind}'), w -> {row})"
+        row = f"named_struct('key', xxhash64(n - w.shorter, w.part, transform(w.kept, k -> {piece})), 'about', w.way * 2L + w.indexed)"
+        every = f"transform(flatten(transform(ways, v -> get(from_json('{json.dumps(table)}', '{kind}'), v))), w -> {row})"
     else:
         at = lambda size, up, down: f"CAST({size} * {up} div {down} AS INT)"
         made = []
         for w in rows:
             size = f"(n - {w['shorter']})"
             pieces = [f"substring(line, {at(size, k['a'], k['b'])} + {k['moved'] + 1}, {at(size, k['c'], k['d'])} - {at(size, k['a'], k['b'])})" for k in w["kept"]]
-            made.append(_row(f"xxhash64({', '.join([size, str(w['part']), *pieces])})", size, str(w["part"]), w["indexed"]))
+            made.append(f"named_struct('key', xxhash64({', '.join([size, str(w['part']), *pieces])}), 'about', {w['way'] * 2 + w['indexed']}L)")
         every = f"array({', '.join(made)})"
     return sized.select("line_id", F.explode(F.expr(every)).alias("s")).select("s.key", "line_id", "s.about")
 
@@ -129,7 +146,8 @@ def _signed_by_segments(lines: DataFrame, depth: int, edits: int) -> DataFrame:
 def signed(lines: DataFrame, power: int, edits: int = EDITS) -> DataFrame:
     """``key, line_id, about`` for lines (line_id, line): each part left out, for partners of the same length and for those
     up to ``edits`` shorter. ``about`` holds the partner's length, the part (below 1024) and whether it is the index's side.
-    ``power``: for one edit, that of two that is the number of parts; for more, how often a line is split."""
+    ``power``: for one edit, that of two that is the number of parts; for more, how often a line is split: beyond once, by
+    those ways alone that split further one of the column ``ways``, numbers of ways of one split less."""
     if edits > 1:
         return _signed_by_segments(lines, power, edits)
     parts = 1 << power
@@ -188,16 +206,24 @@ def _chosen(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def shared_keys(lines: DataFrame, depth: int, edits: int) -> DataFrame:
-    """``key, line_id, indexed, n`` for several edits: the keys that two lines or more have, of ``n`` signatures. ``lines``
+    """``key, line_id, indexed, way, n`` for several edits: the keys that two lines or more have, of ``n`` signatures. ``lines``
     holds each line once.
 
     The many keys are shuffled alone, eight bytes each, to find the few that are shared; then the lines are signed again and
-    what has such a key stays."""
+    what has such a key stays. Lines that are alike but for a few places share the keys of very many ways; keys with the same
+    lines become one, as the same lines need no comparing on each. Keys without a line on the index's side go."""
     often = signed(lines, depth, edits).select("key").repartition("key").groupBy("key").agg(F.count("*").alias("n"))
     often = stored(often.filter("n > 1"), "line-keys")
     few = often.count() <= SENT
     rows = signed(lines, depth, edits).join(F.broadcast(often) if few else often, "key")
-    return stored(rows.select("key", "line_id", F.expr("about % 2 = 1").alias("indexed"), "n").distinct(), "line-shared")
+    rows = stored(rows.select("key", "line_id", F.expr("about % 2 = 1").alias("indexed"), F.expr("about div 2").alias("way"), "n"), "line-shared")
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "line_id", "indexed")).alias(f"mark{seed}") for seed in (0, 1)]
+    sets = rows.select("key", "line_id", "indexed", "n").distinct().groupBy("key", "n").agg(F.count("*").alias("lines"), *marks, F.bool_or("indexed").alias("any"))
+    sets = stored(sets.filter("any AND lines > 1").drop("any"), "line-sets")
+    alike = ["lines", "mark0", "mark1"]
+    least = sets.groupBy(*alike).agg(F.min(F.struct("n", "key")).alias("least"))
+    named = sets.select("key", *alike).join(least, alike).select("key", "least")
+    return stored(rows.drop("n").join(named, "key").select("least.key", "line_id", "indexed", "way", "least.n"), "line-shared")
 
 
 def _verified(lines: DataFrame, pairs: DataFrame, near: str) -> DataFrame:
@@ -219,17 +245,33 @@ def links_by_representatives(lines: DataFrame, rows: DataFrame, near: str, most:
     """Links that connect all lines which pairs on one key connect, of which one at least is on the index's side. A key's first
     such line is compared with all others on it; those it is near to need no comparing with each other. Only the others are
     compared with the rest, so the copies of a line take as many links as there are copies. Where there are others on a key of
-    more than ``most`` signatures, they are not: all ``line_id`` on it come second, for other keys."""
-    first = rows.filter("indexed").groupBy("key").agg(F.min("line_id").alias("first"))
-    spokes = stored(rows.join(first, "key").filter("line_id != first").select("key", "line_id", "indexed", "first", "n"), "line-spokes")
-    stars = _verified(lines, spokes.select(*_whole_pairs(F.col("first"), F.col("line_id"))).distinct(), near)
+    more than ``most`` signatures, they are not: its ``rows`` come second, to be split further, links among them included. So
+    on such a key a few lines are compared with the first before the rest are."""
+    once = rows.select("key", "line_id", "indexed", "n").distinct()
+    pair = _whole_pairs(F.col("first"), F.col("line_id"))
     near_first = (F.least("first", "line_id") == F.col("a")) & (F.greatest("first", "line_id") == F.col("b"))
+    by_hash = F.xxhash64("line_id")
+    first = once.groupBy("key").agg(
+        F.min(F.when(F.col("indexed"), F.col("line_id"))).alias("first"),
+        F.array_distinct(F.array(F.max("line_id"), F.min_by("line_id", by_hash), F.max_by("line_id", by_hash))).alias("some"),
+        F.max("n").alias("n"),
+    )
+    first = stored(first.filter("first IS NOT NULL"), "line-first")
+    links, split = [], None
+    if most is not None:
+        some = first.filter(F.col("n") > most).select("key", "first", F.explode("some").alias("line_id")).filter("line_id != first")
+        links.append(_verified(lines, some.select(*pair).distinct(), near))
+        split = stored(some.join(links[0], near_first, "left_anti").select("key").distinct(), "line-unlike")
+        once = once.join(split, "key", "left_anti")
+    spokes = stored(once.join(first.select("key", "first"), "key").filter("line_id != first"), "line-spokes")
+    stars = _verified(lines, spokes.select(*pair).distinct(), near)
     apart = stored(spokes.join(stars, near_first, "left_anti"), "line-apart")
     wide = F.lit(False) if most is None else F.col("n") > most
     u, x = apart.filter(~wide).alias("u"), spokes.alias("x")
     met = u.join(x, (F.col("u.key") == F.col("x.key")) & (F.col("u.line_id") != F.col("x.line_id")) & (F.col("u.indexed") | F.col("x.indexed")))
-    links = [stars, _verified(lines, met.select(*_whole_pairs(F.col("u.line_id"), F.col("x.line_id"))).distinct(), near)]
-    return links, rows.join(apart.filter(wide).select("key").distinct(), "key", "left_semi").select("line_id")
+    links += [stars, _verified(lines, met.select(*_whole_pairs(F.col("u.line_id"), F.col("x.line_id"))).distinct(), near)]
+    unlike = apart.filter(wide).select("key").distinct()
+    return links, rows.join(unlike if split is None else unlike.union(split), "key", "left_semi")
 
 
 def line_links(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -268,10 +310,14 @@ def _links_of_several_edits(lines: DataFrame, edits: int) -> DataFrame:
         links += found
         if last:
             break
-        crowded = stored(shared.filter(crowd).select("line_id").union(unlike).distinct(), "line-crowded")
+        crowded = shared.filter(crowd).unionByName(unlike).groupBy("line_id").agg(F.collect_set("way").alias("ways"))
+        crowded = stored(crowded, "line-crowded")
         if crowded.isEmpty():
             break
-        to_sign = stored(_chosen(texts, crowded), "line-crowd")
+        # few lines with very many ways each: dealt out, as a task signs few of them
+        tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chosen = _chosen(texts, crowded.select("line_id"))
+        to_sign = stored(chosen.join(crowded, "line_id").repartition(tasks, "line_id"), "line-crowd")
     return reduce(DataFrame.unionByName, links)
 
 

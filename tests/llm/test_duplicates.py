@@ -407,3 +407,27 @@ def test_few_edges_are_united_at_once(spark, monkeypatch):
     slow = {tuple(x) for x in components(edges, "test").collect()}
     monkeypatch.setattr(common, "_checksum", lambda e, f=common._checksum, seen=[]: (seen.append(1), f(e))[1] if len(seen) < 1 else pytest.fail("a second round"))
     assert {tuple(x) for x in components(edges, "test", 200).collect()} == slow and len(slow) > 200
+
+
+def test_lines_are_compared_once_where_keys_have_the_same_lines(rows):
+    r = random.Random(4)
+    base = ["".join(r.choices("abcdefgh", k=6)) for _ in range(20)]
+    lines = [" ".join("".join(r.choices("stuvwxyz", k=r.randint(6, 7))) if i == k else w for i, w in enumerate(base)) for k in range(20) for _ in range(2)]
+    of = line_dedup.lines_of(rows(list(enumerate(lines))).select("doc_id", "text")).select("line_id", "line")
+    on = collections.defaultdict(set)
+    for x in line_dedup.shared_keys(of, 1, 3).collect():
+        on[x.key].add((x.line_id, x.indexed))
+    assert on and len({frozenset(x) for x in on.values()}) == len(on)
+    assert all(len(x) > 1 and any(indexed for _, indexed in x) for x in on.values())
+
+
+def test_lines_are_split_further_by_the_ways_that_many_share(rows):
+    of = line_dedup.lines_of(rows([(1, "a line that is long enough to be split into segments")]).select("doc_id", "text")).select("line_id", "line")
+    above, below = line_dedup.ways(3, 1), line_dedup.ways(3, 2)
+    assert {w["of"] for w in below} == {w["way"] for w in above} and all(w["kept"] for w in above)
+    chosen = {0, 9}
+    got = line_dedup.signed(of.withColumn("ways", F.array(*map(F.lit, chosen))), 2, 3)
+    assert sorted(x.about // 2 for x in got.collect()) == [w["way"] for w in below if w["of"] in chosen]
+    # what a way keeps, those that split it further keep too
+    pieces = lambda w: {tuple(sorted(k.items())) for k in w["kept"]}
+    assert all(pieces(above[w["of"]]) <= pieces(w) for w in below)
