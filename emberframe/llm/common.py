@@ -82,8 +82,6 @@ def components(edges: DataFrame, label: str, gathered: int = 0) -> DataFrame:
         edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{label}-edges"
     )
     seen = _checksum(edges)
-    if seen[0] <= gathered:
-        edges = stored(_united(edges), f"{label}-step") if seen[0] else edges
     while seen[0] > gathered:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
@@ -94,6 +92,8 @@ def components(edges: DataFrame, label: str, gathered: int = 0) -> DataFrame:
         before, seen, edges = seen, _checksum(new), new
         if seen == before:
             break
+    else:  # few from the start, or left by a step that need not be the last
+        edges = stored(_united(edges), f"{label}-step") if seen[0] else edges
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -7,11 +7,14 @@
 3. Each component of these pairs is searched: inverted lists of its sets, each set in turn the query. Short lists are merged,
    the long ones are probed, sets that reach the required overlap are links. A task returns links that connect what it has
    found connected, not every pair. In a component too large for one task each set is searched among its partners.
-   Sets on a token that many have are chained to crowds, which are dealt out in blocks, each with the crowd's first set; only
-   sets that are not in the crowd's largest component then are compared with those of other blocks.
+   Sets on a token that many have meet again on signatures: hashes of all their tokens in one part of the token space, so many
+   parts that sets that link agree in some. Where many share a signature too they are chained to crowds, which are dealt out in
+   blocks, each with the crowd's first set; only sets that are not in the crowd's largest component then are compared with those
+   of other blocks.
 4. Components of the links are the classes of near copies.
 """
 
+from functools import cache
 from itertools import chain
 from math import log2
 
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberframe.llm.common import GATHERED, components, stored, table, texts_of
-from emberframe.llm.words import chunks, shingles, words_of
+from emberframe.llm.words import chunks, mixed, shingles, words_of
 
 WIDTH = 5
 #: Threshold as a fraction, so that it is exact.
@@ -37,6 +40,8 @@ HELD = 1 << 22
 SENT = 500_000
 #: Sets on one prefix token that meet in pairs; where more have it they are a crowd.
 CROWD = 64
+#: Ways to cut the token space into parts; the next is taken where a set leaves too many parts of one empty.
+WAYS = 3
 #: How costly a probe is against a merge step; the value that the method's authors give.
 MU = 0.0085
 #: Long lists probed together.
@@ -201,6 +206,71 @@ def prefix_tokens(docs: DataFrame, levels: np.ndarray, width: int, like: int, of
     return docs.mapInArrow(batches, "token long, set_id long, n long")
 
 
+@cache
+def _classes(least: int, like: int, of: int) -> tuple[int, ...]:
+    """Smallest sizes of the size classes, up to the first above ``least``: sets that link are in one class or in neighbouring ones."""
+    firsts = [1, 1 * of // like + 1]
+    while firsts[-1] <= least:
+        firsts.append(firsts[-1] * of // like + 1)
+    return tuple(firsts)
+
+
+def signatures(tokens: np.ndarray, levels: np.ndarray, like: int, of: int) -> np.ndarray:
+    """Hashes of which sets that link share one, from a set's tokens; ``levels`` puts rare ones first.
+
+    Sets that link, the smaller of ``n`` tokens, differ in ``n * (of - like) / like`` tokens at most. With the token space in
+    that many parts, ``most``, and more, they agree in all parts but ``most``. A signature is a hash of the tokens of a part that
+    has some. Of those a set needs the rarest only, ``most + 1``: each has so few beyond them that the rarest one they share is not
+    among these. A set with too many empty parts gives all it has, and those of another way to cut; a pair that no part with
+    tokens brings together is made of two such sets. After the last way empty parts count too. A set takes the number of
+    parts of its own size class, for partners in it or the next, and that of the class before.
+    """
+    firsts = _classes(1 << (len(tokens) - 1).bit_length(), like, of)
+    own = int(np.searchsorted(firsts, len(tokens), side="right")) - 1
+    level = levels[tokens & np.uint64(CELLS - 1)]
+    out = []
+    for size_class in (own, own - 1):
+        most = (firsts[size_class + 1] - 1) * (of - like) // like if size_class >= 0 else 0
+        if not most:  # only equal sets would link
+            continue
+        parts = most + most // 4 + 4
+        for way in range(WAYS):
+            salt = np.uint64(size_class * WAYS + way + 1)
+            h = mixed(tokens ^ mixed(np.array([salt])))
+            part = (h >> np.uint64(32)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1]]))
+            full = part[order][first]
+            sign = mixed(np.add.reduceat(mixed(h[order]), first) ^ mixed(full * np.uint64(256) + salt))
+            rank = np.minimum.reduceat(level[order], first)
+            out.append(sign[np.lexsort((sign, rank))[: most + 1]])
+            if len(full) > most:
+                break
+        else:
+            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), full)
+            out.append(mixed(empty * np.uint64(256) + salt))
+    return np.concatenate([*out, tokens[:0]])
+
+
+def set_signatures(docs: DataFrame, levels: np.ndarray, width: int, like: int, of: int) -> DataFrame:
+    """``token, set_id, n``: in place of tokens the signatures of sets, from rows (set_id, text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def batches(parts):
+        for part in parts:
+            found = [
+                (signatures(s, sent.value, like, of), one, len(s))
+                for one, s in _sets(part.column(0).to_pylist(), part.column(1).to_pylist(), width)
+                if len(s) and _print(s)[0] == one  # not another text whose row has the same number
+            ]
+            counts = [len(f[0]) for f in found]
+            signed = np.concatenate([*(f[0] for f in found), np.zeros(0, np.uint64)]).astype(np.int64)
+            spread = lambda k: np.repeat(np.array([f[k] for f in found], np.int64), counts)
+            yield pa.RecordBatch.from_arrays([_long(signed), _long(spread(1)), _long(spread(2))], ["token", "set_id", "n"])
+
+    return docs.select("set_id", "text").mapInArrow(batches, "token long, set_id long, n long")
+
+
 def jaccard_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, like: int = LIKE, of: int = OF
 ) -> DataFrame:
@@ -220,15 +290,20 @@ def jaccard_components(
 
     # one row of each set
     sets = stored(prints.filter("n > 0").groupBy("set_id").agg(F.min("row").alias("row"), F.max("n").alias("n")), "jaccard-sets")
-    pieces, crowds, tokens = _searches(prefix_tokens(docs, levels, width, like, of), sets, like, of)
+    rows = sets.select("set_id", "row")
+
+    def signed(some: DataFrame) -> DataFrame:
+        some = stored(some.join(rows, "set_id"), "jaccard-signed")
+        texts = docs.select("row", "text").join(F.broadcast(some) if some.count() <= SENT else some, "row")
+        return set_signatures(texts, levels, width, like, of)
+
+    pieces, crowds, tokens = _searches(prefix_tokens(docs, levels, width, like, of), sets, like, of, signed)
 
     # searches within one task are put together by chance, pairs of blocks are groups of their own
     buckets = tokens // BLOCK_TOKENS + 1
     bucket = F.pmod(F.xxhash64("component"), F.lit(buckets))
     group = F.when(F.col("high") <= 0, bucket).otherwise(F.xxhash64("component", "low", "high"))
 
-    rows = sets.select("set_id", "row")
-
     def links_of(roles: DataFrame) -> DataFrame:
         roles = stored(roles.join(rows, "set_id"), "jaccard-roles")
         held = roles.groupBy("row", "set_id", group.alias("group")).agg(F.collect_list(F.struct(*PLACE)).alias("roles"))
@@ -267,14 +342,15 @@ def _blocks(members: DataFrame) -> DataFrame:
     return members.groupBy("component").agg(F.ceil(size).cast("int").alias("blocks"))
 
 
-def met(rows: DataFrame, like: int, of: int) -> DataFrame:
+def met(rows: DataFrame, like: int, of: int, crowd: int | None = None) -> DataFrame:
     """``kind, a, b`` from the sets (token, set_id, n) of each token, read as one sorted stream. Kind 0: two sets on a token that
-    CROWD sets at most have; kind 1: neighbours in size on one that more have; kind 2: a set (twice) on such a token. Sizes
-    allow a link. No more than CROWD sets of a token are held."""
+    ``crowd`` sets (CROWD, if left out) at most have; kind 1: neighbours in size on one that more have; kind 2: a set (twice) on
+    such a token. Sizes allow a link. No more than ``crowd`` sets of a token are held."""
+    crowd = crowd or CROWD
 
     def found(t, s, n, many, new):
         out = [(2, s[many & new], s[many & new])]
-        for k in range(1, CROWD):
+        for k in range(1, crowd):
             same = t[k:] == t[:-k]
             if not same.any():
                 break
@@ -287,7 +363,7 @@ def met(rows: DataFrame, like: int, of: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([_long(kinds), _long(np.minimum(x, y)), _long(np.maximum(x, y))], ["kind", "a", "b"])
 
     def batches(parts):
-        # rows of the last token so far; whether it has had more than CROWD, of which only the last is here, and is told
+        # rows of the last token so far; whether it has had more than crowd, of which only the last is here, and is told
         held, crowded = np.zeros((3, 0), np.int64), False
         for part in chain(parts, [None]):
             if part is not None:
@@ -298,7 +374,7 @@ def met(rows: DataFrame, like: int, of: int) -> DataFrame:
             t = held[0]
             first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
             sizes = np.diff(np.append(first, len(t)))
-            large = sizes + np.where(np.arange(len(sizes)) == 0, CROWD * crowded, 0) > CROWD
+            large = sizes + np.where(np.arange(len(sizes)) == 0, crowd * crowded, 0) > crowd
             new = np.ones(len(t), bool)
             new[0] = not crowded
             done = len(t) if part is None or large[-1] else first[-1]
@@ -322,15 +398,23 @@ def _may_link(like: int, of: int) -> str:
     return f"(shared + least(many_a, many_b) + {rest}) * ({like} + {of}) >= {like} * (n_a + n_b)"
 
 
-def _searches(prefixes: DataFrame, sets: DataFrame, like: int, of: int) -> tuple[DataFrame, DataFrame, int]:
-    """``set_id`` and PLACE for the searches that pairs on rare tokens need, the crowds (``set_id, component, n``), and how many
-    tokens the first have. ``prefixes``: token, set_id, n; ``sets``: row, set_id, n."""
+def _searches(prefixes: DataFrame, sets: DataFrame, like: int, of: int, signed) -> tuple[DataFrame, DataFrame, int]:
+    """``set_id`` and PLACE for the searches that pairs on rare tokens and signatures need, the crowds (``set_id, component, n``),
+    and how many tokens the first have. ``prefixes``: token, set_id, n; ``sets``: row, set_id, n; ``signed`` makes the signatures
+    of sets (set_id)."""
     counts = stored(met(prefixes, like, of).groupBy("kind", "a", "b").agg(F.count("*").alias("shared")), "jaccard-met")
     many = counts.filter("kind = 2").select(F.col("a").alias("set_id"), F.col("shared").alias("many"))
     sets = sets.select("set_id", "n").join(many, "set_id", "left").select("set_id", "n", F.coalesce("many", F.lit(0)).alias("many"))
     side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("many").alias(f"many_{x}"))
     pairs = counts.filter("kind = 0").join(side("a"), "a").join(side("b"), "b").filter(_may_link(like, of))
-    pairs = stored(pairs.select("a", "b"), "jaccard-pairs")
+    chains, pairs = counts.filter("kind = 1").select("a", "b"), pairs.select("a", "b")
+    # below three quarters sets that link may differ in more tokens than one of them has parts
+    if 4 * like >= 3 * of and not chains.isEmpty():
+        # sets on a signature are mostly near copies, whose pairs grow with the square of their number: they are a crowd sooner
+        again = stored(met(signed(many.select("set_id")), like, of, max(2, CROWD // 2)).select("kind", "a", "b").distinct(), "jaccard-met-signed")
+        chains = again.filter("kind = 1").select("a", "b")
+        pairs = pairs.unionByName(again.filter("kind = 0").select("a", "b")).distinct()
+    pairs = stored(pairs, "jaccard-pairs")
     # what is left is mostly groups of near copies, each searched in one piece
     groups = components(pairs, "jaccard-groups", GATHERED).withColumnRenamed("node", "set_id").join(sets.select("set_id", "n"), "set_id")
     groups = stored(groups.join(_blocks(groups), "component"), "jaccard-groups")
@@ -342,7 +426,7 @@ def _searches(prefixes: DataFrame, sets: DataFrame, like: int, of: int) -> tuple
     stars = still.select(F.col("b").alias("set_id"), F.col("a").alias("component"), *place(-1, 1)).unionByName(
         still.select(F.col("a").alias("set_id"), F.col("a").alias("component")).distinct().select("*", *place(-1, 0))
     )
-    crowds = components(counts.filter("kind = 1").select("a", "b"), "jaccard-crowds", GATHERED).select(F.col("node").alias("set_id"), "component")
+    crowds = components(chains, "jaccard-crowds", GATHERED).select(F.col("node").alias("set_id"), "component")
     tokens = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return pieces.unionByName(stars), stored(crowds.join(sets.select("set_id", "n"), "set_id"), "jaccard-crowded"), tokens
 

@@ -157,6 +157,36 @@ def test_jaccard_crowds(rows, monkeypatch):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == jaccard_model(docs)
 
 
+@pytest.mark.parametrize("like", [80, 75, 90])
+def test_sets_that_link_share_a_signature(like):
+    r = np.random.default_rng(like)
+    levels = r.integers(0, 9, jaccard_join.CELLS).astype(np.uint8)
+    token = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64)
+    found = collections.Counter()
+    for _ in range(3000):
+        a = np.unique(token(r.choice([1, 2, 3, 4, 5, 6, 7, 9, 12, 20, 40, 90])))
+        b = np.unique(np.concatenate([r.permutation(a)[r.integers(0, len(a) // 4 + 1) :], token(r.integers(0, len(a) // 4 + 1))]))
+        shared, both = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        meet = len(np.intersect1d(*(jaccard_join.signatures(s, levels, like, 100) for s in (a, b)))) > 0
+        if shared < both:  # equal sets are one
+            found[100 * shared >= like * both, meet] += 1
+    assert found[True, False] == 0 and found[True, True] > 100
+
+
+def test_unlike_sets_on_a_common_passage_are_not_all_compared(rows, monkeypatch):
+    """Texts of one size that share a passage, and are unlike, with the passage among the first tokens of all."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 6)
+    monkeypatch.setattr(jaccard_join, "CROWD", 16)
+    monkeypatch.setattr(jaccard_join, "OFTEN", 1000)
+    placed = []
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, label, f=common.stored: (out := f(df, label), label == "jaccard-roles" and placed.append(out.count()))[0])
+    docs = [(i, " ".join([f"w{i}x{k}" for k in range(90)] + [f"p{k}" for k in range(16)])) for i in range(60)]
+    got = jaccard_join.jaccard_components(rows(docs)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(60)]
+    # ten blocks against each other would be 600
+    assert sum(placed) < 300, placed
+
+
 @pytest.mark.parametrize("limit", [512, 2])
 def test_jaccard_links_through_rows_without_id(rows, monkeypatch, limit):
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", limit)
@@ -409,6 +439,13 @@ def test_few_edges_are_united_at_once(spark, monkeypatch):
     assert {tuple(x) for x in components(edges, "test", 200).collect()} == slow and len(slow) > 200
 
 
+def test_edges_that_become_few_are_not_left_in_part(spark):
+    """A chain of groups whose pairs are all edges: the first round leaves fewer than the bound, far from done."""
+    edges = [(20 * g + i, 20 * g + j) for g in range(12) for i in range(12) for j in range(i)] + [(20 * g + 11, 20 * g + 20) for g in range(11)]
+    got = components(spark.createDataFrame(edges, "a bigint, b bigint"), "test", 300).collect()
+    assert len(edges) > 300 and sorted(map(tuple, got)) == sorted((20 * g + i, 0) for g in range(12) for i in range(12))
+
+
 def test_lines_are_compared_once_where_keys_have_the_same_lines(rows):
     r = random.Random(4)
     base = ["".join(r.choices("abcdefgh", k=6)) for _ in range(20)]
